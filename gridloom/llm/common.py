@@ -114,8 +114,13 @@ class Words:
         total = np.empty(len(joined) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[joined] * up, out=total[1:])
+        self.starts, self.ends, self._total, self._down = starts, ends, total, down
         self.hash = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
         self.first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
 
-
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words longer than so many bytes (their places in order), and hashes of their beginnings."""
+        at = np.flatnonzero(self.ends - self.starts > length)
+        s = self.starts[at]
+        return at, mix((self._total[s + length] - self._total[s]) * self._down[s] + np.uint64(length + (1 << 40)))

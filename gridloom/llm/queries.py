@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, sharding
+from . import exact_dedup, html_text, minhash, mixing, packing, pq, quality, sharding, toxicity
 from .common import table
 
 
@@ -40,4 +40,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "vote_sum", "posterior", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op6_sharding)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages"), "html", "page_id", "url")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq)}
