@@ -17,28 +17,47 @@ from pyspark.sql import functions as F
 from .common import _LOWER, slices
 
 #: Buckets that byte trigrams are hashed into, and documents that the scorer is fitted on at most.
-BUCKETS = 1 << 14
-TRAIN_ROWS = 6000
-
-
-def votes(text: F.Column) -> dict[str, F.Column]:
-    """The labellers: 1 good, -1 bad, 0 no vote. A null text counts as empty; each text is read whole."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    words = F.greatest(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
-    share = lambda pattern: (n - F.length(F.regexp_replace(t, pattern, ""))) / F.greatest(n, F.lit(1))
-    letters, symbols, upper = share(r"\p{L}"), share(r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'-]"), share(r"\p{Lu}")
-    runs = F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]{2,}")) / words
-    length = n / words
-    vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    return {
-        "letters": vote(letters > 0.75, letters < 0.62),
-        "symbols": vote(symbols < 0.01, symbols > 0.05),
-        "capitals": vote(upper < 0.1, upper > 0.3),
-        "marks": vote(runs < 0.02, runs > 0.2),
-        "word_length": vote((length > 3) & (length < 9), (length < 2.2) | (length > 14)),
-        "words": vote(words >= 30, words < 5),
-    }
+BUCKETS = 1 << 13
+TRAIN_ROWS = 3000
+
+
+#: The labellers, in the order of their votes.
+LABELLERS = ("letters", "symbols", "capitals", "marks", "word_length", "words")
+_KIND = np.zeros((5, 256), np.float64)  # characters, letters, capitals, symbols, white space
+_KIND[0] = 1
+_KIND[0, 0x80:0xC0] = 0  # bytes that go on a character
+_KIND[1, [*range(65, 91), *range(97, 123), *range(0xC0, 256)]] = 1  # others than ASCII count as letters
+_KIND[2, 65:91] = 1
+_KIND[3, [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'-"]] = 1
+_KIND[4, [0x20, *range(0x09, 0x0E)]] = 1
+_MARK = (_KIND[0] - _KIND[1] - _KIND[4]).astype(bool)
+_MARK[48:58] = False
+_MARK[0x80:] = False
+_WHITE = _KIND[4].astype(bool)
+
+
+def votes(rows: list[bytes]) -> np.ndarray:
+    """A row of votes for each text, read whole: 1 good, -1 bad, 0 no vote."""
+    out = np.zeros((len(rows), len(LABELLERS)), np.int64)
+    for i, r in enumerate(rows):
+        b = np.frombuffer(r, np.uint8)
+        chars, letters, capitals, symbols, _ = _KIND @ np.bincount(b, minlength=256)
+        white, mark = _WHITE[b], _MARK[b]
+        words = max(1, int(np.count_nonzero(white[:-1] & ~white[1:])) + bool(len(b) and not white[0]))
+        n = max(1.0, chars)
+        inner = mark[1:] & mark[:-1]
+        runs = np.count_nonzero(inner[1:] & ~inner[:-1]) + bool(len(inner) and inner[0])
+        length = chars / words
+        for k, (good, bad) in enumerate((
+            (letters / n > 0.75, letters / n < 0.62),
+            (symbols / n < 0.01, symbols / n > 0.05),
+            (capitals / n < 0.1, capitals / n > 0.3),
+            (runs / words < 0.02, runs / words > 0.2),
+            (3 < length < 9, length < 2.2 or length > 14),
+            (words >= 30, words < 5),
+        )):
+            out[i, k] = -1 if bad else int(good)
+    return out
 
 
 def fit_labellers(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, np.ndarray, dict]:
@@ -73,12 +92,12 @@ def trigrams(rows: list[bytes]) -> np.ndarray:
     for i, r in enumerate(rows):
         b = np.frombuffer(b"  " + r, np.uint8).astype(np.uint32)
         if len(r):
-            code = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(18)
+            code = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(19)
             out[i] = np.sqrt(np.bincount(code, minlength=BUCKETS) / len(code))
     return out
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 200, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
+def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 150, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression on posterior labels p by gradient steps with momentum; classes weigh alike. The last weight is the bias."""
     x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
     balance = p / max(p.sum(), 1e-9) + (1 - p) / max((1 - p).sum(), 1e-9)
@@ -106,58 +125,56 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     """
     spark = docs.sparkSession
     docs = docs.drop(*({"vote_sum", "posterior", "score", "accepted"} - {text, doc_id}))
-    kinds = votes(F.col(text))
-    voted = docs.withColumn("__votes", F.array(*(v.cast("int") for v in kinds.values())))
-    slim = voted.select("__votes", F.xxhash64(F.lit(11), F.col(doc_id), F.col(text)).alias("__h"))
-    counts = [(tuple(r[0]), r[1]) for r in slim.groupBy(F.concat_ws(",", F.col("__votes").cast("array<string>")).alias("k"), "__votes").count().select("__votes", "count").collect()]
-    counts.sort()
-    prior, table, posterior = fit_labellers(counts or [((0,) * len(kinds), 0)])
-    ratio = np.log(table[:, 1]) - np.log(table[:, 0])
-    odds = F.lit(float(np.log(prior / (1 - prior))))
-    for k in range(len(kinds)):
-        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in ratio[k])), F.element_at("__votes", k + 1) + 2)
-    voted = voted.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    place = 3 ** np.arange(len(LABELLERS))  # a pattern of votes as one number
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, rows in slices(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array((votes(rows) + 1) @ place)], names=["code"])
+
+    texts = docs.select(F.col(text).cast("string").alias("t"))
+    counted = texts.mapInArrow(patterns, "code long").groupBy("code").count().collect()  # 3 ** 6 rows at most
+    counts = sorted((tuple(int(r["code"]) // int(q) % 3 - 1 for q in place), r["count"]) for r in counted) or [((0,) * len(LABELLERS), 0)]
+    prior, _, posterior = fit_labellers(counts)
+    table = np.full(3 ** len(LABELLERS), prior)
+    for k, q in posterior.items():
+        table[(np.array(k) + 1) @ place] = q
 
     # about as many of either side; the share to take follows from the counts, so the sample is bounded
     good = sum(n for k, n in counts if posterior[k] >= 0.5)
     bad = sum(n for _, n in counts) - good
-    take = lambda n: min(1.0, train_rows / 2 / max(n, 1))
+    take = [min(1.0, train_rows / 2 / max(n, 1)) for n in (bad, good)]
     u = F.pmod(F.xxhash64(F.lit(11), F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    picked = voted.filter(u < F.when(F.col("posterior") >= 0.5, F.lit(take(good))).otherwise(F.lit(take(bad))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, rows in ((f + k, r[k : k + 256]) for f, r in slices(b.column(0)) for k in range(0, len(r), 256)):
-                x = trigrams(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([v[v > 0].tobytes() for v in x], pa.binary()), pa.array([np.flatnonzero(v > 0).astype(np.int16).tobytes() for v in x], pa.binary()), b.column(1).slice(first, len(rows))], names=["v", "i", "p"])
-
-    rows = picked.select(F.col(text).cast("string").alias("t"), F.col("posterior").alias("p")).mapInArrow(features, "v binary, i binary, p double").collect()
+            for first, part in slices(b.column(0)):
+                p = table[(votes(part) + 1) @ place]
+                picked = np.flatnonzero(b.column(1).slice(first, len(part)).to_numpy() < np.where(p >= 0.5, take[1], take[0]))
+                for k in range(0, len(picked), 256):
+                    at = picked[k : k + 256]
+                    x = trigrams([part[i] for i in at])
+                    yield pa.RecordBatch.from_arrays([pa.array([v[v > 0].tobytes() for v in x], pa.binary()), pa.array([np.flatnonzero(v > 0).astype(np.int16).tobytes() for v in x], pa.binary()), pa.array(p[at])], names=["v", "i", "p"])
+
+    rows = sorted(tuple(r) for r in docs.select(F.col(text).cast("string").alias("t"), u.alias("u")).mapInArrow(features, "v binary, i binary, p double").collect())
     x = np.zeros((max(len(rows), 1), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.i, np.int16)] = np.frombuffer(r.v, np.float32)
-    p = np.array([r.p for r in rows] or [prior], np.float64)
-    order = np.lexsort((x[:, 7], x.sum(1), p))  # the order of arrival must not change the sums
-    weights = spark.sparkContext.broadcast(fit_scorer(x[order], p[order]).astype(np.float32))  # 64 kB
+    for k, (v, i, _) in enumerate(rows):
+        x[k, np.frombuffer(i, np.int16)] = np.frombuffer(v, np.float32)
+    weights = spark.sparkContext.broadcast(fit_scorer(x, np.array([r[2] for r in rows] or [prior])))  # 32 kB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        at = None
         for b in batches:
-            at = b.schema.get_field_index("__text")
-            out = []
-            for _, rows in slices(b.column(at)):
-                for r in rows:
-                    s = float(w[-1])
-                    if len(r):
-                        y = np.frombuffer(b"  " + r, np.uint8).astype(np.uint32)
-                        code = (y[:-2] | y[1:-1] << np.uint32(8) | y[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(18)
-                        n = np.bincount(code, minlength=BUCKETS)
-                        s += float(np.sqrt(n / len(code)).astype(np.float32) @ w[:-1])
-                    out.append(1 / (1 + np.exp(-np.clip(s, -30, 30))))
-            keep = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(out, pa.float64())], names=[*(b.schema.names[i] for i in keep), "score"])
-
-    full = voted.withColumn("vote_sum", F.aggregate("__votes", F.lit(0), lambda a, b: a + b)).drop("__votes").withColumn("__text", F.col(text).cast("string"))
-    schema = full.drop("__text").schema
-    scored = full.mapInArrow(score, schema.add("score", "double"))
+            for first, part in slices(b.column(b.num_columns - 1)):
+                v = votes(part)
+                s = np.empty(len(part))
+                for k in range(0, len(part), 256):
+                    s[k : k + 256] = trigrams(part[k : k + 256]) @ w[:-1] + w[-1]
+                kept = [c.slice(first, len(part)) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(v.sum(1)), pa.array(table[(v + 1) @ place]), pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*b.schema.names[:-1], "vote_sum", "posterior", "score"])
+
+    schema = docs.schema
+    for name, kind in (("vote_sum", "long"), ("posterior", "double"), ("score", "double")):
+        schema = type(schema)(schema.fields).add(name, kind)
+    scored = docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(score, schema)
     return scored.withColumn("accepted", (F.col("score") + F.col("posterior")) / 2 >= threshold)
