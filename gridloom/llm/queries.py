@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, minhash, mixing, packing, pq, quality, sharding, toxicity
+from . import exact_dedup, html_text, minhash, mixing, packing, pq, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, stays="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
     dealt = sharding.shards(docs, "size", count=8)
@@ -60,4 +64,4 @@ def op10_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq)}
