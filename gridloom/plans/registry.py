@@ -1,4 +1,4 @@
 """Every lattice query by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import choices, cleaning, fields, space  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
