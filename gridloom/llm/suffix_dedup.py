@@ -22,7 +22,7 @@ from .common import _BYTE, keep, mix, powers, slices, text_bytes
 from .suffix_index import RunLengthIndex
 
 #: Bytes in a gram; bytes of text that a group of documents and that a bucket of anchors stand for, on average; contexts of one anchor beyond which they are told apart by windows.
-GRAM, GROUP_BYTES, BUCKET_BYTES, CROWD = 18, 8 << 20, 8 << 20, 2000
+GRAM, GROUP_BYTES, BUCKET_BYTES, CROWD = 18, 4 << 20, 4 << 20, 2000
 _BIG = np.iinfo(np.int64).max
 
 
@@ -31,7 +31,7 @@ class Anchors:
 
     def __init__(self, rows: list[bytes], length: int):
         rows_at = [i for i, r in enumerate(rows) if len(r) >= length]
-        self.row = self.lo = self.hi = self.gram = self.context = np.empty(0, np.int64)
+        self.row = self.lo = self.hi = self.gram = self.context = self.offset = np.empty(0, np.int64)
         if not rows_at:
             return
         data = np.frombuffer(b"".join(rows[i] for i in rows_at), np.uint8)
@@ -100,7 +100,7 @@ def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     """One row per bucket with the columns' values as bytes."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))) if len(bucket) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(bucket))
+    ends = np.append(cuts[1:], len(bucket)) if len(bucket) else cuts
     out = {"bucket": bucket[order][cuts]}
     for name, v in columns.items():
         v = v[order]
@@ -123,6 +123,27 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a + mix(b) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _alike(gram: np.ndarray, own: np.ndarray, offset: np.ndarray, texts: list[bytes], reach: int) -> np.ndarray:
+    """Contexts that can share a window with another document's: one that does agrees with it on the reach bytes before the gram or on those after it."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    up, down = powers(len(data) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
+    out = np.zeros(len(texts), bool)
+    for start, fits in ((begin + offset - reach, offset >= reach), (begin + offset + GRAM, offset + GRAM + reach <= sizes)):
+        some = np.flatnonzero(fits)
+        side = mix((total[start[some] + reach] - total[start[some]]) * down[start[some]])
+        key = _pair(gram[some].view(np.uint64), side)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(some) else np.empty(0, np.int64)
+        if len(first):
+            d = own[some][order]
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            out[some[order[np.repeat(several, np.diff(np.append(first, len(d))))]]] = True
+    return out
+
+
 def _cut(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes that the stretches cover, their maximal runs, and the bytes that stay."""
     if not len(starts):
@@ -235,7 +256,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         part = np.repeat(np.arange(len(parts)), [len(a.row) for _, a in parts])
 
         to_index = np.flatnonzero(kind == 1)
-        frames = [pd.DataFrame({"kind": 2, "doc_id": own[to_index], "grp": grp, "tag": tags[row[to_index]], "gram": gram[to_index].view(np.int64), "lo": lo[to_index], "blob": [bodies[r][x : y + length] for r, x, y in zip(row[to_index].tolist(), lo[to_index].tolist(), hi[to_index].tolist(), strict=True)]})]
+        frames = [pd.DataFrame({"kind": 2, "doc_id": own[to_index], "grp": grp, "tag": tags[row[to_index]], "gram": gram[to_index].view(np.int64), "lo": lo[to_index], "blob": [bytes((o,)) + bodies[r][x : y + length] for r, x, y, o in zip(row[to_index].tolist(), lo[to_index].tolist(), hi[to_index].tolist(), joined("offset", np.int64)[to_index].tolist(), strict=True)]})]
         crowded: dict[int, list] = {}
         for i in np.flatnonzero(kind == 2).tolist():
             crowded.setdefault(int(row[i]), []).append((np.arange(lo[i], hi[i] + 1), parts[part[i]][1].windows(place[i])))
@@ -262,7 +283,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         frames.append(pd.DataFrame(late, columns=["kind", "doc_id", "grp", "tag", "blob", "blob2", "blob3", "blob4"]))
         frames.append(pd.DataFrame(done, columns=["kind", "doc_id", "n_bytes", "n_removed", "n_spans", "sha", "blob"]))
         numbers = {c: "Int64" for c in ("kind", "doc_id", "grp", "tag", "gram", "lo", "n_bytes", "n_removed", "n_spans")}
-        return pd.concat([f.reindex(columns=columns).astype(numbers) for f in frames if len(f)], ignore_index=True)
+        others = {c: object for c in columns if c not in numbers}
+        out = pd.concat([f.reindex(columns=columns).astype(numbers | others) for f in frames if len(f)], ignore_index=True)
+        return out.where(out.notna(), None).astype(numbers)
 
     columns = ["kind", "doc_id", "grp", "tag", "gram", "lo", "n_bytes", "n_removed", "n_spans", "sha", "blob", "blob2", "blob3", "blob4"]
     schema = "kind int, doc_id long, grp long, tag long, gram long, lo long, n_bytes long, n_removed long, n_spans long, sha string, blob binary, blob2 binary, blob3 binary, blob4 binary"
@@ -270,19 +293,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def look_up(rows: pd.DataFrame) -> pd.DataFrame:
         """Starts of the windows that a context with a smaller id holds, by document."""
-        rows = rows.sort_values(["gram", "doc_id", "lo"])
-        own, texts_ = rows.doc_id.to_numpy(), list(rows.blob)
-        lengths, least = RunLengthIndex(texts_, own, length).statistics(texts_, np.arange(len(rows)))
-        at, j = np.nonzero((lengths >= length) & (least < own[:, None]))
-        starts = rows.lo.to_numpy()[at] + j
+        rows = rows.sort_values(["gram", "doc_id", "lo"], ignore_index=True)
+        gram, own, tag, lo = (rows[c].to_numpy() for c in ("gram", "doc_id", "tag", "lo"))
+        texts_ = [b[1:] for b in rows.blob]
+        alike = np.flatnonzero(_alike(gram, own, np.array([b[0] for b in rows.blob]), texts_, (length - GRAM) // 2))
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], gram[alike][1:] != gram[alike][:-1]))), len(alike)) if len(alike) else np.zeros(1, int)
+        begin = 0
+        while begin < len(alike):  # contexts of one gram stay together; an index holds a few thousand
+            end = int(cuts[max(np.searchsorted(cuts, begin + 4096, side="right") - 1, np.searchsorted(cuts, begin, side="right"))])
+            part = alike[begin:end]
+            index = RunLengthIndex([texts_[i] for i in part], own[part], length)
+            lengths, least = index.statistics([texts_[i] for i in part], np.arange(len(part)))
+            at, j = np.nonzero((lengths >= length) & (least < own[part][:, None]))
+            hits.append((part[at], j))
+            begin = end
         out: list[tuple] = []
+        at, j = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (zip(*hits, strict=True) if hits else ((), ())))
         if len(at):
-            d, t = own[at], rows.tag.to_numpy()[at]
-            order, new = _firsts(d, t, starts)
+            starts = lo[at] + j
+            order, new = _firsts(own[at], tag[at], starts)
             cut = np.flatnonzero(new)
             for x, y in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), strict=True):
-                i = order[x]
-                out.append((int(group_of(d[i])), int(d[i]), int(t[i]), starts[order[x:y]].tobytes(), None))
+                i = at[order[x]]
+                out.append((int(group_of(own[i])), int(own[i]), int(tag[i]), starts[order[x:y]].tobytes(), None))
         return pd.DataFrame(out, columns=["grp", "doc_id", "tag", "starts", "hashes"])
 
     replied = "grp long, doc_id long, tag long, starts binary, hashes binary"
