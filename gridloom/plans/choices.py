@@ -248,3 +248,38 @@ def sprt_stream(spark, sf_dir):
     q.awaitTermination()
     done = spark.read.parquet(f"{at}/out")
     return done.filter("NOT rejected").groupBy("candidate").agg(F.max("n").cast("int").alias("n"), F.max(F.struct("n", "decision"))["decision"].alias("decision"))
+
+
+@query()
+def implied_hit_rate(spark, sf_dir):
+    """The hit rate that the forward model needs for a score, by bisection, on a grid of budgets."""
+    rows = [(n, P.implied_hits(n, 0.05, 14143.0)) for n in (10_000, 20_000, 40_000)]
+    return spark.createDataFrame(rows, "n long, rate double").select("n", r6("rate").alias("rate"))
+
+
+@query()
+def calibrated_fit(spark, sf_dir):
+    """(k, a) of the saturating score from tens of artifacts, and the error left."""
+    import numpy as np
+
+    t = _nations(spark, sf_dir).orderBy("k").collect()  # a row per nation: 25
+    n = np.array([1000 + 900 * r.k for r in t], float)
+    w = np.array([0.1 + 0.004 * (r.z % 7) for r in t])
+    tp = 5800 * (1 - np.exp(-1.17 * n * w / 5800))
+    k, a, error = P.fit_saturating(n, w, tp / (0.2 * tp + 0.2 * n + 0.8 * 5800))
+    return spark.createDataFrame([(k, a, error)], "k double, a double, error double").select(F.round("k", 1).alias("k"), F.round("a", 3).alias("a"), F.round("error", 5).alias("error"))
+
+
+@query(sql("SELECT count(*) AS cells, count(*) FILTER (foot) AS inside, round(sum(CASE WHEN foot THEN score::FLOAT::DOUBLE ELSE 0 END), 3) AS total FROM lat"))
+def raster_round_trip(spark, sf_dir):
+    """A raster written with its checks and read again on the same grid."""
+    import uuid
+
+    from ..operators.components import shared_dir
+    from ..sources import raster
+
+    grid = raster.Grid(HEIGHT, WIDTH, "local", 200000.0, 100.0, 400000.0, -100.0)
+    path = f"{shared_dir(spark)}/gridloom/raster-{uuid.uuid4().hex}"
+    raster.write_raster(view(spark, sf_dir), ["score"], grid, path, FOOT)
+    back = raster.read_raster(spark, path, ["score"], grid)
+    return back.agg(F.count(F.lit(1)).alias("cells"), F.count("score").alias("inside"), F.round(F.sum(F.col("score").cast("double")), 3).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import credit_offsets, cross_offsets, offsets
 from ..operators import components as C
+from ..operators import corridor as K
 from ..operators import distance as T
 from ..operators import emission as E
 from ..operators import holdout as H
@@ -270,3 +271,23 @@ def greedy_spacing_stats(spark, sf_dir):
     """Median spacing of an emission: never below the distance it was asked for."""
     dots = E.emit(_allowed(view(spark, sf_dir)), "score", 2.8)
     return E.spacing_knn(dots, 8).agg(F.count(F.lit(1)).alias("n"), F.min("d2").alias("least_d2"), r6(F.expr("percentile(sqrt(d2), 0.5)")).alias("median"))
+
+
+@query(sql(f"SELECT r, c, {n6('max(w * f)')} AS value FROM (SELECT y + dr AS r, x + dc AS c, w, f FROM line, disc) GROUP BY 1, 2",
+           "line AS (SELECT round_even(r - k * cos(radians(30 * (r % 6))), 0)::INT AS y, round_even(c + k * sin(radians(30 * (r % 6))), 0)::INT AS x, max(1 - abs(k) / 21::DOUBLE) AS w FROM lat, (SELECT unnest(range(-20, 21)) AS k) WHERE truth AND r % 9 = 0 GROUP BY 1, 2)",
+           values_sql("disc", "dr, dc, f", [(i, j, float(1 - x / 4)) for i, j, x in offsets(3)])))
+def corridor_paint(spark, sf_dir):
+    ends = view(spark, sf_dir).filter(TRUTH & (F.col("r") % 9 == 0)).select("r", "c")
+    return K.corridors(ends, (30 * (F.col("r") % 6)).cast("double"), 20, 3.0).withColumn("value", r6("value"))
+
+
+@query()
+def tip_strike(spark, sf_dir):
+    """Strikes at the ends of the catalogue's traces: east-west, as the traces are."""
+    traces = C.components(view(spark, sf_dir).filter(CAT))
+    return K.tip_strikes(traces).select("r", "c", "comp", r6("strike").alias("strike"))
+
+
+@query()
+def thin_mask(spark, sf_dir):
+    return K.thin(T.dilate(view(spark, sf_dir).filter(CAT & (F.col("c") % 9 != 0)), 2), 8)
