@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from .graph import components
 #: Permutations, and signature values in a band: 2 * 64 / 4 = 32 bands miss a pair at 0.75 with a chance of (1 - 0.75**4)**32, 5 in a million.
 PERMUTATIONS, ROWS = 64, 4
 SHINGLE, PERCENT = 5, 75
-#: Rounds of comparing buckets with one member each before what is left is compared member by member.
-ROUNDS = 6
+#: Documents in a block of a cluster, and about how many rows go to one group of blocks.
+BLOCK, GROUP_ROWS = 1024, 2000
 
 _rng = np.random.Generator(np.random.PCG64(9))
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,6 +96,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(right, "b").join(left, "a").filter(near).select("a", "b")
 
 
+def _links_in(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """One link (a, b) for each two components that have one, between the documents of two blocks."""
+    sets = [*a.shingles, *b.shingles]
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[code] > 1  # a shingle of one document is in no intersection
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)[shared]
+    _, col = np.unique(code[shared], return_inverse=True)
+    both = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        x, y = np.searchsorted(col, (lo, lo + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[x:y], col[x:y] - lo] = 1
+        both += part[: len(a)] @ part[len(a) :].T
+    both = both.astype(np.int64)
+    union = size[: len(a), None] + size[len(a) :] - both
+    ca, cb = a.c.to_numpy(), b.c.to_numpy()
+    i, j = np.nonzero((100 * both >= percent * union) & (ca[:, None] != cb))
+    if not len(i):
+        return []
+    _, one = np.unique(np.stack((np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j]))), axis=1, return_index=True)
+    return list(zip(a.id.to_numpy()[i[one]].tolist(), b.id.to_numpy()[j[one]].tolist(), strict=True))
+
+
+def across(docs_of: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between members of different components (c) of a cluster: at least one for each two components that have any.
+
+    A cluster is dealt in blocks; each two blocks of it meet once, and small
+    clusters share a group, so that no group holds more than a few blocks.
+    """
+    counts = keep(docs_of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "cluster_blocks")
+    groups = max(12, docs_of.count() // GROUP_ROWS)
+    placed = docs_of.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("id", "c", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = placed.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for (_, i, j), part in rows.drop_duplicates(["id", "cluster", "i", "j"]).groupby(["cluster", "i", "j"], sort=False):
+            out += _links_in(part[part.own == i], part[part.own == j], percent)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return placed.join(sets.select("id", "shingles"), "id").groupBy("g").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -105,12 +154,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     all. Other columns are not read. An empty table gives an empty table.
 
     Equal sets are merged first (by partial aggregation), so copies never
-    meet. In each bucket of a band every member is compared with one member;
-    after the confirmed links have been joined to components, only buckets
-    that still hold several components are compared further, with another
-    member each round, and what is left at last pair by pair across
-    components. So the number of comparisons follows the number of documents
-    where a group is alike, and no link between different texts is left out.
+    meet. In each bucket of a band every member is compared with one member.
+    After the confirmed links have been joined to components, most buckets
+    hold one component and are done. Documents of the others form clusters
+    (buckets that share documents); members of different components of a
+    cluster are compared in blocks, and only links come out. So where a group
+    is alike the comparisons follow its size, and no link between different
+    texts is left out.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig = keep(signatures(docs, "text", "doc_id"), "signatures")
@@ -123,34 +173,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets = keep(full_sets(docs.join(involved, docs["doc_id"] == involved["id"], "left_semi"), "text", "doc_id"), "sets")
     pairs = keep(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = keep(confirmed(pairs, sets, percent), "confirmed")
-    tested, comp = pairs, components(links)
-    for turn in range(1, ROUNDS + 1):
-        where = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        where = keep(where, "bucket_components")
-        parts = where.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        several = keep(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("cs")).filter("cs > 1"), "several")
-        left, crossing = several.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()
-        if not left:
-            break
-        exhaustive = turn == ROUNDS or crossing <= 4 * several.agg(F.sum("n")).first()[0]
-        open_ = keep(where.join(several.select("key"), "key", "left_semi"), "open_buckets")
-        if exhaustive:
-            x, y = (open_.select("key", F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
-            more = x.join(y, "key").filter("ca <> cb AND a < b").select("a", "b")
-        else:
-            h = F.xxhash64(F.lit(turn), "id")
-            chosen = keep(open_.groupBy("key").agg(F.min(h).alias("h")), "chosen")
-            turned = open_.join(chosen, "key").withColumn("own", h)
-            pivots = keep(turned.filter("own = h").groupBy("key").agg(F.min("id").alias("p"), F.min("c").alias("cp")), "pivots")
-            more = open_.join(pivots, "key").filter("c <> cp").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        more = keep(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = keep(confirmed(more, sets, percent), "confirmed")
-        tested = tested.unionByName(more)
+    comp = keep(components(links), "components")
+    # buckets that still hold several components: their documents are compared in blocks, cluster by cluster
+    where = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    where = keep(where, "bucket_components")
+    several = keep(where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("head")).filter("lo < hi").select("key", "head"), "several")
+    open_ = keep(where.join(several, "key"), "open_buckets")
+    if open_.limit(1).count():
+        cluster = components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
+        docs_of = open_.groupBy("id").agg(F.min("c").alias("c")).join(cluster, "id", "left").select("id", "c", F.coalesce("component", "id").alias("cluster"))
+        docs_of = keep(docs_of, "clusters")
+        found = keep(across(docs_of, sets, percent), "across")
         if found.limit(1).count():
-            links = links.unionByName(found)
-            comp = components(links)
-        if exhaustive:
-            break
+            comp = keep(components(links.unionByName(found)), "components")
     named = keep(classes.join(comp, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("class_component")), "named_classes")
     out = sig.drop("bands").join(named, ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id"))
