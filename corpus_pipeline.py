@@ -31,10 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: up to twice, or not at all. Documents are taken whole."""
     docs = docs.select(COLUMNS)
-    taken = mixing.mix(docs, whole=True)
-    times = taken.filter("taken > 0").select("doc_id", "tie", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    tied = docs.withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    return tied.join(times.groupBy("doc_id", "tie").agg(F.max("__times").alias("__times")), ["doc_id", "tie"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(COLUMNS)
+    taken = mixing.mix(docs, whole=True).filter("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__tie"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
