@@ -14,7 +14,6 @@ from ..sources.lattice import HEIGHT, WIDTH
 from .base import d, filled, n6, query, r6, smooth_sql, sql, view
 from .space import _NEAR, _allowed
 
-DOT, TRUTH, FOOT = (F.col(x) for x in ("dot", "truth", "foot"))
 
 _CURVE = ["p AS (SELECT r, c FROM lat WHERE truth)", _NEAR("s", "p", 3), "h AS (SELECT row_number() OVER (ORDER BY score DESC, l.r, l.c) AS rank, s.d IS NOT NULL AS hit FROM lat l LEFT JOIN s ON s.r = l.r AND s.c = l.c WHERE dot)"]
 
@@ -23,8 +22,8 @@ def _curve(spark, sf_dir):
     from ..operators.emission import number
 
     df = view(spark, sf_dir)
-    dots = number(df.filter(DOT).select("r", "c", "score"))
-    return metric.hits(dots, df.filter(TRUTH)).select("rank", "hit")
+    dots = number(df.filter(F.col("dot")).select("r", "c", "score"))
+    return metric.hits(dots, df.filter(F.col("truth"))).select("rank", "hit")
 
 
 @query(sql(f"SELECT rank, {n6('avg(hit::INT) OVER (ORDER BY rank ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)')} AS rate FROM h", *_CURVE))
@@ -142,12 +141,12 @@ def partial_spearman(spark, sf_dir):
 
 @query(sql(f"SELECT {n6('sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n))')} AS auc, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT score, count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS n FROM lat WHERE foot GROUP BY 1))"))
 def roc_auc(spark, sf_dir):
-    return P.auc(view(spark, sf_dir).filter(FOOT), "score", "truth").withColumn("auc", r6("auc"))
+    return P.auc(view(spark, sf_dir).filter(F.col("foot")), "score", "truth").withColumn("auc", r6("auc"))
 
 
 @query(sql(f"SELECT {n6('sum(mid * t) / sum(t)')} AS lift, sum(t)::BIGINT AS truths FROM (SELECT (2 * sum(n) OVER (ORDER BY score) - n) / 2.0::DOUBLE / sum(n) OVER () AS mid, t FROM (SELECT score, count(*) AS n, count(*) FILTER (truth) AS t FROM lat WHERE foot GROUP BY 1))"))
 def rank_lift(spark, sf_dir):
-    return P.rank_lift(view(spark, sf_dir).filter(FOOT), "score", "truth").withColumn("lift", r6("lift"))
+    return P.rank_lift(view(spark, sf_dir).filter(F.col("foot")), "score", "truth").withColumn("lift", r6("lift"))
 
 
 @query(f"WITH {_NATION} SELECT k, passed, {n6('x')} AS x FROM (SELECT *, y > 55 AND z < 8 AS passed FROM t) ORDER BY passed DESC, x DESC, k LIMIT 1")
@@ -164,8 +163,8 @@ def promotion_gate(spark, sf_dir):
   SELECT okey % 5 AS name, count(*) AS n_b, count(*) FILTER (dot) AS common FROM lat WHERE foot AND okey IS NOT NULL GROUP BY 1), (SELECT count(*) AS n_a FROM lat WHERE dot)"""))
 def jaccard_uniqueness(spark, sf_dir):
     df = view(spark, sf_dir)
-    b = df.filter(FOOT & F.col("okey").isNotNull()).select("r", "c", (F.col("okey") % 5).alias("name"))
-    o = A.unique_gate(A.overlap(df.filter(DOT).select("r", "c"), b, "name"))
+    b = df.filter(F.col("foot") & F.col("okey").isNotNull()).select("r", "c", (F.col("okey") % 5).alias("name"))
+    o = A.unique_gate(A.overlap(df.filter(F.col("dot")).select("r", "c"), b, "name"))
     return o.select("name", "n_b", "common", *(r6(x).alias(x) for x in ("jaccard", "a_in_b", "b_in_a")), "passes")
 
 
@@ -173,7 +172,7 @@ def jaccard_uniqueness(spark, sf_dir):
 FROM (SELECT dot, dot AND s.d IS NULL AS p, s.d IS NOT NULL AS near FROM lat l LEFT JOIN s ON s.r = l.r AND s.c = l.c)""", "p AS (SELECT r, c FROM lat WHERE cat)", _NEAR("s", "p", 2)))
 def nested_subset_check(spark, sf_dir):
     df = view(spark, sf_dir)
-    base = df.filter(DOT)
+    base = df.filter(F.col("dot"))
     return A.nested(base, T.beyond(base, df.filter("cat"), 2), T.near(df.filter("cat"), 2))
 
 
@@ -185,7 +184,7 @@ SELECT 'nonzero_outside', count(*) FILTER (NOT foot AND v <> 0) = 0, count(*) FI
 SELECT 'positive', count(*) FILTER (foot AND v > 0) > 0, count(*) FILTER (foot AND v > 0) FROM x UNION ALL
 SELECT 'off_grid', TRUE, 0)""", "x AS (SELECT foot, score AS v FROM lat)"))
 def format_audit(spark, sf_dir):
-    return A.format_audit(view(spark, sf_dir), "score", FOOT, HEIGHT, WIDTH)
+    return A.format_audit(view(spark, sf_dir), "score", F.col("foot"), HEIGHT, WIDTH)
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS name, (o_custkey % 3)::INT AS r, 0 AS c FROM orders WHERE o_custkey % 3 < 2 GROUP BY ALL)
@@ -206,8 +205,8 @@ def raster_digest(spark, sf_dir):
 
 @query()
 def blocked_oof_gbt(spark, sf_dir):
-    df = filled(spark, sf_dir).filter(FOOT).withColumn("fold", H.uniform_block(HEIGHT, WIDTH, 2, 1))
-    oof = learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], TRUTH, "fold", 2, most=2000, trees=5, depth=3)
+    df = filled(spark, sf_dir).filter(F.col("foot")).withColumn("fold", H.uniform_block(HEIGHT, WIDTH, 2, 1))
+    oof = learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], F.col("truth"), "fold", 2, most=2000, trees=5, depth=3)
     return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("cells"), F.sum("label").alias("positives"), F.min(F.col("prob").between(0, 1)).alias("valid"))
 
 
@@ -217,7 +216,7 @@ def corridor_field(spark, sf_dir):
     from ..operators.stencil import smooth
 
     df = view(spark, sf_dir)
-    near = T.near(df.filter(TRUTH), 3).select("r", "c", F.greatest(1 - F.col("d") / 3, F.lit(0.0)).alias("k"))
+    near = T.near(df.filter(F.col("truth")), 3).select("r", "c", F.greatest(1 - F.col("d") / 3, F.lit(0.0)).alias("k"))
     return smooth(df.select("r", "c").join(near, ["r", "c"], "left").fillna(0.0, ["k"]), {"s": ("k", 1.0, 0, 0)}).select("r", "c", r6("s").alias("corridor"))
 
 
@@ -227,7 +226,7 @@ def gated_emission(spark, sf_dir):
     from ..operators.emission import emit
 
     df = view(spark, sf_dir).withColumn("alt", F.lit(1.0) - F.col("score"))
-    lifts = {x: P.rank_lift(df.filter(FOOT), x, "truth").first()["lift"] for x in ("score", "alt")}  # two numbers
+    lifts = {x: P.rank_lift(df.filter(F.col("foot")), x, "truth").first()["lift"] for x in ("score", "alt")}  # two numbers
     best = max(sorted(lifts), key=lambda k: round(lifts[k], 9))
     return emit(_allowed(df), best, 2.8).filter("rank <= 100").select("rank", "r", "c")
 
@@ -280,6 +279,6 @@ def raster_round_trip(spark, sf_dir):
 
     grid = raster.Grid(HEIGHT, WIDTH, "local", 200000.0, 100.0, 400000.0, -100.0)
     path = f"{shared_dir(spark)}/gridloom/raster-{uuid.uuid4().hex}"
-    raster.write_raster(view(spark, sf_dir), ["score"], grid, path, FOOT)
+    raster.write_raster(view(spark, sf_dir), ["score"], grid, path, F.col("foot"))
     back = raster.read_raster(spark, path, ["score"], grid)
     return back.agg(F.count(F.lit(1)).alias("cells"), F.count("score").alias("inside"), F.round(F.sum(F.col("score").cast("double")), 3).alias("total"))

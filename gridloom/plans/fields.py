@@ -9,33 +9,32 @@ from ..operators import normalise as N
 from ..operators import stencil as S
 from .base import d, filled, n6, query, r6, robust_sql, smooth_sql, sql, view
 
-FOOT = F.col("foot")
 
 
 @query(sql(f"SELECT r, c, {n6('u')} AS u FROM s", robust_sql("s", "lat", "px", "u")))
 def robust_unit(spark, sf_dir):
-    return N.robust_unit(view(spark, sf_dir), "px", "u", FOOT).select("r", "c", r6("u").alias("u"))
+    return N.robust_unit(view(spark, sf_dir), "px", "u", F.col("foot")).select("r", "c", r6("u").alias("u"))
 
 
 @query(sql(f"SELECT r, c, {n6('CASE WHEN foot THEN px / (CASE WHEN q > 1e-12 THEN q ELSE m END + 1e-12) ELSE 0 END')} AS v FROM full_, (SELECT quantile_cont(px, 0.99999) AS q, max(abs(px)) AS m FROM full_ WHERE foot)"))
 def tie_free_norm(spark, sf_dir):
-    return N.tie_free(filled(spark, sf_dir), "px", "v", FOOT).select("r", "c", r6("v").alias("v"))
+    return N.tie_free(filled(spark, sf_dir), "px", "v", F.col("foot")).select("r", "c", r6("v").alias("v"))
 
 
 @query(sql("SELECT r, c, floor(round(u, 9) * 255)::SMALLINT AS q FROM s", robust_sql("s", "lat", "px", "u")))
 def quantize_u8(spark, sf_dir):
-    u = N.robust_unit(view(spark, sf_dir), "px", "u", FOOT)
+    u = N.robust_unit(view(spark, sf_dir), "px", "u", F.col("foot"))
     return u.select("r", "c", F.floor(F.round("u", 9) * 255).cast("short").alias("q"))
 
 
 @query(sql(f"SELECT r, c, {n6('least(greatest(px, q0), q1)')} AS v FROM lat, (SELECT quantile_cont(px, 0.001) AS q0, quantile_cont(px, 0.999) AS q1 FROM lat WHERE foot) WHERE px IS NOT NULL"))
 def percentile_clip(spark, sf_dir):
-    return N.clip(view(spark, sf_dir).filter("px IS NOT NULL"), "px", "v", FOOT).select("r", "c", r6("v").alias("v"))
+    return N.clip(view(spark, sf_dir).filter("px IS NOT NULL"), "px", "v", F.col("foot")).select("r", "c", r6("v").alias("v"))
 
 
 @query(sql(f"SELECT r, c, {n6('(row_number() OVER (ORDER BY px, r, c) - 1) / greatest(count(*) OVER () - 1, 1)')} AS u FROM full_ WHERE foot"))
 def rank_unit(spark, sf_dir):
-    return N.rank_unit(filled(spark, sf_dir), "px", "u", FOOT).select("r", "c", r6("u").alias("u"))
+    return N.rank_unit(filled(spark, sf_dir), "px", "u", F.col("foot")).select("r", "c", r6("u").alias("u"))
 
 
 _RANK = "(row_number() OVER (ORDER BY {0}, r, c) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE"
@@ -51,7 +50,7 @@ def harmonic_rank_fusion(spark, sf_dir):
 
 @query(sql(f"SELECT r, c, {n6('exp((1.3::DOUBLE * ln(greatest(u, 1e-6)) + 1.0::DOUBLE * ln(greatest(v, 1e-6))) / 2.3::DOUBLE)')} AS score FROM t", robust_sql("s", "full_", "px", "u"), robust_sql("t", "s", "tax", "v")))
 def geometric_fusion(spark, sf_dir):
-    df = N.robust_unit(N.robust_unit(filled(spark, sf_dir), "px", "u", FOOT), "tax", "v", FOOT)
+    df = N.robust_unit(N.robust_unit(filled(spark, sf_dir), "px", "u", F.col("foot")), "tax", "v", F.col("foot"))
     return df.select("r", "c", r6(N.geometric_fusion({"u": 1.3, "v": 1.0})).alias("score"))
 
 
@@ -59,7 +58,7 @@ def geometric_fusion(spark, sf_dir):
 def mean_of_scaled_bands(spark, sf_dir):
     df = filled(spark, sf_dir)
     for band, out in (("px", "u"), ("tax", "v"), ("disc", "w")):
-        df = N.robust_unit(df, band, out, FOOT, 0.02, 0.98)
+        df = N.robust_unit(df, band, out, F.col("foot"), 0.02, 0.98)
     return df.select("r", "c", r6((F.col("u") + F.col("v") + F.col("w")) / 3).alias("score"))
 
 
@@ -212,7 +211,7 @@ def backbone(spark, sf_dir):
     for band, out in (("px", "l1"), ("tax", "l2")):
         df = S.line_response(df, band, 1.5, 0).withColumn(out, F.round("line", 9)).drop("line", "dom", "tan", "largest")
     for out in ("l1", "l2"):
-        df = N.rank_unit(df, out, f"{out}r", FOOT)
+        df = N.rank_unit(df, out, f"{out}r", F.col("foot"))
     return df.select("r", "c", r6(N.harmonic_fusion({"l1r": 1.0, "l2r": 1.0})).alias("score"))
 
 

@@ -14,7 +14,6 @@ from ..operators import metric as M
 from ..sources.lattice import HEIGHT, WIDTH
 from .base import n6, query, r6, sql, values_sql, view
 
-CAT, DOT, TRUTH, FOOT = (F.col(x) for x in ("cat", "dot", "truth", "foot"))
 _NEAR = lambda name, points, radius: values_sql(f"{name}_o", "dr, dc, d", [(i, j, float(x)) for i, j, x in offsets(radius)]) + f",\n{name} AS (SELECT (p.r + dr)::INT AS r, (p.c + dc)::INT AS c, min(d) AS d FROM {points} p, {name}_o GROUP BY 1, 2)"
 _CREDIT = values_sql("credit", "dr, dc, k", [(i, j, float(k)) for i, j, k in credit_offsets()])
 
@@ -27,13 +26,13 @@ e AS (SELECT l.r, l.c, min((g.c - l.c) * (g.c - l.c) + gap * gap)::BIGINT AS d2
 
 @query(sql("SELECT r, c, d2 FROM e", _EDT.format(mask="dot")))
 def distance_to_mask(spark, sf_dir):
-    return T.distance(view(spark, sf_dir).select("r", "c", "dot"), DOT).select("r", "c", "d2")
+    return T.distance(view(spark, sf_dir).select("r", "c", "dot"), F.col("dot")).select("r", "c", "d2")
 
 
 @query(sql(f"""SELECT r, c, {n6('px')} AS px FROM (SELECT l.r, l.c, m.px, row_number() OVER (PARTITION BY l.r, l.c ORDER BY (m.r - l.r) * (m.r - l.r) + (m.c - l.c) * (m.c - l.c), m.r, m.c) AS k
   FROM lat l JOIN m ON abs(m.r - l.r) <= 60 AND abs(m.c - l.c) <= 50 WHERE l.r % 7 = 0) WHERE k = 1""", "m AS (SELECT r, c, px FROM lat WHERE dot AND px IS NOT NULL)"))
 def nearest_fill(spark, sf_dir):
-    df = view(spark, sf_dir).select("r", "c", F.when(DOT, F.col("px")).alias("px"))
+    df = view(spark, sf_dir).select("r", "c", F.when(F.col("dot"), F.col("px")).alias("px"))
     return T.nearest_fill(df, "px", "v").filter("r % 7 = 0").select("r", "c", r6("v").alias("px"))
 
 
@@ -42,7 +41,7 @@ _CROSS = values_sql("o", "dr, dc", cross_offsets(3))
 
 @query(sql("SELECT DISTINCT (r + dr)::INT AS r, (c + dc)::INT AS c FROM lat, o WHERE cat", _CROSS))
 def dilate_cross(spark, sf_dir):
-    return T.dilate(view(spark, sf_dir).filter(CAT), 3)
+    return T.dilate(view(spark, sf_dir).filter(F.col("cat")), 3)
 
 
 @query(sql("SELECT (r + dr)::INT AS r, (c + dc)::INT AS c FROM lat, o WHERE foot GROUP BY 1, 2 HAVING count(*) = 25", _CROSS))
@@ -53,14 +52,14 @@ def erode_cross(spark, sf_dir):
 @query(sql("SELECT l.r, l.c FROM lat l ANTI JOIN b ON l.r = b.r AND l.c = b.c WHERE foot", "p AS (SELECT r, c FROM lat WHERE cat)", _NEAR("b", "p", 2)))
 def buffer_exclusion(spark, sf_dir):
     df = view(spark, sf_dir)
-    return T.beyond(df.filter(FOOT), df.filter(CAT), 2).select("r", "c")
+    return T.beyond(df.filter(F.col("foot")), df.filter(F.col("cat")), 2).select("r", "c")
 
 
 @query(sql("SELECT l.r, l.c, round(d, 6) AS dist FROM lat l JOIN b ON l.r = b.r AND l.c = b.c WHERE foot AND d >= 1", "p AS (SELECT r, c FROM lat WHERE cat)", _NEAR("b", "p", 6)))
 def hard_negative_ring(spark, sf_dir):
     df = view(spark, sf_dir)
-    ring = T.near(df.filter(CAT), 6).filter("d >= 1")
-    return df.filter(FOOT).join(ring, ["r", "c"]).select("r", "c", F.round("d", 6).alias("dist"))
+    ring = T.near(df.filter(F.col("cat")), 6).filter("d >= 1")
+    return df.filter(F.col("foot")).join(ring, ["r", "c"]).select("r", "c", F.round("d", 6).alias("dist"))
 
 
 _EDGES = [0.5, 1.5, 2.5, 4.5, 8.5, 16.5]
@@ -70,8 +69,8 @@ _REL = "rel AS (SELECT *, area >= 200 AND density > 0 AS usable, density / (SELE
 
 
 def _profile(df):
-    edt = T.distance(df, CAT)
-    return edt, T.profile(edt.filter(FOOT), "truth", "d2", _EDGES, 200)
+    edt = T.distance(df, F.col("cat"))
+    return edt, T.profile(edt.filter(F.col("foot")), "truth", "d2", _EDGES, 200)
 
 
 @query(sql(f"SELECT bin, area, hits, {n6('rel')} AS rel, usable FROM rel", _EDT.format(mask="cat"), _PROFILE, _REL))
@@ -83,7 +82,7 @@ def density_profile(spark, sf_dir):
 def profile_weights(spark, sf_dir):
     edt, prof = _profile(view(spark, sf_dir))
     band = sum((F.when(F.sqrt("d2") > e, 1).otherwise(0) for e in _EDGES[1:]), F.when(F.sqrt("d2") > _EDGES[0], 1).otherwise(0))
-    joined = edt.filter(FOOT).withColumn("bin", band).join(prof.select("bin", "rel", "usable"), "bin")
+    joined = edt.filter(F.col("foot")).withColumn("bin", band).join(prof.select("bin", "rel", "usable"), "bin")
     return joined.select("r", "c", r6(F.when(F.col("usable"), F.least(F.greatest("rel", F.lit(0.15)), F.lit(2.0))).otherwise(0.0)).alias("weight"))
 
 
@@ -99,7 +98,7 @@ comps AS (SELECT p.r, p.c, (dense_rank() OVER (ORDER BY first))::INT AS comp FRO
 
 
 def _labelled(spark, sf_dir):
-    return C.components(view(spark, sf_dir).filter((F.col("okey") % 3 == 0) & FOOT))
+    return C.components(view(spark, sf_dir).filter((F.col("okey") % 3 == 0) & F.col("foot")))
 
 
 @query(sql("SELECT r, c, comp FROM comps", _LABEL, recursive=True))
@@ -124,12 +123,12 @@ _BLOCK = lambda r="r", c="c": "((" + " + ".join(f"({r} >= {int(HEIGHT * i / 4)})
 @query(sql(f"SELECT {_BLOCK()} AS block, count(*) AS cells, count(*) FILTER (foot) AS inside FROM lat GROUP BY 1"))
 def uniform_blocks(spark, sf_dir):
     df = view(spark, sf_dir).withColumn("block", H.uniform_block(HEIGHT, WIDTH, 4, 2))
-    return df.groupBy("block").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(FOOT, 1)).alias("inside"))
+    return df.groupBy("block").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("foot"), 1)).alias("inside"))
 
 
 @query(sql("SELECT ((r >= q[1])::INT + (r >= q[2])::INT) * 2 + (c >= w)::INT AS block, count(*) AS cells FROM lat, (SELECT quantile_cont(r, [1/3::DOUBLE, 2/3::DOUBLE]) AS q, quantile_cont(c, 0.5) AS w FROM lat WHERE dot) GROUP BY 1"))
 def quantile_blocks(spark, sf_dir):
-    return H.quantile_block(view(spark, sf_dir), DOT, 3, 2).groupBy("block").agg(F.count(F.lit(1)).alias("cells"))
+    return H.quantile_block(view(spark, sf_dir), F.col("dot"), 3, 2).groupBy("block").agg(F.count(F.lit(1)).alias("cells"))
 
 
 _STATS = "st AS (SELECT comp, count(*) AS size, floor(avg(r))::INT AS r, floor(avg(c))::INT AS c FROM comps GROUP BY 1)"
@@ -156,7 +155,7 @@ def fold_alignment_audit(spark, sf_dir):
 
 
 def _allowed(df):
-    return T.beyond(df.filter(FOOT), df.filter(CAT), 2)
+    return T.beyond(df.filter(F.col("foot")), df.filter(F.col("cat")), 2)
 
 
 @query()
@@ -171,7 +170,7 @@ def emit_prefix_budget(spark, sf_dir):
 
 @query(sql("SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))::DOUBLE AS d2 FROM p a LEFT JOIN p b ON abs(a.r - b.r) <= 8 AND abs(a.c - b.c) <= 8 AND (a.r <> b.r OR a.c <> b.c) AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 64 GROUP BY 1, 2", "p AS (SELECT r, c FROM lat WHERE dot)"))
 def spacing_knn2(spark, sf_dir):
-    return E.spacing_knn(view(spark, sf_dir).filter(DOT).select("r", "c"), 8).select("r", "c", "d2")
+    return E.spacing_knn(view(spark, sf_dir).filter(F.col("dot")).select("r", "c"), 8).select("r", "c", "d2")
 
 
 @query()
@@ -208,7 +207,7 @@ def _rounded(df, *keys):
 
 
 def _source(spark, sf_dir):
-    return view(spark, sf_dir).withColumns({"w": DOT.cast("int").cast("double"), "block": H.uniform_block(HEIGHT, WIDTH, 4, 2)}).filter(~CAT)
+    return view(spark, sf_dir).withColumns({"w": F.col("dot").cast("int").cast("double"), "block": H.uniform_block(HEIGHT, WIDTH, 4, 2)}).filter(~F.col("cat"))
 
 
 @query(sql(f"SELECT {_COLS} FROM parts", _SRC, *_dti_sql("w", "truth")))
@@ -243,19 +242,19 @@ def fold_score_delta(spark, sf_dir):
 @query(sql(f"SELECT {n6('avg(coalesce(k, 0))')} AS w, count(*) AS n FROM lat l LEFT JOIN (SELECT r + dr AS r, c + dc AS c, max(k) AS k FROM lat, credit WHERE truth GROUP BY 1, 2) s ON s.r = l.r AND s.c = l.c WHERE dot", _CREDIT))
 def expected_credit(spark, sf_dir):
     df = view(spark, sf_dir)
-    return M.credit(df.filter(DOT).select("r", "c"), df.filter(TRUTH)).select(r6("w").alias("w"), "n")
+    return M.credit(df.filter(F.col("dot")).select("r", "c"), df.filter(F.col("truth"))).select(r6("w").alias("w"), "n")
 
 
 @query(sql(f"SELECT count(*) FILTER (truth) AS shared, count(*) AS n, {n6('count(*) FILTER (truth) / count(*)')} AS leakage FROM lat WHERE dot"))
 def leakage_probe(spark, sf_dir):
     df = view(spark, sf_dir)
-    return M.leakage(df.filter(DOT).select("r", "c"), df.filter(TRUTH)).withColumn("leakage", r6("leakage"))
+    return M.leakage(df.filter(F.col("dot")).select("r", "c"), df.filter(F.col("truth"))).withColumn("leakage", r6("leakage"))
 
 
 @query(sql("SELECT l.r, l.c, s.d IS NOT NULL AS hit FROM lat l LEFT JOIN s ON s.r = l.r AND s.c = l.c WHERE dot", "p AS (SELECT r, c FROM lat WHERE truth)", _NEAR("s", "p", 3)))
 def dot_hits(spark, sf_dir):
     df = view(spark, sf_dir)
-    return M.hits(df.filter(DOT).select("r", "c"), df.filter(TRUTH)).select("r", "c", "hit")
+    return M.hits(df.filter(F.col("dot")).select("r", "c"), df.filter(F.col("truth"))).select("r", "c", "hit")
 
 
 @query(sql("SELECT l.r, l.c, truth AND h.comp IS NOT NULL AS t FROM lat l LEFT JOIN (SELECT r, c, comp FROM comps JOIN (SELECT comp FROM st WHERE size >= 4) USING (comp)) h ON h.r = l.r AND h.c = l.c WHERE dot", _LABEL, _STATS, recursive=True))
@@ -263,7 +262,7 @@ def membership_join(spark, sf_dir):
     """Cells joined to the components of at least four cells that they lie in."""
     df, lab = view(spark, sf_dir), _labelled(spark, sf_dir)
     big = lab.join(C.stats(lab).filter("size >= 4").select("comp"), "comp", "left_semi").select("r", "c", F.lit(True).alias("in_"))
-    return df.filter(DOT).join(big, ["r", "c"], "left").select("r", "c", (TRUTH & F.col("in_").isNotNull()).alias("t"))
+    return df.filter(F.col("dot")).join(big, ["r", "c"], "left").select("r", "c", (F.col("truth") & F.col("in_").isNotNull()).alias("t"))
 
 
 @query()
@@ -277,17 +276,17 @@ def greedy_spacing_stats(spark, sf_dir):
            "line AS (SELECT round_even(r - k * cos(radians(30 * (r % 6))), 0)::INT AS y, round_even(c + k * sin(radians(30 * (r % 6))), 0)::INT AS x, max(1 - abs(k) / 21::DOUBLE) AS w FROM lat, (SELECT unnest(range(-20, 21)) AS k) WHERE truth AND r % 9 = 0 GROUP BY 1, 2)",
            values_sql("disc", "dr, dc, f", [(i, j, float(1 - x / 4)) for i, j, x in offsets(3)])))
 def corridor_paint(spark, sf_dir):
-    ends = view(spark, sf_dir).filter(TRUTH & (F.col("r") % 9 == 0)).select("r", "c")
+    ends = view(spark, sf_dir).filter(F.col("truth") & (F.col("r") % 9 == 0)).select("r", "c")
     return K.corridors(ends, (30 * (F.col("r") % 6)).cast("double"), 20, 3.0).withColumn("value", r6("value"))
 
 
 @query()
 def tip_strike(spark, sf_dir):
     """Strikes at the ends of the catalogue's traces: east-west, as the traces are."""
-    traces = C.components(view(spark, sf_dir).filter(CAT))
+    traces = C.components(view(spark, sf_dir).filter(F.col("cat")))
     return K.tip_strikes(traces).select("r", "c", "comp", r6("strike").alias("strike"))
 
 
 @query()
 def thin_mask(spark, sf_dir):
-    return K.thin(T.dilate(view(spark, sf_dir).filter(CAT & (F.col("c") % 9 != 0)), 2), 8)
+    return K.thin(T.dilate(view(spark, sf_dir).filter(F.col("cat") & (F.col("c") % 9 != 0)), 2), 8)
