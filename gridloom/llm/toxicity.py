@@ -65,39 +65,38 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, pull: flo
     """Weights of all buckets and a bias (last), by AdaGrad on the whole sample.
 
     weigh: what each document counts, 1 on average. The loss is the mean
-    logistic loss, pull times the mean squared change of
-    score under swaps, and l2. Words of fewer than least documents, or whose
-    chi-square with the label is below screen, get no weight. Terms of identity also get counterfactual twins of every document
-    that is labelled, even where the sample names no group: a probe document
-    for each term must not score other than its kind's other terms.
+    logistic loss, pull times the mean squared change of score under swaps,
+    and l2. Words of fewer than least documents, or whose chi-square with the
+    label is below screen, get no weight. Where the sample names no group,
+    the swaps still count: a probe of each term must not score other than the
+    other terms of its kind.
     """
     kinds = identity_buckets()
-    twins = [swapped(d, kinds, i) for i, d in enumerate(docs)]
-    probes = [(np.array([c]), np.array([o])) for c, others in kinds.items() for o in others]
-    left, right = [*docs, *(p[0] for p in probes)], [*twins, *(p[1] for p in probes)]
-    flat = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
-    seen = np.bincount(flat, minlength=BUCKETS)
-    y = labels.astype(float)
-    inside = np.bincount(np.concatenate([*(d for d, t in zip(docs, y, strict=True) if t), np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
+    y, n = labels.astype(float), float(max(len(docs), 1))
+    seen, inside = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for d, bad in zip(docs, y, strict=True):
+        seen[d] += 1
+        if bad:
+            inside[d] += 1
     # chi-square of word against label: words that go with neither label only add noise
-    n, a, total, hits = float(max(len(docs), 1)), inside, seen.astype(float), y.sum()
-    expected = total * hits / n
-    spread = np.maximum(total * (n - total) * hits * (n - hits) / n**3, 1e-9)
-    allowed = (seen >= least) & ((a - expected) ** 2 / spread >= screen)
+    hits = y.sum()
+    expected = seen * hits / n
+    spread = np.maximum(seen * (n - seen) * hits * (n - hits) / n**3, 1e-9)
+    allowed = (seen >= least) & ((inside - expected) ** 2 / spread >= screen)
     allowed[list(kinds)] = True
-    row = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cl, rl = np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64), row(left)
-    ok = allowed[cl]
-    cl, rl = cl[ok], rl[ok]
+    docs = [d[allowed[d]].astype(np.int64) for d in docs]
+    twins = [swapped(d, kinds, i) for i, d in enumerate(docs)]
+    terms = [(c, o) for c, others in kinds.items() for o in others]
+    left, right = [*docs, *(np.array([c]) for c, _ in terms)], [*twins, *(np.array([o]) for _, o in terms)]
+    many = lambda sets: np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
+    cl, rl = many(docs), np.repeat(np.arange(len(docs)), [len(s) for s in docs])
     moved = [i for i in range(len(left)) if len(left[i]) != len(right[i]) or (left[i] != right[i]).any()]
-    cm = np.concatenate([*(np.concatenate((left[i], right[i])) for i in moved), np.empty(0, np.int64)]).astype(np.int64)
+    cm = many(np.concatenate((left[i], right[i])) for i in moved)
     rm = np.repeat(np.arange(len(moved)), [len(left[i]) + len(right[i]) for i in moved])
     sign = np.concatenate([*(np.concatenate((np.ones(len(left[i])), -np.ones(len(right[i])))) for i in moved), np.empty(0)])
     used, at = np.unique(np.concatenate((cl, cm)), return_inverse=True)
     al, am = at[: len(cl)], at[len(cl) :]
     n = int(n)
-    real = rl < len(docs)
-    al, rl = al[real], rl[real]
     w, b = np.zeros(len(used)), float(np.log(((y * weigh).sum() + 1) / (((1 - y) * weigh).sum() + 1)))
     past, past_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
@@ -147,7 +146,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, text: st
     got = sorted({(r.x, r.y) for r in got})  # copies would count a document's words again and again
     labels_of = np.array([int(y > 0) for _, y in got])
     weigh = np.where(labels_of == 1, 1 / share[1], 1 / share[0])  # each side was sampled at a rate of its own
-    weights = fit([np.frombuffer(x, np.int32).astype(np.int64) for x, _ in got], labels_of, weigh / weigh.mean()) if got else np.zeros(BUCKETS + 1)
+    weights = fit([np.frombuffer(x, np.int32) for x, _ in got], labels_of, weigh / weigh.mean()) if got else np.zeros(BUCKETS + 1)
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
