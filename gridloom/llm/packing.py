@@ -23,6 +23,8 @@ from .common import slices
 
 #: Words that a Python worker remembers the ids of; beyond it starts anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at a time: the more, the fewer distinct words for each.
+SLICE = 6 << 20
 #: Tokens that the program looks at before it hands out sequences.
 BLOCK_TOKENS = 1 << 18
 
@@ -90,16 +92,18 @@ class Tokens:
         marks = pc.subtract(pc.binary_length(lower), pc.binary_length(core)).to_numpy()
         # a word and the marks after it are encoded apart only where one mark or none follows plain letters
         split = ascii_ & (marks == 1) & pc.match_substring_regex(core, "^[a-z]+$").to_numpy(zero_copy_only=False)
-        heads = pc.if_else(pa.array(split), core, lower).to_pylist()
-        tails = pc.if_else(pa.array(split), pc.utf8_slice_codeunits(lower, -1), "").to_pylist()
-        marks_of = sorted(set(tails) - {""})
-        self.learn([w for w in dict.fromkeys([*marks_of, *heads]) if w not in self.known])
+        parted = pa.array(split)
+        heads = pc.if_else(parted, core, lower).dictionary_encode()
+        tails = pc.if_else(parted, pc.utf8_slice_codeunits(lower, -1), "").dictionary_encode()
         known = self.known
-        head = np.fromiter((known[w] for w in heads), np.int64, len(heads))
-        tail = np.fromiter((known[w] if w else -1 for w in tails), np.int64, len(tails))
-        size = self.n[head] + np.where(tail >= 0, self.n[tail], 0)
+        names = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+        self.learn([w for w in dict.fromkeys(names) if w not in known])
+        number = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        head = number[heads.indices.to_numpy()]
+        tail = number[len(heads.dictionary) :][tails.indices.to_numpy()]  # the empty word has no ids
+        size = self.n[head] + self.n[tail]
         # ids of the distinct words in a row, then of all words by gathering from it
-        flat = gather(self.pool, np.stack((self.at[head], np.where(tail >= 0, self.at[tail], 0)), 1).ravel(), np.stack((self.n[head], np.where(tail >= 0, self.n[tail], 0)), 1).ravel())
+        flat = gather(self.pool, np.stack((self.at[head], self.at[tail]), 1).ravel(), np.stack((self.n[head], self.n[tail]), 1).ravel())
         first = np.cumsum(size) - size
         counts = size[code]
         ids = gather(flat, first[code], counts)
@@ -111,9 +115,9 @@ class Tokens:
 
 def gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """pool[starts[0]:starts[0]+counts[0]], then the next range, and so on, in one array."""
-    total = int(counts.sum())
-    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    return pool[np.arange(total) + shift]
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 def cut(points: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
@@ -243,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, t
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            for first, rows in slices(batch.column(1)):
+            for first, rows in slices(batch.column(1), SLICE):
                 ids, counts, stops = tokens.encode(rows)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, np.uint32(end_id))
