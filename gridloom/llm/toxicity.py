@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, keep, slices
 
 #: Buckets of hashed words, lengths in bytes of the beginnings that count as well (inflected words share them), and labelled documents that the classifier is fitted on at most.
 BUCKETS, PREFIXES, TRAIN_ROWS = 1 << 20, (4, 5, 6, 7, 8), 6000
@@ -130,6 +130,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, text: st
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL").groupBy("__id").agg(F.max("__y").alias("__y"))
+    # counts, too, are of rows that may be learned from
+    marks = keep(marks.join(docs.filter(train).select(F.col(doc_id).alias("__id")), "__id", "left_semi"), "toxicity_marks")
     bad = F.col("__y") > 0
     toxic, clean = marks.agg(F.count(F.when(bad, 1)), F.count(F.when(~bad, 1))).first()
     share = [min(1.0, train_rows / 2 / max(n, 1)) for n in (clean, toxic)]
