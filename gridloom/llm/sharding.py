@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
+#: Buckets up to which their offsets (16 bytes each) are broadcast; beyond, records and offsets are shuffled to meet.
+BROADCAST_BUCKETS = 500_000
+
 
 def shuffled(df: DataFrame, size: str, seed: int = 17, bucket_bytes: int = 32 << 20, least: int = 64) -> DataFrame:
     """df in random order: adds position (gapless from 0 over the whole table), in partitions of whole buckets.
@@ -42,6 +45,8 @@ def shuffled(df: DataFrame, size: str, seed: int = 17, bucket_bytes: int = 32 <<
         pairs.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
         .select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
     )  # a row per bucket, not per record
+    if buckets <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
     return pairs.join(before, "__bucket").select((F.col("__before") + F.col("__i")).alias("position"), *(F.col(f"__row.`{c}`").alias(c) for c in df.columns))
 
 
