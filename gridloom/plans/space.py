@@ -33,7 +33,7 @@ def distance_to_mask(spark, sf_dir):
   FROM lat l JOIN m ON abs(m.r - l.r) <= 60 AND abs(m.c - l.c) <= 50 WHERE l.r % 7 = 0) WHERE k = 1""", "m AS (SELECT r, c, px FROM lat WHERE dot AND px IS NOT NULL)"))
 def nearest_fill(spark, sf_dir):
     df = view(spark, sf_dir).select("r", "c", F.when(F.col("dot"), F.col("px")).alias("px"))
-    return T.nearest_fill(df, "px", "v").filter("r % 7 = 0").select("r", "c", r6("v").alias("px"))
+    return T.nearest_fill(df, "px", "v").select("r", "c", r6("v").alias("px"))
 
 
 _CROSS = values_sql("o", "dr, dc", cross_offsets(3))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from gridloom.plans import registry
@@ -36,3 +37,15 @@ def test_entry_is_registered():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "poisson_emit" in entry.queries()
+
+
+def test_nearest_fill_returns_every_cell(spark, con):
+    """Brute force over the whole lattice; the SQL looks at every seventh row only."""
+    sources = np.array(sorted(con.sql(registry.SQL["distance_to_mask"].rsplit("SELECT", 1)[0] + "SELECT r, c, px FROM lat WHERE dot AND px IS NOT NULL").fetchall()))
+    got = {(x.r, x.c): x.px for x in registry.QUERIES["nearest_fill"](spark, SF).collect()}
+    assert set(got) == {(r, c) for r in range(358) for c in range(50)}
+    for (r, c), px in got.items():
+        # sources are in order of row and column, and argmin takes the first of the nearest
+        assert abs(px - sources[((sources[:, 0] - r) ** 2 + (sources[:, 1] - c) ** 2).argmin(), 2]) < 1e-6
+    checked = con.sql(registry.SQL["nearest_fill"]).fetchall()
+    assert checked and all(got[r, c] == px for r, c, px in checked)
