@@ -56,26 +56,54 @@ def spacing_knn(points: DataFrame, radius: int) -> DataFrame:
     return points.join(other, ["r", "c"], "left")
 
 
-def max_cover(scored: DataFrame, score: str, budget: int) -> DataFrame:
-    """Sequential greedy for covering: each step takes the point that adds most score times credit within three cells.
+def max_cover(scored: DataFrame, score: str, budget: int, front: int = 4096) -> DataFrame:
+    """Sequential greedy for covering: each step takes the cell that adds most score times credit within three cells.
 
-    A step is one small job on the gains; meant for budgets of tens. Gains
-    are kept per cell, and only cells near the point taken change.
+    Every cell of scored may be taken, also one whose own score is 0 or null.
+    The gains of all cells are computed once. Taking a cell changes only the
+    gains within two radii of it: those are computed anew from the scores
+    around, which is all that a step reads; they are kept on the driver (113
+    cells a step at most). The other cells are read in order of their gain,
+    front at a time. Equal gains go by row, then column.
     """
-    from ..functions.kernels import credit_offsets
+    from ..functions.kernels import RADIUS, credit_offsets
 
     spark = scored.sparkSession
-    weight = settle(scored.filter(F.col(score) > 0).select("r", "c", F.col(score).alias("w")))
-    covered = weight.withColumn("best", F.lit(0.0))
-    out = []
     moves = credit_offsets()
-    for step in range(1, budget + 1):
-        offers = spread(covered, moves, ["dr", "dc", "k"]).withColumn("gain", F.col("w") * F.greatest(F.col("k") - F.col("best"), F.lit(0.0)))
-        top = offers.join(weight.select("r", "c"), ["r", "c"]).groupBy("r", "c").agg(F.sum("gain").alias("gain")).orderBy(F.desc(F.round("gain", 9)), "r", "c").limit(1).collect()
-        if not top or top[0].gain <= 0:
+    reach = math.ceil(RADIUS)
+    key = lambda gain, r, c: (-round(gain, 9), r, c)
+    cells = settle(scored.select("r", "c", F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w")))
+    offers = spread(cells.filter("w > 0"), moves, ["dr", "dc", "k"]).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("k")).alias("gain"))
+    gains = settle(offers.join(cells.select("r", "c"), ["r", "c"]).withColumn("down", -F.round("gain", 9)))
+    best: dict[tuple[int, int], float] = {}
+    changed: dict[tuple[int, int], float] = {}
+    ahead, at, more = [], 0, True
+    out = []
+    while len(out) < budget:
+        # the best of the cells whose gain is as at the start
+        while True:
+            while at < len(ahead) and (ahead[at].r, ahead[at].c) in changed:
+                at += 1
+            if at < len(ahead) or not more:
+                break
+            rest = gains
+            if ahead:
+                z = ahead[-1]
+                rest = gains.filter((F.col("down") > z.down) | ((F.col("down") == z.down) & ((F.col("r") > z.r) | ((F.col("r") == z.r) & (F.col("c") > z.c)))))
+            ahead, at = rest.orderBy("down", "r", "c").limit(front).collect(), 0
+            more = len(ahead) == front
+        tops = [(key(g, *p), g) for p, g in changed.items() if g > 0]
+        top = min(tops) if tops else None
+        if at < len(ahead) and (top is None or key(ahead[at].gain, ahead[at].r, ahead[at].c) < top[0]):
+            top = key(ahead[at].gain, ahead[at].r, ahead[at].c), ahead[at].gain
+        if top is None or top[1] <= 0:
             break
-        r, c, gain = top[0]
-        out.append((r, c, step, float(gain)))
-        d = F.sqrt((F.col("r") - r) * (F.col("r") - r) + (F.col("c") - c) * (F.col("c") - c))
-        covered = settle(covered.withColumn("best", F.greatest("best", 1 - d / 3.0)))
+        (_, r, c), gain = top
+        out.append((r, c, len(out) + 1, float(gain)))
+        for i, j, k in moves:
+            best[r + i, c + j] = max(k, best.get((r + i, c + j), 0.0))
+        around = {(x.r, x.c): x.w for x in cells.filter(F.col("r").between(r - 3 * reach, r + 3 * reach) & F.col("c").between(c - 3 * reach, c + 3 * reach)).collect()}
+        for (y, x) in around:
+            if (y - r) ** 2 + (x - c) ** 2 < 4 * RADIUS * RADIUS:
+                changed[y, x] = math.fsum(around.get((y + i, x + j), 0.0) * max(k - best.get((y + i, x + j), 0.0), 0.0) for i, j, k in moves)
     return spark.createDataFrame(out, "r int, c int, step int, gain double")

@@ -175,8 +175,8 @@ def spacing_knn2(spark, sf_dir):
 
 @query()
 def greedy_maxcover(spark, sf_dir):
-    small = view(spark, sf_dir).filter("foot AND r < 40").select("r", "c", "score")
-    return E.max_cover(small, "score", 3).withColumn("gain", r6("gain"))
+    inside = view(spark, sf_dir).filter("foot").select("r", "c", "score")
+    return E.max_cover(inside, "score", 50).withColumn("gain", r6("gain"))
 
 
 # -- metrics --------------------------------------------------------------------

@@ -186,3 +186,36 @@ def test_stream_matches_batch(spark, tmp_path):
     out = spark.table("sprt").filter("NOT rejected").orderBy(F.desc("n")).first()
     want = decision.sprt_sign(df).first()
     assert out.n == want.stopped_at and out.decision == want.decision and math.isclose(out.llr, want.llr)
+
+
+def cover(score, budget):
+    best, out = np.zeros(score.shape), []
+    cells = [(r, c) for r in range(score.shape[0]) for c in range(score.shape[1])]
+
+    def gain(r, c):
+        return sum(score[r + i, c + j] * max(k - best[r + i, c + j], 0) for i, j, k in credit_offsets() if 0 <= r + i < score.shape[0] and 0 <= c + j < score.shape[1])
+
+    for _ in range(budget):
+        r, c = min(cells, key=lambda p: (-round(gain(*p), 9), *p))
+        if gain(r, c) <= 0:
+            break
+        out.append((r, c, gain(r, c)))
+        for i, j, k in credit_offsets():
+            if 0 <= r + i < score.shape[0] and 0 <= c + j < score.shape[1]:
+                best[r + i, c + j] = max(k, best[r + i, c + j])
+    return out
+
+
+@pytest.mark.parametrize(("scores", "front"), [("even", 4096), ("few", 7), ("ring", 5)])
+def test_max_cover_equals_the_sequential_rule(spark, scores, front):
+    s = np.round(np.random.default_rng(9).random((14, 13)), 1)
+    if scores == "few":
+        s[s < 0.9] = 0
+    if scores == "ring":  # the best cell has no score of its own
+        s[:] = 0
+        s[4:7, 4:7] = 0.5
+        s[5, 5] = 0
+    rows = emission.max_cover(grid(spark, s=s), "s", 12, front=front).orderBy("step").collect()
+    want = cover(s, 12)
+    assert [(x.r, x.c, x.step) for x in rows] == [(r, c, k + 1) for k, (r, c, _) in enumerate(want)]
+    np.testing.assert_allclose([x.gain for x in rows], [g for _, _, g in want], atol=1e-9)

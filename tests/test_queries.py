@@ -49,3 +49,9 @@ def test_nearest_fill_returns_every_cell(spark, con):
         assert abs(px - sources[((sources[:, 0] - r) ** 2 + (sources[:, 1] - c) ** 2).argmin(), 2]) < 1e-6
     checked = con.sql(registry.SQL["nearest_fill"]).fetchall()
     assert checked and all(got[r, c] == px for r, c, px in checked)
+
+
+def test_greedy_maxcover_takes_cells_of_the_whole_footprint(spark):
+    rows = sorted(registry.QUERIES["greedy_maxcover"](spark, SF).collect(), key=lambda x: x.step)
+    assert [x.step for x in rows] == list(range(1, 51)) and max(x.r for x in rows) >= 40
+    assert all(a.gain >= b.gain for a, b in zip(rows, rows[1:], strict=False))
