@@ -276,8 +276,8 @@ def greedy_spacing_stats(spark, sf_dir):
            "line AS (SELECT round_even(r - k * cos(radians(30 * (r % 6))), 0)::INT AS y, round_even(c + k * sin(radians(30 * (r % 6))), 0)::INT AS x, max(1 - abs(k) / 21::DOUBLE) AS w FROM lat, (SELECT unnest(range(-20, 21)) AS k) WHERE truth AND r % 9 = 0 GROUP BY 1, 2)",
            values_sql("disc", "dr, dc, f", [(i, j, float(1 - x / 4)) for i, j, x in offsets(3)])))
 def corridor_paint(spark, sf_dir):
-    ends = view(spark, sf_dir).filter(F.col("truth") & (F.col("r") % 9 == 0)).select("r", "c")
-    return K.corridors(ends, (30 * (F.col("r") % 6)).cast("double"), 20, 3.0).withColumn("value", r6("value"))
+    ends = view(spark, sf_dir).filter("truth").select("r", "c")
+    return K.corridors(ends, (30 * (F.col("r") % 6)).cast("double"), 60, 3.0).withColumn("value", r6("value"))
 
 
 @query()

@@ -1,11 +1,15 @@
 """Registered lattice queries against their SQL on the smallest tables."""
 
+import math
 import os
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom.functions.kernels import offsets
+from gridloom.operators import corridor
 from gridloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +59,29 @@ def test_greedy_maxcover_takes_cells_of_the_whole_footprint(spark):
     rows = sorted(registry.QUERIES["greedy_maxcover"](spark, SF).collect(), key=lambda x: x.step)
     assert [x.step for x in rows] == list(range(1, 51)) and max(x.r for x in rows) >= 40
     assert all(a.gain >= b.gain for a, b in zip(rows, rows[1:], strict=False))
+
+
+def painted(ends, steps):
+    line, out = {}, {}
+    for r, c in ends:
+        a = math.radians(30 * (r % 6))
+        for k in range(-steps, steps + 1):
+            p = round(r - k * math.cos(a)), round(c + k * math.sin(a))
+            line[p] = max(line.get(p, 0), 1 - abs(k) / (steps + 1))
+    for (r, c), w in line.items():
+        for i, j, d in offsets(3):
+            out[r + i, c + j] = max(out.get((r + i, c + j), 0), w * (1 - d / 4))
+    return out
+
+
+def test_corridor_paint_starts_at_every_truth_cell(spark, con):
+    """Brute force for all ends; the SQL paints from every ninth row, 20 steps far, and is held against the operator for that."""
+    lat = registry.SQL["distance_to_mask"].rsplit("SELECT", 1)[0]
+    ends = con.sql(lat + "SELECT r, c FROM lat WHERE truth").fetchall()
+    want = painted(ends, 60)
+    got = {(x.r, x.c): x.value for x in registry.QUERIES["corridor_paint"](spark, SF).collect()}
+    assert set(got) == set(want) and all(abs(v - want[p]) < 1e-6 for p, v in got.items())
+    some = spark.createDataFrame([p for p in ends if p[0] % 9 == 0], "r int, c int")
+    part = corridor.corridors(some, (30 * (F.col("r") % 6)).cast("double"), 20, 3.0).collect()
+    checked = {(r, c): v for r, c, v in con.sql(registry.SQL["corridor_paint"]).fetchall()}
+    assert {(x.r, x.c) for x in part} == set(checked) and all(abs(x.value - checked[x.r, x.c]) < 2e-6 for x in part)
