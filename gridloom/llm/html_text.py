@@ -26,6 +26,9 @@ CLOSES_P = BLOCK - frozenset(("body", "html", "td", "th", "tr", "tbody", "thead"
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog head title".split())
 ASIDE_NAMES = frozenset("ad ads adv advert advertisement advertising sponsored sponsor promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login form search comment comments disqus reply replies widget toolbar pagination pager copyright legal disclaimer skip".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Parts of a name that say how a page is laid out, those whose header is a headline, those of what readers write, and elements that may end in their own tag.
+LAYOUT, HEADED = frozenset("with without no has".split()), frozenset("entry article post content".split())
+REPLIES, FOREIGN = frozenset("comment comments disqus reply replies".split()), frozenset(("svg", "math"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -35,33 +38,62 @@ _SPACE = re.compile(r"\s+")
 _END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | {"title"}}
 
 
-def place(tag: str, attributes: str, outer: str) -> str:
-    """The kind of place that an element opens: aside, article, or as outside it."""
+def place(tag: str, attributes: str, outer: str, inner: bool = False) -> str:
+    """The kind of place that an element opens: aside, article, or as outside it; with inner, an article ends the aside that it stands in."""
+    named = bool(attributes) and tag not in ("html", "body") and is_aside(attributes, outer)
     if outer == "aside" or tag in ASIDE_TAGS:
         # a header in an article holds the article's own headline
-        return "article" if tag == "header" and outer == "article" and not _names(attributes) & ASIDE_NAMES else "aside"
-    if attributes and _names(attributes) & ASIDE_NAMES and tag not in ("html", "body"):
+        own = (tag == "header" and outer == "article") or (inner and tag in ARTICLE_TAGS)
+        return "article" if own and not named else "aside"
+    if named:
         return "aside"
     return "article" if tag in ARTICLE_TAGS else outer
 
 
+def is_aside(attributes: str, outer: str = "plain") -> bool:
+    """Whether a name in a class, id or role has a part that marks an aside. Names of a layout ('no-sidebar') and of a headline ('entry-header') do not."""
+    for name in _names(attributes):
+        parts = set(_PART.split(name))
+        marks = parts & ASIDE_NAMES
+        if outer == "article" or parts & HEADED:
+            marks.discard("header")
+        if marks and not parts & LAYOUT:
+            return True
+    return False
+
+
 def _names(attributes: str) -> set[str]:
     found: set[str] = set()
     for m in _ATTR.finditer(attributes):
-        found.update(_PART.split((m[2] or m[3] or m[4] or "").lower()))
+        found.update((m[2] or m[3] or m[4] or "").lower().split())
     return found
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, place) for every tag and run of text: kinds are open, close, void and text."""
-    stack: list[tuple[str, str]] = []
+def tokens(page: str, kept: frozenset[int] = frozenset(), inner: bool = False, held: dict[int, int] | None = None) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, place) for every tag and run of text: kinds are open, close, void and text.
+
+    kept: places in the page of elements that are no asides, whatever their
+    names. held takes the words of each element that its name or form makes
+    an aside, by its place in the page, and under -1 those of the whole page;
+    words in other asides by tag (nav, footer) are not counted.
+    """
+    stack: list[tuple[str, str, int]] = []
     at, where = 0, "plain"
+
+    def count(text: str) -> None:
+        if held is not None and not any(t in ASIDE_TAGS and t != "form" for t, _, _ in stack):
+            n = len(text.split())
+            for k in (-1, *(k for _, _, k in stack if k >= 0)):
+                held[k] = held.get(k, 0) + n
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
+            count(page[at:])
             yield "text", page[at:], where
             return
         if m.start() > at:
+            count(page[at : m.start()])
             yield "text", page[at : m.start()], where
         at = m.end()
         name = _NAME.match(m[0])
@@ -69,28 +101,49 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag = name[1].lower()
         if m[0][1] == "/":
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 where = stack[-1][1] if stack else "plain"
             yield "close", tag, where
-        elif tag in _END_RAW:
+        elif tag in _END_RAW and not (tag in FOREIGN and m[0].endswith("/>")):
             end = _END_RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             yield "void", tag, where
         elif tag in VOID or m[0].endswith("/>"):
             yield "void", tag, where
         else:
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
+            if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
                 # an open paragraph ends here, with the inline elements in it
-                cut = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if all(t not in BLOCK for t, _ in stack[cut + 1 :]):
+                cut = max(i for i, (t, _, _) in enumerate(stack) if t == "p")
+                if all(t not in BLOCK for t, _, _ in stack[cut + 1 :]):
                     del stack[cut:]
-            where = place(tag, m[0][name.end() : -1], stack[-1][1] if stack else "plain")
-            stack.append((tag, where))
+            outer, attributes = stack[-1][1] if stack else "plain", m[0][name.end() : -1]
+            if m.start() in kept:
+                where = "article" if tag in ARTICLE_TAGS and (inner or outer != "aside") else outer
+            else:
+                where = place(tag, attributes, outer, inner)
+            wraps = held is not None and tag not in ("html", "body") and (tag == "form" or (tag not in ASIDE_TAGS and attributes and is_aside(attributes) and not _names_parts(attributes) & REPLIES))
+            stack.append((tag, where, m.start() if wraps else -1))
             yield "open", tag, where
 
 
+def _names_parts(attributes: str) -> set[str]:
+    return {p for name in _names(attributes) for p in _PART.split(name)}
+
+
+def placed(page: str) -> list[tuple[str, str, str]]:
+    """The tokens of a page. An element that holds most of its words is a wrapper and no aside, whatever its name; where all articles stand in asides, an article ends the aside around it."""
+    held: dict[int, int] = {}
+    seq = list(tokens(page, held=held))
+    kept = frozenset(k for k, n in held.items() if k >= 0 and 2 * n > held[-1])
+    if kept:
+        seq = list(tokens(page, kept))
+    if not any(where == "article" for _, _, where in seq) and any(kind == "open" and value in ARTICLE_TAGS for kind, value, _ in seq):
+        seq = list(tokens(page, kept, inner=True))
+    return seq
+
+
 #: Pages whose content is known, from which the weights come: (place, is content) for words, as (tag, is content) for what surrounds a tag.
 LABELLED = [
     ("<html><head><title>T one</title></head><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><article><h1>[Head line one]</h1><p>[Some words of the text stand here and go on for a while.]</p><p>[More words in another paragraph, with <b>bold</b> ones.]</p></article><footer>Rights reserved</footer></body></html>"),
@@ -129,14 +182,15 @@ def main_text(page: str | None, word: dict[str, float] = WORD_WEIGHT, tag: dict[
 
     Where a page has an article or main element, words outside any such
     element score below zero, so the part is the article at its longest. In
-    the part, blocks that stand aside (adverts, forms, comments) are left out.
+    the part, blocks that stand aside (adverts, forms, comments) are left out
+    and cost next to nothing, however long they are.
     A part of equal score that begins earlier wins.
     """
     if not page:
         return ""
-    seq = list(tokens(page))
+    seq = placed(page)
     marked = any(where == "article" for _, _, where in seq)
-    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
+    best, best_at, total, begin, spent = 0.0, (0, 0), 0.0, 0, 0.0
     for i, (kind, value, where) in enumerate(seq):
         if kind == "text":
             n = len(value.split())
@@ -146,10 +200,14 @@ def main_text(page: str | None, word: dict[str, float] = WORD_WEIGHT, tag: dict[
             elif where != "aside":
                 weight = max(weight, 0.5)
             score = n * weight
-            if marked and where == "aside":
-                score = max(score, -1.0)  # asides in an article don't part it
+            if n and where != "aside":
+                spent = 0.0
         else:
             score = tag.get(value, -0.5) * (0.02 if marked and where == "article" else 0.2)
+        if where == "aside":
+            # asides are left out below, so they don't part the content: all that stand between two words of it cost 1 at most
+            score = max(score, -1.0 - spent)
+            spent += score
         if total <= 0:
             total, begin = 0.0, i
         total += score

@@ -311,6 +311,28 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LEAD, REST = "Thirty words of a lead " * 6, "the rest goes on for some more words than that " * 8
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><p>{LEAD}</p><div class=ad>{'buy now ' * 40}</div><p>{REST}</p></body>",
+        f"<body><p>{LEAD}</p><ul class=share>{'<li><a>Share this</a></li>' * 12}</ul><p>{REST}</p></body>",
+        f"<body><div class='with-sidebar'><p>{LEAD}</p><p>{REST}</p></div><div class=sidebar>Side words</div></body>",
+        f"<body><div id=wrap class='content sidebar'><div><p>{LEAD}</p><p>{REST}</p></div><div class=sidebar>Side words</div></div></body>",
+        f"<body class=search><form id=aspnet><div class=legal><p>{LEAD}</p><p>{REST}</p></div></form></body>",
+        f"<body><div class='page notice'><article><p>{LEAD}</p><p>{REST}</p></article></div><ul id=comments>{'<li>nice post indeed</li>' * 90}</ul></body>",
+        f"<body><article><header class='entry-header'><p>{LEAD}</p></header><p>{REST}</p></article></body>",
+        f"<body><article><div class='post-header'><p>{LEAD}</p></div><p>{REST}</p><section id=comments>{'<p>nice post indeed</p>' * 90}</section></article></body>",
+        f"<body><p>{LEAD}</p><svg width='9'/><p>{REST}</p></body>",
+        f"<body><article><p>{LEAD}</p><math/><p>{REST}</p></article><svg><text>none</text></svg></body>",
+    ],
+)
+def test_main_text_keeps_all_of_it_on_other_shapes(page):
+    assert html_text.main_text(page) == f"{LEAD.strip()}\n\n{REST.strip()}"
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a  b</p>", "x"), (1, "u", "<p>a  b</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(df, "html", "page_id", "url").collect()) == ["", "a b", "a b"]
