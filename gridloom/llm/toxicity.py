@@ -44,21 +44,24 @@ def buckets_of(rows: list[bytes]) -> list[np.ndarray]:
     return [found[a:b] % BUCKETS for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def identity_buckets() -> dict[int, list[int]]:
-    """The bucket of each identity term, with those of the other terms of its kind."""
+def identity_buckets() -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+    """By the bucket of each identity term: all buckets of the term (its word and its beginnings), and those of each other term of its kind."""
     found = {}
     for terms in IDENTITY_TERMS.values():
-        codes = (Words([t.encode() for t in terms]).hash >> np.uint64(64 - 20)).astype(np.int64).tolist()
-        for c in codes:
-            found[c] = [x for x in codes if x != c]
+        names = [t.encode() for t in terms]
+        codes, sets = (Words(names).hash >> np.uint64(64 - 20)).astype(np.int64).tolist(), buckets_of(names)
+        for i, c in enumerate(codes):
+            found[c] = sets[i], [x for j, x in enumerate(sets) if j != i]
     return found
 
 
-def swapped(doc: np.ndarray, kinds: dict[int, list[int]], turn: int) -> np.ndarray:
-    """The document with each identity term swapped for another of its kind."""
-    if not len(doc):
+def swapped(doc: np.ndarray, kinds: dict[int, tuple[np.ndarray, list[np.ndarray]]], turn: int) -> np.ndarray:
+    """The document with each identity term, beginnings included, swapped for another of its kind."""
+    named = doc[np.isin(doc, list(kinds))].tolist()
+    if not named:
         return doc
-    return np.unique([kinds[c][turn % len(kinds[c])] if c in kinds else c for c in doc.tolist()])
+    stays = np.setdiff1d(doc, np.concatenate([kinds[c][0] for c in named]))
+    return np.unique(np.concatenate([stays, *(kinds[c][1][turn % len(kinds[c][1])] for c in named)]))
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, pull: float = 1.0, l2: float = 2e-5, rounds: int = 300, rate: float = 0.5, least: int = 3, screen: float = 12.0) -> np.ndarray:
@@ -83,11 +86,11 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, pull: flo
     expected = seen * hits / n
     spread = np.maximum(seen * (n - seen) * hits * (n - hits) / n**3, 1e-9)
     allowed = (seen >= least) & ((inside - expected) ** 2 / spread >= screen)
-    allowed[list(kinds)] = True
+    allowed[np.concatenate([own for own, _ in kinds.values()])] = True
     docs = [d[allowed[d]].astype(np.int64) for d in docs]
     twins = [swapped(d, kinds, i) for i, d in enumerate(docs)]
-    terms = [(c, o) for c, others in kinds.items() for o in others]
-    left, right = [*docs, *(np.array([c]) for c, _ in terms)], [*twins, *(np.array([o]) for _, o in terms)]
+    terms = [(own, other) for own, others in kinds.values() for other in others]
+    left, right = [*docs, *(own for own, _ in terms)], [*twins, *(other for _, other in terms)]
     many = lambda sets: np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
     cl, rl = many(docs), np.repeat(np.arange(len(docs)), [len(s) for s in docs])
     moved = [i for i in range(len(left)) if len(left[i]) != len(right[i]) or (left[i] != right[i]).any()]

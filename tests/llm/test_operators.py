@@ -288,6 +288,34 @@ def test_toxicity_learns_words_not_groups(spark):
     assert all(0 <= x.score <= 1 for x in out.values())
 
 
+@pytest.mark.parametrize(("term", "kind"), [("muslims", "religion"), ("immigrants", "origin"), ("women", "gender")])
+def test_toxicity_beginnings_of_a_group_weigh_like_its_kind(term, kind):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(40, i).split()
+        if i % 5 == 0:
+            words[3:3] = [r.choice(["idiotic", "scummy", "moronic"]), *([term] if r.random() < 0.7 else [])]
+        rows.append(" ".join(words).encode())
+        labels.append(int(i % 5 == 0))
+    w = toxicity.fit(toxicity.buckets_of(rows), np.array(labels), np.ones(600))
+    terms = [t.encode() for t in toxicity.IDENTITY_TERMS[kind]]
+    whole = toxicity.buckets_of(terms)
+    words = (toxicity.Words(terms).hash >> np.uint64(44)).astype(np.int64)
+    sums = {t.decode(): w[s].sum() for t, s in zip(terms, whole, strict=True)}
+    begins = {t.decode(): w[np.setdiff1d(s, [k])].sum() for t, s, k in zip(terms, whole, words, strict=True)}
+    assert max(sums.values()) - min(sums.values()) < 0.05
+    assert begins[term] <= max(v for t, v in begins.items() if t != term) + 0.1
+
+
+def test_toxicity_swaps_the_beginnings_too():
+    kinds = toxicity.identity_buckets()
+    doc, plain = toxicity.buckets_of([b"the muslims came", b"the came"])
+    twin = toxicity.swapped(doc, kinds, 0)
+    assert not np.isin(np.setdiff1d(toxicity.buckets_of([b"muslims"])[0], plain), twin).any()
+    assert np.array_equal(twin, toxicity.buckets_of([b"the christians came"])[0])
+
+
 def test_toxicity_without_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_toxicity(docs, empty, train=F.lit(True)).collect()} == {0.5}
