@@ -206,8 +206,7 @@ def raster_digest(spark, sf_dir):
 @query()
 def blocked_oof_gbt(spark, sf_dir):
     df = filled(spark, sf_dir).filter(F.col("foot")).withColumn("fold", H.uniform_block(HEIGHT, WIDTH, 2, 1))
-    oof = learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], F.col("truth"), "fold", 2, most=2000, trees=5, depth=3)
-    return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("cells"), F.sum("label").alias("positives"), F.min(F.col("prob").between(0, 1)).alias("valid"))
+    return learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], F.col("truth"), "fold", 2).select("r", "c", "fold", "prob")
 
 
 @query(sql(f"SELECT r, c, {n6('s')} AS corridor FROM g", "p AS (SELECT r, c FROM lat WHERE truth)", _NEAR("b", "p", 3), "k AS (SELECT l.r, l.c, coalesce(greatest(1 - d / 3, 0), 0) AS k FROM lat l LEFT JOIN b ON b.r = l.r AND b.c = l.c)", smooth_sql("g", "k", {"s": ("k", 1.0, 0, 0)})))

@@ -85,3 +85,10 @@ def test_corridor_paint_starts_at_every_truth_cell(spark, con):
     part = corridor.corridors(some, (30 * (F.col("r") % 6)).cast("double"), 20, 3.0).collect()
     checked = {(r, c): v for r, c, v in con.sql(registry.SQL["corridor_paint"]).fetchall()}
     assert {(x.r, x.c) for x in part} == set(checked) and all(abs(x.value - checked[x.r, x.c]) < 2e-6 for x in part)
+
+
+def test_blocked_oof_gbt_gives_a_probability_per_cell(spark):
+    rows = registry.QUERIES["blocked_oof_gbt"](spark, SF).collect()
+    assert sorted((x.r, x.c) for x in rows) == [(r, c) for r in range(2, 356) for c in range(2, 48)]
+    assert all(0 <= x.prob <= 1 for x in rows) and {x.fold for x in rows} == {0, 1}
+    assert all(len({x.prob for x in rows if x.fold == k}) > 2 for k in (0, 1))
