@@ -97,16 +97,27 @@ def trigrams(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 150, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression on posterior labels p by gradient steps with momentum; classes weigh alike. The last weight is the bias."""
-    x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
+def fit_scorer(first: np.ndarray, code: np.ndarray, value: np.ndarray, p: np.ndarray, rounds: int = 150, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
+    """Logistic regression on posterior labels p by gradient steps with momentum; classes weigh alike. The last weight is the bias.
+
+    Documents are sparse rows: those of document i are code[first[i]:first[i+1]]
+    and value[...], so memory follows the trigrams that occur in the sample.
+    """
     balance = p / max(p.sum(), 1e-9) + (1 - p) / max((1 - p).sum(), 1e-9)
-    w, step = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    parts = [slice(i, min(i + 256, len(p))) for i in range(0, len(p), 256)]
+    w, step, bias, bias_step = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for _ in range(rounds):
-        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = 0.9 * step - rate * (((s - p) * balance) @ x + l2 * w).astype(np.float32)
-        w = w + step
-    return w
+        slope, total = l2 * w, l2 * bias
+        for part in parts:
+            x = slice(first[part.start], first[part.stop])
+            row = np.repeat(np.arange(part.stop - part.start), np.diff(first[part.start : part.stop + 1]))
+            z = np.bincount(row, value[x] * w[code[x]], part.stop - part.start) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p[part]) * balance[part]
+            slope = slope + np.bincount(code[x], value[x] * g[row], BUCKETS)
+            total += g.sum()
+        step, bias_step = 0.9 * step - rate * slope, 0.9 * bias_step - rate * total
+        w, bias = w + step, bias + bias_step
+    return np.append(w, bias).astype(np.float32)
 
 
 def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
@@ -156,11 +167,14 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
                     x = trigrams([part[i] for i in at])
                     yield pa.RecordBatch.from_arrays([pa.array([v[v > 0].tobytes() for v in x], pa.binary()), pa.array([np.flatnonzero(v > 0).astype(np.int16).tobytes() for v in x], pa.binary()), pa.array(p[at])], names=["v", "i", "p"])
 
-    rows = sorted(tuple(r) for r in docs.select(F.col(text).cast("string").alias("t"), u.alias("u")).mapInArrow(features, "v binary, i binary, p double").collect())
-    x = np.zeros((max(len(rows), 1), BUCKETS), np.float32)
-    for k, (v, i, _) in enumerate(rows):
-        x[k, np.frombuffer(i, np.int16)] = np.frombuffer(v, np.float32)
-    weights = spark.sparkContext.broadcast(fit_scorer(x, np.array([r[2] for r in rows] or [prior])))  # 32 kB
+    got = docs.select(F.col(text).cast("string").alias("t"), u.alias("u")).mapInArrow(features, "v binary, i binary, p double").collect()
+    rows = sorted((r.v, r.i, r.p) for r in got)  # about train_rows of 48 kB at most, however long the texts are
+    code = np.frombuffer(b"".join(i for _, i, _ in rows), np.int16)
+    value = np.frombuffer(b"".join(v for v, _, _ in rows), np.float32)
+    first = np.concatenate(([0], np.cumsum([len(i) // 2 for _, i, _ in rows]))).astype(np.int64)
+    posteriors = np.array([q for _, _, q in rows])
+    del got, rows
+    weights = spark.sparkContext.broadcast(fit_scorer(first, code, value, posteriors) if len(posteriors) else np.zeros(BUCKETS + 1, np.float32))  # 32 kB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
