@@ -1,65 +1,76 @@
-"""Connected components of marked cells by runs: gaps and islands in rows, overlaps between rows, then stars."""
+"""Connected components of marked cells: runs within tiles in one pass, then the seams between tiles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark) -> str:
-    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a round's table to the shared folder and read it again, so a plan doesn't grow with the rounds."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def runs(points: DataFrame) -> DataFrame:
-    """(run, r, c0, c1): stretches of neighbouring cells in a row; a run is named by its first cell."""
-    w = Window.partitionBy("r").orderBy("c")
-    island = points.select("r", "c").distinct().withColumn("g", F.col("c") - F.row_number().over(w))
-    found = island.groupBy("r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("g")
-    return found.withColumn("run", F.col("r").cast("long") * (1 << 31) + F.col("c0"))
-
-
-def components(points: DataFrame, chunk: int = 256) -> DataFrame:
+from ..session import settle, shared_dir  # noqa: F401
+from .distance import spread
+from .ordered import numbered, ordered
+
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+
+
+def _label(tile: pd.DataFrame) -> pd.DataFrame:
+    """label: the least cell, as r * 2**31 + c, of each cell's component within the tile."""
+    r, c = tile.r.to_numpy().astype(np.int64), tile.c.to_numpy().astype(np.int64)
+    order = np.lexsort((c, r))
+    r, c = r[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1))))
+    last = np.append(first[1:], len(r)) - 1
+    row, lo, hi = r[first].tolist(), c[first].tolist(), c[last].tolist()
+    parent = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0  # the first run of the row before that may still touch
+    for i in range(len(row)):
+        while above < i and (row[above] < row[i] - 1 or (row[above] == row[i] - 1 and hi[above] < lo[i] - 1)):
+            above += 1
+        k = above
+        while k < i and row[k] == row[i] - 1 and lo[k] <= hi[i] + 1:
+            a, b = root(k), root(i)
+            parent[max(a, b)] = min(a, b)
+            k += 1
+    top = np.array([root(i) for i in range(len(row))])
+    label = (r[first][top] << 31) + c[first][top]  # runs are in order, so a root is its component's first
+    return pd.DataFrame({"r": r.astype(np.int32), "c": c.astype(np.int32), "label": np.repeat(label, last - first + 1)})
+
+
+def components(points: DataFrame, tile: int = 512) -> DataFrame:
     """(r, c, comp): comp numbers the 8-connected components from 1 in order of their first cells.
 
-    Runs of adjacent rows that touch are links; they meet on (row, chunk of
-    columns), so a long row is no single key. Labels are the least run, spread
-    by rounds that also jump to the label's label.
+    Each tile labels its cells by its runs. Labels that touch across a seam
+    are links; the least label spreads over them in rounds that also jump to
+    the label's label. A lattice of one tile has no seams and no rounds.
     """
-    own = settle(runs(points))
-    pieces = own.withColumn("k", F.explode(F.sequence(F.floor((F.col("c0") - 1) / chunk), F.floor((F.col("c1") + 1) / chunk))))
-    upper = pieces.select(F.col("run").alias("a"), F.col("r").alias("ra"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("k"))
-    lower = pieces.select(F.col("run").alias("b"), (F.col("r") - 1).alias("ra"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("k"))
-    links = upper.join(lower, ["ra", "k"]).filter("a0 <= b1 + 1 AND b0 <= a1 + 1").select("a", "b").distinct()
-    links = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = settle(own.select("run", F.col("run").alias("label")))
-    while True:
-        heard = links.join(label, links["b"] == label["run"]).groupBy(F.col("a").alias("run")).agg(F.min("label").alias("heard"))
-        nearer = label.join(heard, "run", "left").select("run", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
-        jump = nearer.select(F.col("run").alias("at"), F.col("label").alias("jump"))
-        nearer = settle(nearer.join(jump, F.col("label") == F.col("at"), "left").select("run", "was", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        moved = nearer.filter("was <> label").limit(1).count()
-        label = nearer.select("run", "label")
-        if not moved:
-            break
-    names = label.select("label").distinct()
-    number = names.withColumn("comp", F.row_number().over(Window.orderBy("label")))  # a row per component
-    cells = own.join(label, "run").join(number, "label").select("r", "comp", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return cells.select("r", "c", F.col("comp").cast("int").alias("comp"))
+    at = lambda x: F.floor(F.col(x) / tile)
+    cells = settle(points.select(F.col("r").cast("int"), F.col("c").cast("int")).distinct().groupBy(at("r"), at("c")).applyInPandas(_label, "r int, c int, label long"))
+    edge = cells.filter((F.pmod("r", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
+    other = spread(edge.withColumnsRenamed({"label": "a"}), _AROUND, ["dr", "dc"]).select("r", "c", "a")
+    links = edge.join(other, ["r", "c"]).filter("label <> a").select("a", F.col("label").alias("b")).distinct()
+    links = settle(links)  # both ways round, as every cell sees every neighbour
+    if links.limit(1).count():
+        label = settle(links.select(F.col("a").alias("run")).distinct().withColumn("label", F.col("run")))
+        while True:
+            heard = links.join(label, links["b"] == label["run"]).groupBy(F.col("a").alias("run")).agg(F.min("label").alias("heard"))
+            nearer = label.join(heard, "run", "left").select("run", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
+            jump = nearer.select(F.col("run").alias("at"), F.col("label").alias("jump"))
+            nearer = settle(nearer.join(jump, F.col("label") == F.col("at"), "left").select("run", "was", F.least("label", F.coalesce("jump", "label")).alias("label")))
+            moved = nearer.filter("was <> label").limit(1).count()
+            label = nearer.select("run", "label")
+            if not moved:
+                break
+        cells = cells.join(label.select(F.col("run").alias("label"), F.col("label").alias("least")), "label", "left").select("r", "c", F.coalesce("least", "label").alias("label"))
+    number = numbered(ordered(cells.select("label").distinct(), "label"), "k")
+    return cells.join(number, "label").select("r", "c", (F.col("k") + 1).cast("int").alias("comp"))
 
 
 def stats(labelled: DataFrame) -> DataFrame:
@@ -69,9 +80,6 @@ def stats(labelled: DataFrame) -> DataFrame:
 
 def tips(labelled: DataFrame, least: int = 25) -> DataFrame:
     """Cells with one neighbour in a component of at least so many cells."""
-    from .distance import spread
-
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
-    count = spread(labelled.select("r", "c"), around, ["dr", "dc"]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("neighbours"))
+    count = spread(labelled.select("r", "c"), _AROUND, ["dr", "dc"]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("neighbours"))
     large = stats(labelled).filter(F.col("size") >= least).select("comp", "size")
     return labelled.join(count, ["r", "c"]).filter("neighbours = 1").join(large, "comp").select("r", "c", "comp", "size")

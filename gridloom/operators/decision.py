@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ALPHA, BETA
+from .ordered import ordered, running
 
 
 def bounds(alpha: float = 0.05, beta: float = 0.1, boundary: str = "ville") -> tuple[float, float]:
@@ -169,21 +170,49 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, tie: str) -> DataFra
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve by counts per distinct score: positives above negatives, ties half; partial sums, then running ones."""
     per = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.when(F.col(positive), 1)).alias("p"), F.count(F.when(~F.col(positive), 1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.select((F.col("p") * (below + F.col("n") / 2)).alias("w"), "p", "n")
+    per = running(ordered(per, score), F.col("n"), "below", "all")
+    wins = per.select((F.col("p") * (F.col("below") + F.col("n") / 2)).alias("w"), "p", "n")
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def rank_lift(df: DataFrame, field: str, truth: str) -> DataFrame:
     """Mean over truth cells of the mid-rank of their value among all cells, as 0 to 1."""
     per = df.groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(truth), 1)).alias("t"))
-    upto = F.sum("n").over(Window.orderBy(field))
-    total = F.sum("n").over(Window.partitionBy())
-    mid = per.select(((2 * upto - F.col("n")) / 2 / total).alias("mid"), "t")
+    per = running(ordered(per, field), F.col("n"), "below", "all")
+    mid = per.select(((2 * F.col("below") + F.col("n")) / 2 / F.col("all")).alias("mid"), "t")
     return mid.agg((F.sum(F.col("mid") * F.col("t")) / F.sum("t")).alias("lift"), F.sum("t").alias("truths"))
 
 
+def lift_by(df: DataFrame, field: str, truth: str, by: str) -> DataFrame:
+    """rank_lift of each of several fields in a long table (by, value, truth)."""
+    per = df.groupBy(by, field).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(truth), 1)).alias("t"))
+    per = running(ordered(per, by, field), F.col("n"), "below", "all")
+    first = per.groupBy(by).agg(F.min("below").alias("first"), F.sum("n").alias("cells"), F.sum("t").alias("truths"))
+    mid = (2 * (F.col("below") - F.col("first")) + F.col("n")) / 2 / F.col("cells")
+    return per.join(first, by).groupBy(by).agg((F.sum(mid * F.col("t")) / F.first("truths")).alias("lift"), F.first("truths").alias("truths"))
+
+
 def promote(candidates: DataFrame, gate: Column, score: str, name: str) -> DataFrame:
     """The best candidate that passes the gate, else the best of all; equal scores by name."""
     passed = candidates.withColumn("passed", F.coalesce(gate, F.lit(False)))
     return passed.orderBy(F.desc("passed"), F.desc(score), name).limit(1)
+
+
+def left_rank_lift(df: DataFrame, field: str, truth: str, by: str) -> DataFrame:
+    """Per fold: mean over truth cells of the share of its cells with a smaller value, ties not counted; 0.5 without truth."""
+    per = df.groupBy(by, field).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(truth), 1)).alias("t"))
+    per = running(ordered(per, by, field), F.col("n"), "below", "all")
+    folds = per.groupBy(by).agg(F.min("below").alias("first"), F.sum("n").alias("cells"), F.sum("t").alias("truths"))
+    lift = F.sum(F.col("t") * (F.col("below") - F.col("first")) / F.col("cells")) / F.first("truths")
+    return per.join(folds, by).groupBy(by).agg(F.first("cells").alias("cells"), F.first("truths").alias("truths"), F.coalesce(F.when(F.first("truths") > 0, lift), F.lit(0.5)).alias("lift"))
+
+
+def ties_at_top(df: DataFrame, bands: list[str], where: Column, high: float = 0.995) -> DataFrame:
+    """Per band: its most, how many cells of the domain have just that, and how many reach its high quantile."""
+    from .normalise import quantile_row
+
+    inside = df.filter(where)
+    q = quantile_row(inside, {f"q_{b}": (b, high) for b in bands}).crossJoin(inside.agg(*(F.max(b).alias(f"m_{b}") for b in bands)))
+    counts = inside.crossJoin(F.broadcast(q)).agg(*(f for b in bands for f in (F.max(f"m_{b}").cast("double").alias(f"most_{b}"), F.count(F.when(F.col(b) >= F.col(f"m_{b}"), 1)).alias(f"top_{b}"), F.count(F.when(F.col(b) >= F.col(f"q_{b}"), 1)).alias(f"high_{b}"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"most_{b}").alias("most"), F.col(f"top_{b}").alias("at_most"), F.col(f"high_{b}").alias("at_high")) for b in bands)))
+    return counts.select(rows.alias("x")).select("x.*")

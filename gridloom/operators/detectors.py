@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import normalise as N
 from . import stencil as S
+from ..session import settle
 
 
 def _domain(df: DataFrame):
@@ -25,10 +26,10 @@ def cross_gradient(df: DataFrame, bands: list[str], sigma: float = 1.5) -> DataF
     jobs = {f"{x}{b}": (b, sigma, *o) for b in bands for x, o in (("gx_", (0, 1)), ("gy_", (1, 0)))}
     out = S.smooth(df, jobs)
     out = out.withColumns({f"e_{b}": F.sqrt(F.col(f"gx_{b}") * F.col(f"gx_{b}") + F.col(f"gy_{b}") * F.col(f"gy_{b}")) for b in bands})
+    out = settle(out, "edges")  # read by three passes
+    out = out.crossJoin(F.broadcast(N.quantile_row(out, {f"q_{b}": (f"e_{b}", 0.99) for b in bands}, _domain(out))))  # one row
     strength, cw, cx, cy = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for b in bands:
-        q = F.broadcast(N.quantiles(out, f"e_{b}", [0.99], _domain(out)).withColumnRenamed("q0", f"q_{b}"))
-        out = out.crossJoin(q)
         e = F.col(f"e_{b}")
         strength = strength + F.log(0.05 + e / (F.col(f"q_{b}") + 1e-12))
         nx, ny = F.col(f"gx_{b}") / (e + 1e-12), F.col(f"gy_{b}") / (e + 1e-12)
@@ -52,23 +53,21 @@ def co_edge(df: DataFrame, a: str, b: str, sigma: float = 1.0) -> DataFrame:
     out = out.withColumns({"ea": F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay")), "eb": F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by"))})
     cosine = (F.col("ax") * F.col("bx") + F.col("ay") * F.col("by")) / (F.col("ea") * F.col("eb") + 1e-12)
     out = out.withColumn("cos2", cosine * cosine)
-    out = N.robust_unit(N.robust_unit(out, "ea", "ua", _domain(out)), "eb", "ub", _domain(out))
+    out = N.robust_units(settle(out, "edges"), {"ua": "ea", "ub": "eb"}, _domain(out))
     return out.withColumn("score", F.col("ua") * F.col("ub") * F.col("cos2")).select(*df.columns, "score")
 
 
 def incumbent_ridge(df: DataFrame, ridge: str, a: str, b: str, sigma: float = 1.5) -> DataFrame:
     """Scaled ridge times 0.55 + 0.25 a + 0.20 b, both scaled."""
     out = S.line_response(df, ridge, sigma, -1)
-    for name, band in (("ur", "line"), ("ua", a), ("ub", b)):
-        out = N.robust_unit(out, band, name, _domain(out))
+    out = N.robust_units(settle(out, "lines"), {"ur": "line", "ua": a, "ub": b}, _domain(out))
     return out.withColumn("score", F.col("ur") * (0.55 + 0.25 * F.col("ua") + 0.2 * F.col("ub"))).select(*df.columns, "score")
 
 
 def strain_corridor(df: DataFrame, amplitude: str, ridge: str, dilation: str, sigma: float = 1.5) -> DataFrame:
     """0.5 amplitude + 0.3 ridge + 0.2 local range of dilation over 7 x 7 cells, each scaled."""
     out = S.extrema(S.line_response(df, ridge, sigma, 0), dilation).withColumn("range", F.col("hi") - F.col("lo"))
-    for name, band in (("ua", amplitude), ("ur", "line"), ("ud", "range")):
-        out = N.robust_unit(out, band, name, _domain(out))
+    out = N.robust_units(settle(out, "lines"), {"ua": amplitude, "ur": "line", "ud": "range"}, _domain(out))
     return out.withColumn("score", 0.5 * F.col("ua") + 0.3 * F.col("ur") + 0.2 * F.col("ud")).select(*df.columns, "score")
 
 
@@ -93,7 +92,7 @@ def radiometric_cosine(df: DataFrame, ratios: list[str], conductivity: str, sigm
     for b in ratios[1:]:
         out = out.withColumn("best", F.when(edge(b) > F.col("best.e"), F.struct(edge(b).alias("e"), F.col(f"gx_{b}").alias("x"), F.col(f"gy_{b}").alias("y"))).otherwise(F.col("best")))
     out = out.withColumns({"ratio_edge": F.col("best.e"), "cond_edge": edge(conductivity)})
-    out = N.robust_unit(N.robust_unit(out, "ratio_edge", "ur", _domain(out)), "cond_edge", "uc", _domain(out))
+    out = N.robust_units(settle(out, "edges"), {"ur": "ratio_edge", "uc": "cond_edge"}, _domain(out))
     cosine = (F.col("best.x") * F.col(f"gx_{conductivity}") + F.col("best.y") * F.col(f"gy_{conductivity}")) / (F.col("ratio_edge") * F.col("cond_edge") + 1e-12)
     return out.withColumn("score", F.sqrt(F.col("ur") * F.col("uc")) * F.abs(cosine)).select(*df.columns, "score")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,43 +22,76 @@ def near(points: DataFrame, radius: float) -> DataFrame:
     return spread(points.select("r", "c"), offsets(radius), ["dr", "dc", "d"]).groupBy("r", "c").agg(F.min("d").alias("d"))
 
 
-def distance(df: DataFrame, mask: Column, block: int = 64) -> DataFrame:
+def _along_rows(cells: pa.Table) -> pa.Table:
+    """d2, fr, fc and the carried value for whole rows of the lattice.
+
+    A cell at distance d looks k cells to both sides for k up to d only, so
+    the work is the sum of all distances. Rows are laid out side by side.
+    """
+    r, c = (cells.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+    near = cells.column("__n")
+    seen = ~near.is_null().to_numpy(zero_copy_only=False)
+    base, width = c.min(), int(c.max() - c.min()) + 1
+    row = np.unique(r, return_inverse=True)[1]
+    at = row * width + (c - base)  # each cell's place; places without a cell stay blank
+    rows = int(row.max()) + 1
+    gap, source = np.full(rows * width, -1, np.int64), np.zeros(rows * width, np.int64)
+    n = near.fill_null(0).to_numpy().astype(np.int64)
+    gap[at[seen]], source[at[seen]] = np.abs(n - r)[seen], n[seen]
+    far = np.iinfo(np.int64).max
+    d2 = np.where(gap >= 0, gap * gap, far)[at]
+    fr, fc = source[at], c.copy()
+    open_ = np.flatnonzero(np.bincount(row[seen], minlength=rows)[row] > 0)  # rows that see no marked cell have no answer
+    x = c - base
+    for k in range(1, width):
+        open_ = open_[d2[open_] >= k * k]
+        if not len(open_):
+            break
+        for step in (-k, k):
+            i = open_[(x[open_] + step >= 0) & (x[open_] + step < width)]
+            g = gap[at[i] + step]
+            i, g = i[g >= 0], g[g >= 0]
+            offer, row_of = g * g + k * k, source[at[i] + step]
+            better = (offer < d2[i]) | ((offer == d2[i]) & ((row_of < fr[i]) | ((row_of == fr[i]) & (c[i] + step < fc[i]))))
+            i = i[better]
+            d2[i], fr[i], fc[i] = offer[better], row_of[better], c[i] + step
+    none = d2 == far
+    out = cells.drop_columns(["__n", "__v"] if "__v" in cells.column_names else ["__n"])
+    for name, v, kind in (("d2", d2, pa.int64()), ("fr", fr, pa.int32()), ("fc", fc, pa.int32())):
+        out = out.append_column(name, pa.array(np.where(none, 0, v), kind, mask=none))
+    if "__v" in cells.column_names:
+        place = np.zeros(rows * width, np.int64)
+        place[at] = np.arange(len(at))
+        took = place[np.where(none, at, row * width + (fc - base))]
+        out = out.append_column("carried", cells.column("__v").take(pa.array(took)))
+    return out
+
+
+def distance(df: DataFrame, mask: Column, carry: str | None = None, rows: int = 16) -> DataFrame:
     """df with d2, the squared distance to the nearest marked cell, and fr, fc, that cell (least row, then column, among the nearest).
 
     Exact. First along columns: the nearest marked row above and below, by
-    running windows. Then along rows: each cell's columns c' compete with
-    (c - c')**2 + gap(c')**2. Columns are compared by blocks: a block whose
-    columns lie further away than the best gap so far can't win, and the
-    columns of a row are joined through the least gap of each block.
+    running windows. Then along rows, a few whole rows to a task's batch: a
+    cell's columns c' compete with (c - c')**2 + gap(c')**2. carry: a band
+    whose value at the nearest cell comes along as carried. All null where
+    nothing is marked.
     """
-    w = Window.partitionBy("c").orderBy("r")
-    marked = df.withColumn("__m", F.when(mask, F.col("r")))
-    up = F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("__m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    gaps = marked.withColumns({"__u": up, "__d": down})
-    nearest = F.when(F.col("__u").isNull(), F.col("__d")).when(F.col("__d").isNull(), F.col("__u")).when(F.col("r") - F.col("__u") <= F.col("__d") - F.col("r"), F.col("__u")).otherwise(F.col("__d"))
-    gaps = gaps.withColumn("__n", nearest).drop("__m", "__u", "__d")
-    # a row's candidates: its columns that see a marked cell; each cell takes the best of them
-    seen = gaps.filter("__n IS NOT NULL").groupBy("r", F.floor(F.col("c") / block).alias("__b")).agg(F.collect_list(F.struct(F.col("c").alias("cc"), F.col("__n").alias("nn"))).alias("__near"), F.min(F.abs(F.col("__n") - F.col("r"))).alias("__gap"))
-    rows = seen.groupBy("r").agg(F.collect_list(F.struct("__b", "__gap", "__near")).alias("__blocks"))
-    joined = gaps.join(rows, "r", "left")
-    c, r = F.col("c"), F.col("r")
-    own = F.when(F.col("__n").isNotNull(), (F.col("__n") - r) * (F.col("__n") - r))
-
-    def ahead(b: Column) -> Column:
-        lo, hi = b["__b"] * block, b["__b"] * block + block - 1
-        away = F.greatest(lo - c, c - hi, F.lit(0))
-        return own.isNull() | (away * away + b["__gap"] * b["__gap"] <= own)
-
-    best = F.array_min(F.transform(F.flatten(F.transform(F.filter("__blocks", ahead), lambda b: b["__near"])), lambda x: F.struct(((x["cc"] - c) * (x["cc"] - c) + (x["nn"] - r) * (x["nn"] - r)).cast("long").alias("d2"), x["nn"].alias("fr"), x["cc"].alias("fc"))))
-    return joined.withColumn("__best", best).select(*df.columns, F.col("__best.d2").alias("d2"), F.col("__best.fr").alias("fr"), F.col("__best.fc").alias("fc"))
+    up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("c").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(mask, F.struct(F.col("r").alias("n"), *([F.col(carry).alias("v")] if carry else [])))
+    gaps = df.withColumn("__m", found)
+    gaps = gaps.withColumn("__u", F.last("__m", ignorenulls=True).over(up)).withColumn("__d", F.last("__m", ignorenulls=True).over(down))
+    nearest = F.when(F.col("__u").isNull(), F.col("__d")).when(F.col("__d").isNull() | (F.col("r") - F.col("__u.n") <= F.col("__d.n") - F.col("r")), F.col("__u")).otherwise(F.col("__d"))
+    gaps = gaps.withColumn("__m", nearest).select(*df.columns, F.col("__m.n").cast("int").alias("__n"), *([F.col("__m.v").alias("__v")] if carry else []))
+    schema = type(df.schema)(list(df.schema.fields)).add("d2", "long").add("fr", "integer").add("fc", "integer")  # add changes its own
+    if carry:
+        schema = schema.add("carried", df.schema[carry].dataType)
+    return gaps.groupBy(F.floor(F.col("r") / rows)).applyInArrow(_along_rows, schema)
 
 
 def nearest_fill(df: DataFrame, band: str, out: str) -> DataFrame:
     """out: the band, or the value of the nearest cell that has one."""
-    found = distance(df, F.col(band).isNotNull())
-    source = df.filter(F.col(band).isNotNull()).select(F.col("r").alias("fr"), F.col("c").alias("fc"), F.col(band).alias(out))
-    return found.join(source, ["fr", "fc"], "left").drop("d2", "fr", "fc")
+    return distance(df, F.col(band).isNotNull(), carry=band).withColumn(out, F.col("carried")).drop("d2", "fr", "fc", "carried")
 
 
 def dilate(points: DataFrame, steps: int) -> DataFrame:

@@ -1,52 +1,122 @@
-"""Greedy spaced points: best first, none closer than a distance, by rounds that equal the sequential rule."""
+"""Greedy spaced points: best first, none closer than a distance, by passes over tiles that equal the sequential rule."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import settle
+from ..session import settle
 from .distance import spread
+from .ordered import numbered, ordered
+from .stencil import tiled
 
 
-def emit(scored: DataFrame, score: str, spacing: float, ranks: int = 64) -> DataFrame:
+def _settle_tile(rows: pd.DataFrame, moves: list[tuple[int, int]], reach: int, side: int, frame: int) -> pd.DataFrame:
+    """Points of a tile and its frame that are certain to be taken or lost, whatever stands outside; state 1: taken, 0: open.
+
+    In turns, every open point that beats all open points in conflict with it
+    is taken. Points within reach of the frame's rim may meet better ones
+    outside: they stay open, and hold back those they beat.
+    """
+    tr, tc = int(rows.tr.iloc[0]), int(rows.tc.iloc[0])
+    r, c, score = rows.r.to_numpy(np.int64), rows.c.to_numpy(np.int64), rows.score.to_numpy()
+    y, x = r - tr * side + frame, c - tc * side + frame
+    size = side + 2 * frame + 2 * reach  # with a blank margin, so shifts need no bounds
+    rank = np.zeros((size, size), np.int32)
+    order = np.lexsort((c, r, -score))
+    value = np.empty(len(r), np.int32)
+    value[order] = np.arange(len(r), 0, -1)
+    taken = rows.state.to_numpy() == 1
+    flat = (y + reach) * size + x + reach
+    rank.ravel()[flat[~taken]] = value[~taken]
+    rim = np.ones((size, size), bool)
+    rim[2 * reach : size - 2 * reach, 2 * reach : size - 2 * reach] = False
+    core = slice(reach, size - reach)
+    shifts = [(slice(reach + i, size - reach + i), slice(reach + j, size - reach + j)) for i, j in moves]
+    won = np.zeros((size, size), bool)
+    fresh = np.zeros((size, size), bool)
+    fresh.ravel()[flat[taken]] = True
+    while True:
+        lost = np.zeros((size - 2 * reach,) * 2, bool)
+        for s in shifts:
+            lost |= fresh[s]
+        rank[core, core][lost] = 0
+        best = np.zeros((size - 2 * reach,) * 2, np.int32)
+        for s in shifts:
+            np.maximum(best, rank[s], out=best)
+        fresh = np.zeros((size, size), bool)
+        fresh[core, core] = (rank[core, core] > best) & ~rim[core, core]
+        if not fresh.any():
+            break
+        won |= fresh
+        rank[fresh] = 0
+    mine = (r // side == tr) & (c // side == tc) & ~taken
+    won, left = won.ravel()[flat] & mine, (rank.ravel()[flat] > 0) & mine
+    keep = won | left
+    return pd.DataFrame({"r": r[keep].astype(np.int32), "c": c[keep].astype(np.int32), "score": score[keep], "state": won[keep].astype(np.int32)})
+
+
+def emit(scored: DataFrame, score: str, spacing: float, tile: int = 256, frame: int = 32) -> DataFrame:
     """(r, c, score, rank) of the points that taking the best left, again and again, accepts.
 
     Order is by score, then row, then column; points with score <= 0 or null
-    don't take part; two points conflict where d**2 < spacing**2. In a round,
-    every open point that beats all open points in conflict with it is
-    accepted, and those in conflict with it go: the result is that of the
-    sequential rule, in as many rounds as the longest chain of beaten
-    neighbours has links. rank numbers the points by order from 1, so the
-    first k are what a budget of k gives.
+    don't take part; two points conflict where d**2 < spacing**2. Tiles with
+    a frame of neighbours settle what is certain, in one pass nearly all; only
+    tiles with open points go to the next pass. The result is that of the
+    sequential rule. rank numbers the points by order from 1, so the first k
+    are what a budget of k gives.
     """
     reach = math.ceil(spacing)
     moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if 0 < i * i + j * j < spacing * spacing]
-    open_ = settle(scored.filter(F.col(score) > 0).select("r", "c", F.col(score).alias("score")))
-    taken = None
-    best = lambda s, r, c: F.struct(s, (-r).alias("nr"), (-c).alias("nc"))
+    state = settle(scored.filter(F.col(score) > 0).select(F.col("r").cast("int"), F.col("c").cast("int"), F.col(score).cast("double").alias("score"), F.lit(0).alias("state")))
+    taken, open_ = state.limit(0).drop("state"), state
+    schema = "r int, c int, score double, state int"
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return _settle_tile(rows, moves, reach, tile, frame)
+
     while True:
-        rivals = spread(open_.select("r", "c", "score", F.col("r").alias("r0"), F.col("c").alias("c0")), moves, ["dr", "dc"]).groupBy("r", "c").agg(F.max(best(F.col("score"), F.col("r0"), F.col("c0"))).alias("rival"))
-        facing = open_.join(rivals, ["r", "c"], "left")
-        won = settle(facing.filter(F.col("rival").isNull() | (best(F.col("score"), F.col("r"), F.col("c")) > F.col("rival"))).select("r", "c", "score"))
-        taken = won if taken is None else taken.unionByName(won)
-        gone = spread(won.select("r", "c"), [*moves, (0, 0)], ["dr", "dc"]).select("r", "c").distinct()
-        open_ = settle(open_.join(gone, ["r", "c"], "left_anti"))
+        dealt = tiled(open_.unionByName(taken.withColumn("state", F.lit(1))), frame, tile)
+        owners = open_.select(F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).distinct()
+        state = settle(dealt.join(owners, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(one, schema))
+        taken = taken.unionByName(state.filter("state = 1").drop("state"))
+        open_ = state.filter("state = 0")
         if not open_.limit(1).count():
             break
     return number(taken)
 
 
-def number(points: DataFrame, buckets: int = 64) -> DataFrame:
-    """Adds rank from 1 by descending score, then row, then column, ranges first, so that no task sorts all points."""
-    edges = points.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("e"))
-    placed = points.crossJoin(F.broadcast(edges)).withColumn("b", F.coalesce(-F.size(F.filter("e", lambda e: e < F.col("score"))), F.lit(0))).drop("e")
-    counts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
-    k = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "r", "c"))
-    return placed.withColumn("k", k).join(F.broadcast(counts), "b").select("r", "c", "score", (F.col("before") + F.col("k")).cast("long").alias("rank"))
+def emit_budget(scored: DataFrame, score: str, budget: int, spacing: float, pool: int = 6, exact: bool = False) -> DataFrame:
+    """The first budget points of emit, from a pool of the best cells only.
+
+    A cell that is worse than the whole pool can't change what the pool gives,
+    so the pool's points are a prefix of all. It begins with pool * budget
+    cells and doubles until there are enough points or no more cells. exact:
+    raises where the field has fewer points than budget.
+    """
+    if budget < 1 or spacing <= 0:
+        raise ValueError("budget and spacing must be positive")
+    best = settle(numbered(ordered(scored.filter(F.col(score) > 0).select("r", "c", F.col(score).alias("score")), F.desc("score"), "r", "c"), "k"), "pool")
+    cells, size = best.count(), pool * budget
+    while True:
+        dots = settle(emit(best.filter(F.col("k") < size), "score", spacing).filter(F.col("rank") <= budget), "budget")
+        found = dots.count()
+        if found == budget or size >= cells:
+            break
+        size *= 2
+    if exact and found < budget:
+        raise ValueError(f"{found} points of {budget}")
+    return dots
+
+
+def number(points: DataFrame) -> DataFrame:
+    """Adds rank from 1 by descending score, then row, then column; no task sorts all points."""
+    placed = numbered(ordered(points, F.desc("score"), "r", "c"), "k")
+    return placed.select("r", "c", "score", (F.col("k") + 1).cast("long").alias("rank"))
 
 
 def spacing_knn(points: DataFrame, radius: int) -> DataFrame:

@@ -34,3 +34,68 @@ def out_of_fold(cells: DataFrame, features: list[str], label: Column, fold: str,
             held = model.transform(held).withColumn("prob", vector_to_array("probability")[1])
         scored.append(held.select("r", "c", "fold", "label", "prob"))
     return reduce(DataFrame.unionByName, scored)
+
+
+def sampled(df: DataFrame, group: str, most: dict[str, int], seed: int) -> DataFrame:
+    """About so many rows of each group at most, by a seeded hash of (r, c)."""
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # a row per group
+    share = F.lit(0.0)
+    for name, n in most.items():
+        share = F.when(F.col(group) == name, F.lit(min(1.0, n / max(counts.get(name, 0), 1)))).otherwise(share)
+    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 30)) / float(1 << 30)
+    return df.filter(u < share)
+
+
+def discriminant(cells: DataFrame, features: list[str], positive: Column, block: str, blocks: int, rows: int = 90_000, least: int = 500, ring: tuple[float, float] = (1.0, 6.0), trees: int = 20, depth: int = 5, seed: int = 0) -> DataFrame:
+    """(r, c, block, label, prob): a cell's chance of being positive, by trees that saw nothing of its block.
+
+    Half of the negatives lie in a ring around positives, half are background.
+    A block whose others have fewer than least positives or ring cells gets 0.
+    """
+    from .evaluate import negative_pools
+
+    pooled = negative_pools(cells.fillna(0.0, features).withColumn("label", positive.cast("int")), positive, ring, int(ring[1]))
+    pool = F.when(F.col("label") == 1, "positive").when(F.col("hard"), "hard").when(F.col("background"), "background")
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(pooled).select("r", "c", F.col(block).cast("int").alias("block"), "label", pool.alias("pool"), "features").persist()
+    counts = {(r["block"], r["pool"]): r["count"] for r in data.filter("pool IS NOT NULL").groupBy("block", "pool").count().collect()}  # three rows per block
+    scored = []
+    for k in range(blocks):
+        left = {p: sum(n for (b, q), n in counts.items() if q == p and b != k) for p in ("positive", "hard", "background")}
+        held = data.filter(F.col("block") == k)
+        if left["positive"] < least or left["hard"] < least:
+            scored.append(held.select("r", "c", "block", "label", F.lit(0.0).alias("prob")))
+            continue
+        m = min(left["positive"], rows)
+        hard = min(left["hard"], m, rows // 2)
+        train = sampled(data.filter((F.col("block") != k) & F.col("pool").isNotNull()), "pool", {"positive": m, "hard": hard, "background": m - hard}, seed + k)
+        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
+        scored.append(model.transform(held).select("r", "c", "block", "label", vector_to_array("probability")[1].alias("prob")))
+    return reduce(DataFrame.unionByName, scored)
+
+
+def locked_comparator(df: DataFrame, features: list[str], labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int, most: int = 90_000, trees: int = 20, depth: int = 5, seed: int = 20261005) -> DataFrame:
+    """(r, c, ordinal, prob) of the active cells of each locked cell, by trees fitted on what its fold may see: the visible catalogue against its hard and background negatives, outside of the widened cell."""
+    from .evaluate import fold_view, negative_pools
+
+    scored = []
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    for k in ordinals:
+        view = fold_view(df, labelled, locked, hidden, k, collar)
+        pools = negative_pools(view, F.col("known")).filter("train AND foot AND (known OR hard OR background)").withColumn("label", F.col("known").cast("int"))
+        train = balanced(assembler.transform(pools.fillna(0.0, features)).select("r", "c", "label", "features").persist(), "label", most, seed + k)
+        active = df.join(locked.filter((F.col("ordinal") == k) & F.col("active")).select("r", "c"), ["r", "c"], "left_semi")
+        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
+        held = model.transform(assembler.transform(active.fillna(0.0, features)))
+        scored.append(held.select("r", "c", F.lit(k).alias("ordinal"), vector_to_array("probability")[1].alias("prob")))
+    return reduce(DataFrame.unionByName, scored)
+
+
+def block_auc(scored: DataFrame, fold: str, least: int = 50) -> DataFrame:
+    """Area under the curve in each fold with at least so many positives: counts per distinct value, then sums below it within the fold."""
+    from .ordered import ordered, running
+
+    per = scored.groupBy(fold, "prob").agg(F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") == 0, 1)).alias("n"))
+    per = running(ordered(per, fold, "prob"), F.col("n"), "below", "all")
+    first = per.groupBy(fold).agg(F.min("below").alias("first"))
+    wins = per.join(first, fold).withColumn("w", F.col("p") * (F.col("below") - F.col("first") + F.col("n") / 2))
+    return wins.groupBy(fold).agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives")).filter(F.col("positives") >= least)

@@ -2,29 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered, ordered
+
 
 def finite(x: str) -> Column:
     return F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]], where: Column | None = None) -> DataFrame:
+    """One row with a column per name: the exact quantile (linear interpolation) of a band over the finite values of the domain.
+
+    Two passes for all bands at once, each with partial aggregation. Sketches
+    bracket every quantile between two values; then the values below a bracket
+    are counted and those in it, one in a thousand, are gathered and sorted.
+    Tables of 20,000 values and less are their own bracket. Null where there
+    is no value.
+    """
+    bands = list(dict.fromkeys(b for b, _ in wanted.values()))
+    value = {b: F.when(finite(b) if where is None else finite(b) & where, F.col(b).cast("double")) for b in bands}
+    slack = 5e-4  # five times the error of a sketch of 10,000
+    cuts = {name: [q for q in (at - slack, at + slack) if 0 < q < 1] for name, (_, at) in wanted.items()}
+    sketch = [F.percentile_approx(value[wanted[k][0]], qs, 10_000).alias(f"cut_{k}") for k, qs in cuts.items() if qs]
+    first = df.agg(*(F.count(v).alias(f"n_{b}") for b, v in value.items()), *sketch)
+
+    def bracket(name: str) -> tuple[Column, Column]:
+        band, at = wanted[name]
+        small = F.col(f"n_{band}") <= 20_000
+        lo = F.lit(float("-inf")) if at - slack <= 0 else F.when(small, float("-inf")).otherwise(F.col(f"cut_{name}")[0])
+        hi = F.lit(float("inf")) if at + slack >= 1 else F.when(small, float("inf")).otherwise(F.col(f"cut_{name}")[len(cuts[name]) - 1])
+        return lo, hi
+
+    found = []
+    for name, (band, _) in wanted.items():
+        lo, hi = bracket(name)
+        found += [F.count(F.when(value[band] < lo, 1)).alias(f"below_{name}"), F.sort_array(F.collect_list(F.when(value[band].between(lo, hi), value[band]))).alias(f"mid_{name}")]
+    second = df.crossJoin(F.broadcast(first)).agg(*found, *(F.max(f"n_{b}").alias(f"n_{b}") for b in bands))
+
+    def pick(name: str) -> Column:
+        band, at = wanted[name]
+        place = F.lit(at) * (F.col(f"n_{band}") - 1)
+        k, mid = F.floor(place), F.col(f"mid_{name}")
+        one = F.try_element_at(mid, (k - F.col(f"below_{name}") + 1).cast("int"))
+        two = F.try_element_at(mid, (F.ceil(place) - F.col(f"below_{name}") + 1).cast("int"))
+        return F.when(F.col(f"n_{band}") > 0, one + (two - one) * (place - k)).alias(name)
+
+    return second.select(*map(pick, wanted))
+
+
 def quantiles(df: DataFrame, band: str, at: list[float], where: Column | None = None) -> DataFrame:
-    """One row q0, q1, ...: exact quantiles with linear interpolation over finite values."""
-    ok = finite(band) if where is None else finite(band) & where
-    points = ", ".join(map(repr, at))
-    q = df.filter(ok).agg(F.expr(f"percentile({band}, array({points}))").alias("q"))
-    return q.select(*(F.col("q")[i].alias(f"q{i}") for i in range(len(at))))
+    """One row q0, q1, ... of a band."""
+    return quantile_row(df, {f"q{i}": (band, q) for i, q in enumerate(at)}, where)
+
+
+def robust_units(df: DataFrame, jobs: dict[str, str], where: Column | None = None, lo: float = 0.02, hi: float = 0.995, zero_outside: bool = True) -> DataFrame:
+    """For each out -> band: the band between two quantiles of the domain as 0 to 1; all zero where they are equal; outside zero, too, or scaled like inside."""
+    q = F.broadcast(quantile_row(df, {f"__{side}_{out}": (band, at) for out, band in jobs.items() for side, at in (("lo", lo), ("hi", hi))}, where))  # one row
+    scaled = {}
+    for out, band in jobs.items():
+        low, high = F.col(f"__lo_{out}"), F.col(f"__hi_{out}")
+        unit = F.when(high > low, F.least(F.greatest((F.col(band) - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        domain = finite(band) if where is None or not zero_outside else finite(band) & where
+        scaled[out] = F.when(domain, unit).otherwise(0.0)
+    return df.crossJoin(q).withColumns(scaled).drop(*(f"__{side}_{out}" for out in jobs for side in ("lo", "hi")))
 
 
 def robust_unit(df: DataFrame, band: str, out: str, where: Column | None = None, lo: float = 0.02, hi: float = 0.995, zero_outside: bool = True) -> DataFrame:
-    """out: the band between two quantiles of the domain as 0 to 1; all zero where they are equal; outside zero, too, or scaled like inside."""
-    inside = finite(band) if where is None else finite(band) & where
-    q = F.broadcast(quantiles(df, band, [lo, hi], where))  # one row
-    unit = F.when(F.col("q1") > F.col("q0"), F.least(F.greatest((F.col(band) - F.col("q0")) / (F.col("q1") - F.col("q0")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    domain = inside if zero_outside else finite(band)
-    return df.crossJoin(q).withColumn(out, F.when(domain, unit).otherwise(0.0)).drop("q0", "q1")
+    return robust_units(df, {out: band}, where, lo, hi, zero_outside)
 
 
 def tie_free(df: DataFrame, band: str, out: str, where: Column, hi: float = 0.99999) -> DataFrame:
@@ -45,21 +91,14 @@ def quantise(df: DataFrame, band: str, out: str, where: Column, lo: float = 0.02
     return scaled.withColumn(out, F.floor(F.col("__u") * 255).cast("short")).drop("__u")
 
 
-def rank_unit(df: DataFrame, band: str, out: str, where: Column, buckets: int = 64) -> DataFrame:
+def rank_unit(df: DataFrame, band: str, out: str, where: Column) -> DataFrame:
     """out: ordinal rank over the domain as 0 to 1, ties by (r, c); null outside.
 
-    Values are dealt into ranges first and ranked within them, so no task
-    sorts the whole lattice; ranks of ranges add up over a table of them.
+    The table is sorted by ranges of (value, r, c), so a band that is mostly
+    one value spreads like any other, and no task sorts the whole lattice.
     """
-    inside = df.filter(where)
-    edges = inside.agg(F.percentile_approx(band, [i / buckets for i in range(1, buckets)], 10_000).alias("e"))  # one row
-    placed = inside.crossJoin(F.broadcast(edges)).withColumn("__b", F.size(F.filter("e", lambda e: e < F.col(band)))).drop("e")
-    counts = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    counts = counts.withColumns({"before": F.sum("n").over(Window.orderBy("__b")) - F.col("n"), "total": F.sum("n").over(every)})
-    k = F.row_number().over(Window.partitionBy("__b").orderBy(band, "r", "c"))
-    ranked = placed.withColumn("__k", k).join(F.broadcast(counts.drop("n")), "__b")  # a row per range
-    return ranked.withColumn(out, (F.col("before") + F.col("__k") - 1) / F.greatest(F.col("total") - 1, F.lit(1))).drop("__b", "__k", "before", "total")
+    ranked = numbered(ordered(df.filter(where), band, "r", "c"), "__k", "__n")
+    return ranked.withColumn(out, F.col("__k") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__k", "__n")
 
 
 def harmonic_fusion(ranks: dict[str, float], floor: float = 0.05) -> Column:

@@ -1,20 +1,22 @@
-"""Stencils on dense lattices by windows along columns and rows.
+"""Stencils on dense lattices, in tiles with a frame of neighbours.
 
-A lattice of any size is dealt into tiles with a frame of neighbours, so a
-window never holds more than a tile's side and its frame; a lattice that fits
-in one tile pays nothing for it.
+A tile holds what its stencils reach, so no task holds more than a tile and
+its frame, however large the lattice is. Gaussians are taken in one Arrow pass
+per tile; short stencils are windows along columns and rows of a tile.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian_taps
 
-TILE = 1024
+TILE = 512
 
 
 def tiled(df: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
@@ -38,32 +40,51 @@ def across():
     return Window.partitionBy("tr", "tc", "r").orderBy("c")
 
 
-def at(value: str, k: int, w) -> Column:
-    """The value k cells further, or the one at the edge."""
-    if k == 0:
-        return F.col(value)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.coalesce(F.lead(value, k).over(w), F.last(value).over(every)) if k > 0 else F.coalesce(F.lag(value, -k).over(w), F.first(value).over(every))
-
-
-def taps_sum(value: str, taps: dict[int, float], w) -> Column:
-    out = None
+def _weigh(a: np.ndarray, taps: dict[int, float], axis: int) -> np.ndarray:
+    """Sum of the taps along an axis; edges repeat."""
+    reach = max(abs(k) for k in taps)
+    p = np.pad(a, [(reach, reach) if i == axis else (0, 0) for i in range(2)], mode="edge")
+    out = np.zeros_like(a)
     for k, t in sorted(taps.items()):
-        term = F.lit(t) * at(value, k, w)
-        out = term if out is None else out + term
+        out += t * (p[reach + k : reach + k + a.shape[0]] if axis == 0 else p[:, reach + k : reach + k + a.shape[1]])
     return out
 
 
 def smooth(df: DataFrame, jobs: dict[str, tuple[str, float, int, int]], tile: int = TILE) -> DataFrame:
     """Adds Gaussian smooths or derivatives: result -> (band, sigma, order down, order across); edges repeat.
 
-    All jobs share two windows: one sort along columns, one along rows.
+    One shuffle by tiles for all jobs. A cell without a value, or one that is
+    missing from the lattice, gives null wherever a stencil reaches it.
     """
     radius = max(int(4 * s + 0.5) for _, s, _, _ in jobs.values())
-    out = tiled(df, radius, tile)
-    out = out.withColumns({f"__{k}": taps_sum(band, gaussian_taps(s, down_), down()) for k, (band, s, down_, _) in jobs.items()})
-    out = out.withColumns({k: taps_sum(f"__{k}", gaussian_taps(s, across_), across()) for k, (_, s, _, across_) in jobs.items()})
-    return core(out.drop(*(f"__{k}" for k in jobs)), tile)
+    taps = {(s, o): gaussian_taps(s, o) for _, s, *orders in jobs.values() for o in orders}
+
+    def one(cells: pa.Table) -> pa.Table:
+        r, c = (cells.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+        tr, tc = cells.column("tr")[0].as_py(), cells.column("tc")[0].as_py()
+        core_ = (r // tile == tr) & (c // tile == tc)
+        y, x = r - r.min(), c - c.min()
+        shape = int(y.max()) + 1, int(x.max()) + 1
+        down: dict[tuple, np.ndarray] = {}
+        bands: dict[str, np.ndarray] = {}
+        out = cells.filter(pa.array(core_)).drop_columns(["tr", "tc"])
+        y_, x_ = y[core_], x[core_]
+        for name, (band, s, first, second) in jobs.items():
+            if band not in bands:
+                bands[band] = np.full(shape, np.nan)
+                bands[band][y, x] = cells.column(band).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if (band, s, first) not in down:
+                down[band, s, first] = _weigh(bands[band], taps[s, first], 0)
+            v = _weigh(down[band, s, first], taps[s, second], 1)[y_, x_]
+            if name in out.column_names:
+                out = out.drop_columns([name])
+            out = out.append_column(name, pa.array(v, mask=np.isnan(v)))
+        return out
+
+    schema = type(df.schema)([f for f in df.schema.fields if f.name not in jobs])
+    for k in jobs:
+        schema = schema.add(k, "double")
+    return tiled(df, radius, tile).groupBy("tr", "tc").applyInArrow(one, schema)
 
 
 def gradient(df: DataFrame, band: str, sigma: float = 1.0) -> DataFrame:

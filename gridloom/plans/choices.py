@@ -11,7 +11,7 @@ from ..operators import holdout as H
 from ..operators import learners, metric
 from ..sources import lattice as L
 from ..sources.lattice import HEIGHT, WIDTH
-from .base import d, filled, n6, query, r6, smooth_sql, sql, view
+from .base import SQL, d, filled, n6, query, r6, smooth_sql, sql, view
 from .space import _NEAR, _allowed
 
 
@@ -187,17 +187,22 @@ def format_audit(spark, sf_dir):
     return A.format_audit(view(spark, sf_dir), "score", F.col("foot"), HEIGHT, WIDTH)
 
 
-@query("""WITH t AS (SELECT o_orderpriority AS name, (o_custkey % 3)::INT AS r, 0 AS c FROM orders WHERE o_custkey % 3 < 2 GROUP BY ALL)
-SELECT a.name AS first, b.name AS other, 2::BIGINT AS n FROM (SELECT min(name) AS name FROM t) a, (SELECT DISTINCT name FROM t) b WHERE a.name <> b.name""")
+@query("""WITH t AS (SELECT DISTINCT o_orderpriority AS name, (o_orderkey % 97)::INT AS r, (o_custkey % 89)::INT AS c FROM orders),
+a AS (SELECT name, r, c FROM t UNION ALL SELECT 'copy of ' || name, r, c FROM t WHERE name[1] IN ('1', '3') UNION ALL SELECT 'part of ' || name, r, c FROM t WHERE r < 90),
+p AS (SELECT name, string_agg(r || ':' || c, ',' ORDER BY r, c) AS cells, count(*) AS n FROM a GROUP BY 1)
+SELECT first, name AS other, n FROM (SELECT *, min(name) OVER (PARTITION BY cells) AS first FROM p) WHERE name <> first""")
 def exact_duplicate(spark, sf_dir):
-    o = L.table(spark, sf_dir, "orders").filter("o_custkey % 3 < 2")
-    rasters = o.select(F.col("o_orderpriority").alias("name"), (F.col("o_custkey") % 3).cast("int").alias("r"), F.lit(0).alias("c"), F.lit(1).alias("v")).distinct()
-    return A.same_cells(rasters, "name", "v")
+    """Rasters of all orders, of which some are copies, some are parts of another and most are like no other."""
+    o = L.table(spark, sf_dir, "orders")
+    rasters = o.select(F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 97).cast("int").alias("r"), (F.col("o_custkey") % 89).cast("int").alias("c"), F.lit(1).alias("v")).distinct()
+    copies = rasters.filter(F.substring("name", 1, 1).isin("1", "3")).withColumn("name", F.concat(F.lit("copy of "), "name"))
+    parts = rasters.filter("r < 90").withColumn("name", F.concat(F.lit("part of "), "name"))
+    return A.same_cells(rasters.unionByName(copies).unionByName(parts), "name", "v")
 
 
-@query(sql("SELECT count(*) AS blocks FROM (SELECT DISTINCT r // 64 FROM lat)"))
+@query(sql("SELECT r // 64 AS block, sha256(string_agg(h, '' ORDER BY r)) AS sha256 FROM (SELECT r, sha256(string_agg(c || ':' || n, ',' ORDER BY c)) AS h FROM lat GROUP BY 1) GROUP BY 1"))
 def raster_digest(spark, sf_dir):
-    return A.digest(view(spark, sf_dir), "score", 64).agg(F.countDistinct("block").alias("blocks"))
+    return A.digest(view(spark, sf_dir), "n", 64).select("block", "sha256")
 
 
 # -- learners and streams ------------------------------------------------------------------
@@ -230,7 +235,7 @@ def gated_emission(spark, sf_dir):
     return emit(_allowed(df), best, 2.8).filter("rank <= 100").select("rank", "r", "c")
 
 
-@query()
+@query(f"SELECT candidate, stopped_at::INT AS n, decision FROM ({SQL['sprt_sign']})")
 def sprt_stream(spark, sf_dir):
     """Decisions of the streaming test after all micro-batches, one row per candidate."""
     import uuid
@@ -248,13 +253,6 @@ def sprt_stream(spark, sf_dir):
     return done.filter("NOT rejected").groupBy("candidate").agg(F.max("n").cast("int").alias("n"), F.max(F.struct("n", "decision"))["decision"].alias("decision"))
 
 
-@query()
-def implied_hit_rate(spark, sf_dir):
-    """The hit rate that the forward model needs for a score, by bisection, on a grid of budgets."""
-    rows = [(n, P.implied_hits(n, 0.05, 14143.0)) for n in (10_000, 20_000, 40_000)]
-    return spark.createDataFrame(rows, "n long, rate double").select("n", r6("rate").alias("rate"))
-
-
 @query()
 def calibrated_fit(spark, sf_dir):
     """(k, a) of the saturating score from tens of artifacts, and the error left."""

@@ -200,7 +200,18 @@ def strain_corridor(spark, sf_dir):
     return D.strain_corridor(filled(spark, sf_dir), "px", "tax", "disc").select("r", "c", r6("score").alias("score"))
 
 
-@query()
+def _signal_cte(name: str, source: str, height: float, out: str) -> str:
+    u, f, z = (x.replace("full_", source).replace("u AS", f"{name}_u AS").replace("u_v", f"{name}_u_v").replace("FROM u ", f"FROM {name}_u ") for x in signal_sql(height))
+    f = f.replace("f AS (", f"{name}_f AS (", 1)
+    z = smooth_sql(f"{name}_z", f"{name}_f", {"lxx": ("g", max(height / 100.0, 0.8), 0, 2), "lyy": ("g", max(height / 100.0, 0.8), 2, 0)})
+    return f"{u},\n{f},\n{z},\n{name} AS (SELECT * EXCLUDE (g, fr, fc, lxx, lyy), ln(1 + sqrt(fc / 100 * (fc / 100) + fr / 100 * (fr / 100) + (lxx + lyy) * 100 * ((lxx + lyy) * 100))) AS {out} FROM {name}_z)"
+
+
+def _line_cte(name: str, source: str, band: str, sigma: float, sign: int, out: str) -> str:
+    return hessian_sql(f"{name}_x", source, band, sigma) + f",\n{name} AS (SELECT * EXCLUDE (largest, dom, tan_), {line_sql(sign)} AS {out} FROM {name}_x)"
+
+
+@query(sql(f"SELECT r, c, {n6('(u0 + u1) / 2')} AS score FROM h2", _signal_cte("a", "full_", 100.0, "s0"), _line_cte("b", "a", "s0", 1.5, -1, "l0"), robust_sql("h1", "b", "l0", "u0"), _signal_cte("e", "h1", 200.0, "s1"), _line_cte("f9", "e", "s1", 1.5, -1, "l1"), robust_sql("h2", "f9", "l1", "u1")))
 def worm(spark, sf_dir):
     return D.worm(filled(spark, sf_dir), "px").select("r", "c", r6("score").alias("score"))
 
@@ -215,7 +226,11 @@ def backbone(spark, sf_dir):
     return df.select("r", "c", r6(N.harmonic_fusion({"l1r": 1.0, "l2r": 1.0})).alias("score"))
 
 
-@query()
+_RC = smooth_sql("g", "full_", {f"{x}{b}": (b, 1.0, *o) for b in ("px", "tax", "disc") for x, o in (("gx_", (0, 1)), ("gy_", (1, 0)))})
+
+
+@query(sql(f"SELECT r, c, {n6('sqrt(ur * uc) * abs((bx * gx_disc + by_ * gy_disc) / (re * ce + 1e-12))')} AS score FROM y", _RC, "e AS (SELECT *, sqrt(gx_px * gx_px + gy_px * gy_px) AS e1, sqrt(gx_tax * gx_tax + gy_tax * gy_tax) AS e2, sqrt(gx_disc * gx_disc + gy_disc * gy_disc) AS ce FROM g)",
+           "b AS (SELECT *, greatest(e1, e2) AS re, CASE WHEN e2 > e1 THEN gx_tax ELSE gx_px END AS bx, CASE WHEN e2 > e1 THEN gy_tax ELSE gy_px END AS by_ FROM e)", robust_sql("x", "b", "re", "ur"), robust_sql("y", "x", "ce", "uc")))
 def radiometric_cosine(spark, sf_dir):
     return D.DETECTORS["radiometric_cosine"][2](filled(spark, sf_dir)).select("r", "c", r6("score").alias("score"))
 
@@ -233,7 +248,15 @@ def binned_mean_curve(spark, sf_dir):
     return D.favourability("a", "v", o).select("bin", r6("centre").alias("centre"), F.round("value", 4).alias("value"))
 
 
-@query()
+_GATE = "rel - 180 * floor(rel / 180)"
+
+
+@query(sql(f"SELECT r, c, {n6('ue * (0.25 + 0.75 * least(2 * coh, 1)) * (0.3 + 0.7 * coalesce(value, 0.5))')} AS score FROM z LEFT JOIN curve ON curve.bin = z.bin",
+           """o AS (SELECT o_custkey * 37 % 360 AS a, o_totalprice / 500000 AS v FROM orders), fb AS (SELECT least(floor(least(a % 180, 180 - a % 180) / 2.5), 35)::INT AS bin, avg(v) AS v FROM o GROUP BY 1),
+curve AS (SELECT i::INT AS bin, coalesce(v, (SELECT avg(v) FROM fb)) AS value FROM range(36) t(i) LEFT JOIN fb ON bin = i)""",
+           smooth_sql("g", "full_", {"gx": ("px", 1.5, 0, 1), "gy": ("px", 1.5, 1, 0)}), "j AS (SELECT *, gx * gx AS jxx, gy * gy AS jyy, gx * gy AS jxy FROM g)", smooth_sql("s", "j", {"sxx": ("jxx", 1.5, 0, 0), "syy": ("jyy", 1.5, 0, 0), "sxy": ("jxy", 1.5, 0, 0)}),
+           "w AS (SELECT *, sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy) / (sxx + syy + 1e-12) AS coh, sqrt(gx * gx + gy * gy) AS edge, degrees(atan2(gx, -gy)) + 90 - 120 AS rel FROM s)", robust_sql("y", "w", "edge", "ue"),
+           f"z AS (SELECT *, least(floor(least({_GATE}, 180 - ({_GATE})) / 2.5), 35)::INT AS bin FROM y)"))
 def stress_gate(spark, sf_dir):
     from ..sources import lattice as L
 

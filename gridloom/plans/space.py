@@ -29,8 +29,14 @@ def distance_to_mask(spark, sf_dir):
     return T.distance(view(spark, sf_dir).select("r", "c", "dot"), F.col("dot")).select("r", "c", "d2")
 
 
-@query(sql(f"""SELECT r, c, {n6('px')} AS px FROM (SELECT l.r, l.c, m.px, row_number() OVER (PARTITION BY l.r, l.c ORDER BY (m.r - l.r) * (m.r - l.r) + (m.c - l.c) * (m.c - l.c), m.r, m.c) AS k
-  FROM lat l JOIN m ON abs(m.r - l.r) <= 60 AND abs(m.c - l.c) <= 50 WHERE l.r % 7 = 0) WHERE k = 1""", "m AS (SELECT r, c, px FROM lat WHERE dot AND px IS NOT NULL)"))
+# the nearest cell with a value: the nearest row in each column, then the best column, least row and column first
+NEAREST = """m AS (SELECT r, c, px FROM lat WHERE {has}),
+up AS (SELECT l.r, l.c, m.r AS n, row_number() OVER (PARTITION BY l.r, l.c ORDER BY abs(m.r - l.r), m.r) AS k FROM lat l JOIN m ON m.c = l.c),
+col_ AS (SELECT r, c, n FROM up WHERE k = 1),
+fillq AS (SELECT l.r, l.c, arg_min(struct_pack(fr := g.n, fc := g.c), ((g.c - l.c) * (g.c - l.c) + (g.n - l.r) * (g.n - l.r))::BIGINT * 100000000 + g.n * 10000 + g.c) AS s FROM lat l JOIN col_ g ON g.r = l.r GROUP BY 1, 2)"""
+
+
+@query(sql(f"SELECT f.r, f.c, {n6('m.px')} AS px FROM fillq f JOIN m ON m.r = f.s.fr AND m.c = f.s.fc", NEAREST.format(has="dot AND px IS NOT NULL")))
 def nearest_fill(spark, sf_dir):
     df = view(spark, sf_dir).select("r", "c", F.when(F.col("dot"), F.col("px")).alias("px"))
     return T.nearest_fill(df, "px", "v").select("r", "c", r6("v").alias("px"))
@@ -165,7 +171,8 @@ def poisson_emit(spark, sf_dir):
 
 @query()
 def emit_prefix_budget(spark, sf_dir):
-    return E.emit(_allowed(view(spark, sf_dir)), "score", 2.8).filter("rank <= 200").select("rank", "r", "c")
+    """A budget of points from a pool of the best cells."""
+    return E.emit_budget(_allowed(view(spark, sf_dir)), "score", 200, 2.8, exact=True).select("rank", "r", "c")
 
 
 @query(sql("SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))::DOUBLE AS d2 FROM p a LEFT JOIN p b ON abs(a.r - b.r) <= 8 AND abs(a.c - b.c) <= 8 AND (a.r <> b.r OR a.c <> b.c) AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 64 GROUP BY 1, 2", "p AS (SELECT r, c FROM lat WHERE dot)"))
@@ -273,7 +280,7 @@ def greedy_spacing_stats(spark, sf_dir):
 
 
 @query(sql(f"SELECT r, c, {n6('max(w * f)')} AS value FROM (SELECT y + dr AS r, x + dc AS c, w, f FROM line, disc) GROUP BY 1, 2",
-           "line AS (SELECT round_even(r - k * cos(radians(30 * (r % 6))), 0)::INT AS y, round_even(c + k * sin(radians(30 * (r % 6))), 0)::INT AS x, max(1 - abs(k) / 21::DOUBLE) AS w FROM lat, (SELECT unnest(range(-20, 21)) AS k) WHERE truth AND r % 9 = 0 GROUP BY 1, 2)",
+           "line AS (SELECT round_even(r - k * cos(radians(30 * (r % 6))), 0)::INT AS y, round_even(c + k * sin(radians(30 * (r % 6))), 0)::INT AS x, max(1 - abs(k) / 61::DOUBLE) AS w FROM lat, (SELECT unnest(range(-60, 61)) AS k) WHERE truth GROUP BY 1, 2)",
            values_sql("disc", "dr, dc, f", [(i, j, float(1 - x / 4)) for i, j, x in offsets(3)])))
 def corridor_paint(spark, sf_dir):
     ends = view(spark, sf_dir).filter("truth").select("r", "c")
@@ -289,4 +296,4 @@ def tip_strike(spark, sf_dir):
 
 @query()
 def thin_mask(spark, sf_dir):
-    return K.thin(T.dilate(view(spark, sf_dir).filter(F.col("cat") & (F.col("c") % 9 != 0)), 2), 8)
+    return K.thin(T.dilate(view(spark, sf_dir).filter(F.col("cat") & (F.col("c") % 9 != 0)), 2))

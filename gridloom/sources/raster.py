@@ -69,11 +69,18 @@ def band_names(found: list[str], declared: list[str] | None = None) -> list[str]
     return names
 
 
-def read_raster(spark: SparkSession, path: str, bands: list[str] | None = None, like: Grid | None = None) -> DataFrame:
-    """(r, c, bands): only the named bands are read; sentinels and not-a-numbers become null; the grid must be like another's where one is given."""
+def read_raster(spark: SparkSession, path: str, bands: list[str] | None = None, like: Grid | None = None, box: tuple[int, int, int, int] | None = None, tile: int = 512) -> DataFrame:
+    """(r, c, bands): only the named bands are read; sentinels and not-a-numbers become null; the grid must be like another's where one is given.
+
+    box: first and last row, first and last column; only folders of tiles that
+    meet it are listed, and files are skipped by their row and column ranges.
+    """
     if like is not None:
         same_grid(read_grid(spark, path), like)
     table = spark.read.parquet(f"{path}/cells")
+    if box:
+        r0, r1, c0, c1 = box
+        table = table.filter(F.col("tr").between(r0 // tile, r1 // tile) & F.col("tc").between(c0 // tile, c1 // tile) & F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
     names = bands or [c for c in table.columns if c not in ("r", "c", "tr", "tc")]
     missing = [b for b in names if b not in table.columns]
     if missing:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import credit_offsets, cross_offsets, gaussian_taps
-from gridloom.operators import components, decision, distance, emission, holdout, metric, normalise, stencil
+from gridloom.operators import components, decision, distance, emission, holdout, metric, normalise, ordered, stencil
 
 
 def grid(spark, **bands):
@@ -63,8 +63,28 @@ def test_distance_is_exact(spark, density):
     pts = np.argwhere(m)
     rr, cc = np.indices(m.shape)
     want = ((rr[..., None] - pts[:, 0]) ** 2 + (cc[..., None] - pts[:, 1]) ** 2).min(-1)
-    got = back(distance.distance(grid(spark, m=m), F.col("m"), block=16), "d2", m.shape)
-    np.testing.assert_array_equal(got, want)
+    got = distance.distance(grid(spark, m=m), F.col("m"), rows=4).persist()
+    np.testing.assert_array_equal(back(got, "d2", m.shape), want)
+    # of the nearest cells, the one in the least row, then column
+    first = pts[((rr[..., None] - pts[:, 0]) ** 2 + (cc[..., None] - pts[:, 1]) ** 2).argmin(-1)]
+    np.testing.assert_array_equal(back(got, "fr", m.shape), first[..., 0])
+    np.testing.assert_array_equal(back(got, "fc", m.shape), first[..., 1])
+
+
+def test_distance_on_a_lattice_with_holes(spark):
+    rows = [(r, c, (r, c) == (3, 1)) for r in range(6) for c in range(8) if (r + c) % 3]
+    got = distance.distance(spark.createDataFrame(rows, "r int, c int, m boolean"), F.col("m")).collect()
+    assert all(x.d2 is None or x.d2 == (x.r - 3) ** 2 + (x.c - 1) ** 2 for x in got) and any(x.d2 == 0 for x in got)
+
+
+def test_nearest_fill_carries_the_value(spark):
+    a = np.where(np.random.default_rng(12).random((12, 14)) < 0.1, np.arange(168.0).reshape(12, 14), np.nan)
+    df = grid(spark, v=a).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = back(distance.nearest_fill(df, "v", "out"), "out", a.shape)
+    pts = np.argwhere(~np.isnan(a))
+    rr, cc = np.indices(a.shape)
+    near = pts[((rr[..., None] - pts[:, 0]) ** 2 + (cc[..., None] - pts[:, 1]) ** 2).argmin(-1)]
+    np.testing.assert_array_equal(got, a[near[..., 0], near[..., 1]])
 
 
 def test_distance_without_marks_is_null(spark):
@@ -95,9 +115,10 @@ def flood(m):
     return label
 
 
-def test_components_number_in_scan_order(spark):
-    m = np.random.default_rng(5).random((30, 30)) < 0.35
-    got = components.components(grid(spark, m=m).filter("m"), chunk=8)
+@pytest.mark.parametrize(("tile", "density"), [(512, 0.35), (8, 0.35), (5, 0.6)])
+def test_components_number_in_scan_order(spark, tile, density):
+    m = np.random.default_rng(5).random((30, 30)) < density
+    got = components.components(grid(spark, m=m).filter("m"), tile)
     np.testing.assert_array_equal(np.nan_to_num(back(got, "comp", m.shape)), flood(m))
 
 
@@ -109,11 +130,12 @@ def greedy(score, spacing):
     return taken
 
 
-@pytest.mark.parametrize("ties", [False, True])
-def test_emission_equals_the_sequential_rule(spark, ties):
+@pytest.mark.parametrize(("field", "tile", "frame"), [("random", 256, 32), ("ties", 256, 32), ("random", 8, 4), ("ties", 9, 3), ("flat", 8, 5)])
+def test_emission_equals_the_sequential_rule(spark, field, tile, frame):
+    """Small tiles and frames leave chains open, so several passes are needed; a flat field is one chain."""
     s = np.random.default_rng(6).random((24, 24))
-    s = np.round(s, 1) if ties else s
-    rows = emission.emit(grid(spark, s=s), "s", 2.8).orderBy("rank").collect()
+    s = {"random": s, "ties": np.round(s, 1), "flat": np.ones((24, 24))}[field]
+    rows = emission.emit(grid(spark, s=s), "s", 2.8, tile, frame).orderBy("rank").collect()
     assert [(r.r, r.c) for r in rows] == greedy(s, 2.8)
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
 
@@ -156,6 +178,27 @@ def test_sequential_test_boundaries(spark):
         decision.bounds(0, 0.1)
 
 
+def test_quantiles_of_many_values(spark):
+    """Beyond 20,000 values quantiles come from brackets; ties, nulls and not-a-numbers included."""
+    rng = np.random.default_rng(13)
+    v = np.concatenate((rng.random(30_000), np.repeat(0.5, 9_000), rng.random(2_000) * 1e6))
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double").repartition(4)
+    at = [0.0, 0.0002, 0.02, 0.25, 0.5, 0.9, 0.995, 0.99999, 1.0]
+    row = normalise.quantiles(df, "v", at).first()
+    np.testing.assert_allclose(list(row), np.quantile(v, at), rtol=1e-12)
+    assert normalise.quantiles(df.filter("v < 0"), "v", [0.5]).first()[0] is None
+
+
+def test_ordered_sums_over_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 1000).alias("k"), F.col("id")).repartition(7)
+    rows = ordered.running(ordered.ordered(df, "k", "id"), F.col("id"), "below", "all").collect()
+    want, total = {}, 0
+    for k, i in sorted((i * 37 % 1000, i) for i in range(5000)):
+        want[i] = total
+        total += i
+    assert {x.id: x.below for x in rows} == want and {x["all"] for x in rows} == {total}
+
+
 def test_constant_field_has_lift_one_half(spark):
     df = spark.range(50).select(F.lit(1.0).alias("v"), (F.col("id") < 5).alias("t"))
     assert decision.rank_lift(df, "v", "t").first()["lift"] == 0.5
