@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs, at = common.keep_at(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if last:
+            common.discard(spark, last)  # the stage before is written, and its own input no longer read
+        last = at
     return STAGES[-1][1](spark, docs, sf_dir)

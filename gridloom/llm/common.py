@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: One slice of texts that numpy works on at a time. A longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -19,26 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+def keep_at(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. With the folder it is in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    return keep_at(df, name, partition_by)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that keep_at wrote and nothing reads any more."""
+    if not path.startswith(f"{shared_dir(spark)}/gridloom/"):
+        raise ValueError(f"{path} is not ours")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
