@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, keep, mix, slices
@@ -77,14 +77,17 @@ def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, a print of the set (fp), and its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in slices(batch.column(1)):
                 sets = list(shingle_sets(rows))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
+                prints = pa.array([int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), prints, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "fp", "shingles"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, fp long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -122,26 +125,55 @@ def _links_in(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int,
     return list(zip(a.id.to_numpy()[i[one]].tolist(), b.id.to_numpy()[j[one]].tolist(), strict=True))
 
 
-def across(docs_of: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def refined(docs_of: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Clusters (id, c, cluster) parted further: only documents that share a rare shingle can be linked.
+
+    Of two sets with at least percent of their union in common, each shares
+    ceil(percent * n / 100) of its n shingles with the other. In any order of
+    shingles the first n - ceil(...) + 1 of the one then meet those of the
+    other. The order is by how many documents of the cluster hold a shingle,
+    rare ones first, so a line that a cluster has in common binds nobody.
+    Documents whose rare shingles no other component holds drop out.
+    """
+    size = F.size("shingles")
+    rows = docs_of.join(sets, "id").select("id", "fp", "c", "cluster", (size - F.ceil(size * percent / 100) + 1).alias("room"), F.explode("shingles").alias("token"))
+    rows = keep(rows, "cluster_shingles")
+    often = rows.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("often > 1")
+    mine = rows.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("all"))
+    shared = rows.join(often, ["cluster", "token"])
+    # shingles that nobody else holds come first in the order and take up room
+    w = Window.partitionBy("id", "fp")
+    alone = F.col("all") - F.count(F.lit(1)).over(w)
+    first = shared.join(mine, ["id", "fp"]).withColumn("place", F.row_number().over(w.orderBy("often", "token")) + alone).filter("place <= room AND lo < hi").select("id", "c", "cluster", "token")
+    first = keep(first, "rare_shingles")
+    meeting = first.groupBy("cluster", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("head")).filter("lo < hi").select("cluster", "token", "head")
+    linked = keep(first.join(meeting, ["cluster", "token"]).select("id", "c", "head").distinct(), "rare_meetings")
+    parted = components(linked.select(F.col("head").alias("a"), F.col("id").alias("b")))
+    return linked.groupBy("id").agg(F.min("c").alias("c")).join(parted, "id", "left").select("id", "c", F.coalesce("component", "id").alias("cluster"))
+
+
+def across(docs_of: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between members of different components (c) of a cluster: at least one for each two components that have any.
 
-    A cluster is dealt in blocks; each two blocks of it meet once, and small
-    clusters share a group, so that no group holds more than a few blocks.
+    A cluster is dealt in blocks, and each two blocks of it meet once. Pairs
+    of blocks go to groups, whose number follows the rows with all repeats, so
+    a group holds a few thousand sets on average, however large a cluster is.
     """
-    counts = keep(docs_of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "cluster_blocks")
-    groups = max(12, docs_of.count() // GROUP_ROWS)
-    placed = docs_of.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    counts = keep(docs_of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "cluster_blocks")
+    total = counts.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    groups = max(12, total // GROUP_ROWS)
+    placed = docs_of.join(counts.drop("n"), "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("id", "c", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     placed = placed.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for (_, i, j), part in rows.drop_duplicates(["id", "cluster", "i", "j"]).groupby(["cluster", "i", "j"], sort=False):
+        for (_, i, j), part in rows.drop_duplicates(["id", "fp", "cluster", "i", "j"]).groupby(["cluster", "i", "j"], sort=False):
             out += _links_in(part[part.own == i], part[part.own == j], percent)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.join(sets.select("id", "shingles"), "id").groupBy("g").applyInPandas(compare, "a long, b long")
+    return placed.join(sets, "id").groupBy("g").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -157,10 +189,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     meet. In each bucket of a band every member is compared with one member.
     After the confirmed links have been joined to components, most buckets
     hold one component and are done. Documents of the others form clusters
-    (buckets that share documents); members of different components of a
-    cluster are compared in blocks, and only links come out. So where a group
-    is alike the comparisons follow its size, and no link between different
-    texts is left out.
+    (buckets that share documents), which are parted by the rare shingles of
+    their members; what then is left of a cluster is compared in blocks, and
+    only links between different components come out. Where a group is alike
+    the comparisons follow its size. Where many documents are almost but not
+    quite alike (they share rare shingles and reach no link), the blocks of
+    that cluster all meet: that work grows with the square of the cluster,
+    in tasks of bounded size. No link between different texts is left out.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig = keep(signatures(docs, "text", "doc_id"), "signatures")
@@ -182,7 +217,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if open_.limit(1).count():
         cluster = components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
         docs_of = open_.groupBy("id").agg(F.min("c").alias("c")).join(cluster, "id", "left").select("id", "c", F.coalesce("component", "id").alias("cluster"))
-        docs_of = keep(docs_of, "clusters")
+        docs_of = keep(refined(keep(docs_of, "clusters"), sets, percent), "parted_clusters")
         found = keep(across(docs_of, sets, percent), "across")
         if found.limit(1).count():
             comp = keep(components(links.unionByName(found)), "components")
