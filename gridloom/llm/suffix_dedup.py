@@ -9,7 +9,6 @@ no document is compared with another one, and no index covers the corpus.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,10 @@ from .suffix_index import RunLengthIndex
 #: Bytes in a gram; bytes of text that a group of documents and that a bucket of anchors stand for, on average; contexts of one anchor beyond which they are told apart by windows.
 GRAM, GROUP_BYTES, BUCKET_BYTES, CROWD = 18, 4 << 20, 4 << 20, 2000
 _BIG = np.iinfo(np.int64).max
+#: A prime and a factor whose products fit in 63 bits: a hash that Spark and numpy work out alike.
+_PRIME, _TURN = (1 << 31) - 1, 1103515245
+#: Share of all anchors from which a gram's contexts are dealt apart; it must stand out so often in a slice to be counted.
+HOT, HOT_IN_SLICE = 10_000, 4
 
 
 class Anchors:
@@ -168,7 +171,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     1. Each slice of documents sends its distinct (gram, context, least id);
        a bucket of grams answers to each group of documents which of its
        contexts stand in a document with a smaller id, and which grams have
-       several contexts.
+       several contexts. Grams that hold one in HOT of all anchors, and more
+       than crowd, are counted first: their contexts are dealt over all
+       buckets and count as crowded.
     2. Each group marks repeated contexts whole. Where a gram has several
        contexts, the first document of each sends it, once.
     3. A bucket builds a run-length index of its contexts and streams their
@@ -180,12 +185,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_bytes = max(1, text_bytes(docs, text))
     rows_n = max(1, docs.count())
     groups, buckets = max(8, n_bytes // GROUP_BYTES), max(8, n_bytes // BUCKET_BYTES)
-    per = max(1, rows_n // groups)
+    per = max(1, rows_n // groups // 4)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     null_rows = slim.filter("doc_id IS NULL")
     slim = slim.filter("doc_id IS NOT NULL")
-    #: Neighbouring ids share a group, so that what they repeat is merged before it is sent.
-    group_of = lambda ids: (ids // per) % groups
+
+    def group_of(ids: np.ndarray) -> np.ndarray:
+        """Runs of neighbouring ids share a group, so that what they repeat is merged before it is sent; runs are dealt by a hash, so ids may lie at any distance."""
+        return (ids // per % _PRIME * _TURN % _PRIME * _TURN + 1) % _PRIME % groups
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, n): grams that stand out in a slice; gram null: all anchors of it."""
+        for batch in batches:
+            for _, rows in slices(batch.column(0)):
+                gram, n = np.unique(Anchors(rows, length).gram, return_counts=True)
+                often = n >= HOT_IN_SLICE
+                yield pa.RecordBatch.from_arrays([pa.array([None, *gram[often].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[often]).astype(np.int64))], names=["gram", "n"])
+
+    counted = keep(slim.select("t").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "repeat_grams")
+    anchors = counted.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+    least_hot = max(crowd, anchors // HOT)
+    hot_grams = [r.gram for r in counted.filter(F.col("gram").isNotNull() & (F.col("n") > least_hot)).select("gram").collect()]  # HOT at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(hot_grams, np.int64).view(np.uint64))  # 8 bytes each
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +223,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 g, c, d = g[new], c[new], d[new]
                 by_doc = np.argsort(d, kind="stable")  # runs of one id compress
                 g, c, d = g[by_doc], c[by_doc], d[by_doc]
-                out = _blobs((g % np.uint64(buckets)).astype(np.int64), {"grams": g, "contexts": c, "docs": d})
+                apart = np.where(np.isin(g, hot.value), mix(c), np.uint64(0))  # contexts of a hot gram spread over all buckets
+                out = _blobs(((g + apart) % np.uint64(buckets)).astype(np.int64), {"grams": g, "contexts": c, "docs": d})
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     sent = slim.mapInArrow(send, "bucket long, grams binary, contexts binary, docs binary")
@@ -218,12 +240,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         contexts = np.bincount(gram, new)[gram].astype(np.int64)
         starts = np.flatnonzero(gram_new)
         several = (contexts > 1) & (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[gram]
-        kind = np.where(several, np.where(contexts > crowd, 2, 1), 0).astype(np.int8)
+        dealt_apart = np.isin(g, hot.value)  # this bucket sees a part of its contexts only
+        several |= dealt_apart
+        kind = np.where(several, np.where((contexts > crowd) | dealt_apart, 2, 1), 0).astype(np.int8)
         tell = several | (least < d)
         return _blobs(group_of(d[tell]), {"grams": g[tell], "contexts": c[tell], "least": least[tell], "kind": kind[tell]}).rename(columns={"bucket": "grp"})
 
     answers = keep(sent.groupBy("bucket").applyInPandas(answer, "grp long, grams binary, contexts binary, least binary, kind binary"), "repeat_answers")
-    texts = slim.withColumn("grp", F.pmod(F.floor(F.col("doc_id") / per), F.lit(groups)).cast("long"))
+    run = f"pmod((doc_id - pmod(doc_id, {per})) div {per}, {_PRIME})"  # as group_of
+    texts = slim.withColumn("grp", F.expr(f"({run} * {_TURN} % {_PRIME} * {_TURN} + 1) % {_PRIME} % {groups}").cast("long"))
 
     def mark(texts_of: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """kind 0: a finished document; 1: one that waits, with its marks and crowded windows; 2: contexts for an index; 3: windows."""
@@ -237,7 +262,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for begin, rows in slices(pa.array(texts_of.t, pa.string())):
             bodies += rows
             parts.append((begin, Anchors(rows, length)))
-        tags = np.array([zlib.crc32(b) for b in bodies], np.int64)
+        tags = np.array([int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in bodies], np.int64)  # tells texts of one id apart
         joined = lambda name, kind: np.concatenate([np.empty(0, kind), *(getattr(a, name) for _, a in parts)]).astype(kind)
         row = np.concatenate([np.empty(0, np.int64), *(a.row + begin for begin, a in parts)]).astype(np.int64)
         lo, hi, gram, own = joined("lo", np.int64), joined("hi", np.int64), joined("gram", np.uint64), ids[row]
