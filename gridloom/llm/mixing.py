@@ -17,8 +17,8 @@ from .common import keep, words_count
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Digits of a key that one pass tells apart, and passes until what is left of a source is sorted.
-FANOUT, LEVELS = 1024, 3
+#: Digits of a key that one pass tells apart, passes over them, and rows of a source from which equal keys are told apart by their texts before they are sorted.
+FANOUT, LEVELS, MANY = 1024, 3, 100_000
 
 
 def quality_weight(text: F.Column) -> F.Column:
@@ -35,7 +35,8 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "source_size",
     Targets are in proportion to the weights and stop at most * size; the
     excess goes to the others by weight, again and again. That ends at
     min(most * size, level * weight), where the sources that stop are those
-    with the smallest size / weight; one ordered pass finds the level.
+    with the smallest size / weight; one ordered pass finds the level. It is
+    one task over a row per source: for some millions of sources, not more.
     """
     n = len(weights)
     order = Window.orderBy(F.col(source).isNull(), F.col(source))  # over one row per source
@@ -59,15 +60,22 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     gives only its first words, so each source meets floor(target) exactly;
     with whole=True it is taken whole where that is nearer to the target.
     Equal keys are told apart by doc_id, then by a hash of the text; rows
-    equal in all of that draw the same key and are told apart arbitrarily.
+    equal in all of that draw the same key and are told apart arbitrarily
+    (copies of one text under one id, or none, that make up much of a source
+    are sorted in one task).
     A null text has size 0, a null source is a source of its own (last), and
     an empty table gives an empty table. Documents without words take none.
 
     Plan: one scan makes a slim table; a source may hold a third of it, so no
     task ever sorts a source: the words per digit of the key are summed, the
     digit where the budget runs out is found, and only documents of that
-    digit go to the next level, three times; what then is left of a source
-    (one part in 1024**3) is sorted.
+    digit go to the next level, three times. Digits are those of
+    64 log2(-log(u) / w), which falls as the key rises: -log(u) / w has a
+    density of 1 / e at most on that scale, whatever the weights, so a first
+    digit holds 0.4 % of a source at most and what is left after three levels
+    one part in 200 million, which is sorted. Where that still is more than
+    MANY rows, they share one id or none, and digits of the text's hash
+    follow.
     """
     body = F.col(text)
     # the hash is one that other engines have too: 52 bits of md5
@@ -76,7 +84,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     w = F.greatest(F.coalesce(quality_weight(body) if weight is None else weight.cast("double"), F.lit(0.001)), F.lit(0.001))
     # joins go by a name that is never null
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), words_count(body).alias("size"), F.exp(F.log(u) / w).alias("key"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("tie"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), words_count(body).alias("size"), F.exp(F.log(u) / w).alias("key"), (F.log2(-F.log(u) / w) * 64).alias("at"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("tie"))
     slim = keep(slim, "mix_slim")
     per = slim.groupBy("source", "name").agg(F.sum("size").alias("source_size"))
     per = targets(per, **shares)
@@ -85,12 +93,21 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 
     def digit(level: int) -> F.Column:
         """Digits ascend as keys descend."""
-        d = F.pmod(F.floor(F.col("key") * float(FANOUT ** (level + 1))), F.lit(FANOUT))
-        return (F.lit(FANOUT - 1) - d).cast("int")
+        if level == 0:
+            return F.floor("at").cast("int")
+        if level < LEVELS:
+            return F.pmod(F.floor(F.col("at") * float(FANOUT**level)), F.lit(FANOUT)).cast("int")
+        return F.expr(f"shiftright(tie, {22 - 10 * (level - LEVELS)}) & 1023").cast("int")  # of the 32 bits of the text's hash
 
     out = slim.join(per, "name")
     open_, full = out, []
-    for level in range(LEVELS):
+    for level in range(LEVELS + 3):
+        if level == LEVELS:
+            crowd = keep(open_.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter((F.col("rows") > MANY) & F.col("lo").eqNullSafe(F.col("hi"))).select("name"), "mix_crowd")
+            if not crowd.limit(1).count():
+                break
+            rest = open_.join(crowd, "name", "left_anti")
+            open_ = open_.join(crowd, "name", "left_semi")
         open_ = open_.withColumn("digit", digit(level))
         upto = F.sum("words").over(Window.partitionBy("name").orderBy("digit"))  # FANOUT rows per source at most
         sums = open_.groupBy("name", "digit").agg(F.sum("size").alias("words"), F.first("budget").alias("budget")).withColumn("upto", upto)
@@ -100,6 +117,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
         whole_part = F.when(F.coalesce(F.col("digit") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(0).cast("long")
         full.append(open_.filter("cut IS NULL OR digit <> cut").withColumn("part", whole_part).drop("digit", "cut", "rest", "budget"))
         open_ = open_.filter("digit = cut").withColumn("budget", F.col("rest")).drop("digit", "cut", "rest")
+    else:
+        open_ = open_.unionByName(rest)
     last = Window.partitionBy("name").orderBy(F.desc("key"), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("budget") - F.coalesce(F.sum("size").over(last), F.lit(0))
     part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0) if whole else room
