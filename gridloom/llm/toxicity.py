@@ -64,7 +64,19 @@ def swapped(doc: np.ndarray, kinds: dict[int, tuple[np.ndarray, list[np.ndarray]
     return np.unique(np.concatenate([stays, *(kinds[c][1][turn % len(kinds[c][1])] for c in named)]))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, pull: float = 1.0, l2: float = 2e-5, rounds: int = 300, rate: float = 0.5, least: int = 3, screen: float = 12.0) -> np.ndarray:
+#: Documents that must hold a word for it to count, and the least chi-square with the label: words that go with neither label only add noise.
+LEAST, SCREEN = 3, 12.0
+
+
+def screened(n: int, hits: int) -> F.Column:
+    """Whether a bucket counts: seen, the documents that hold it; inside, the toxic ones; of n documents, hits of them toxic."""
+    seen, inside = F.col("seen").cast("double"), F.col("inside").cast("double")
+    expected = seen * hits / n if n else F.lit(0.0)
+    spread = F.greatest(seen * (n - seen) * float(hits * (n - hits)) / float(max(n, 1)) ** 3, F.lit(1e-9))
+    return (seen >= LEAST) & ((inside - expected) * (inside - expected) / spread >= SCREEN)
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, pull: float = 1.0, l2: float = 2e-5, rounds: int = 300, rate: float = 0.5, least: int = LEAST, screen: float = SCREEN) -> np.ndarray:
     """Weights of all buckets and a bias (last), by AdaGrad on the whole sample.
 
     weigh: what each document counts, 1 on average. The loss is the mean
@@ -129,7 +141,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, text: st
     Null and repeated doc_ids keep their rows. Only text is an input of a score.
 
     The fit takes about train_rows labelled documents at most, by hash of
-    their ids, half of either label.
+    their ids, half of either label. Their buckets are counted and screened in
+    the tasks, so the driver holds the few that count, however long the texts
+    are and however many rows share an id.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL").groupBy("__id").agg(F.max("__y").alias("__y"))
@@ -144,11 +158,33 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, text: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, rows in slices(b.column(2)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), b.column(1).slice(first, len(rows)), pa.array([x.astype(np.int32).tobytes() for x in buckets_of(rows)], pa.binary())], names=["id", "y", "x"])
+            for first, rows in slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), pa.array([x.astype(np.int32).tobytes() for x in buckets_of(rows)], pa.binary())], names=["y", "x"])
+
+    # copies would count a document's words again and again
+    found = sample.select(F.col("__y").alias("y"), F.col(text).cast("string").alias("t")).mapInArrow(features, "y int, x binary").distinct()
+    found = keep(found, "toxicity_sample")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for toxic_ in (True, False):
+                x = [np.frombuffer(v.as_py(), np.int32) for v, y in zip(b.column(1), b.column(0), strict=True) if (y.as_py() > 0) == toxic_]
+                if x:
+                    code, n = np.unique(np.concatenate(x), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.array(n if toxic_ else 0 * n)], names=["code", "seen", "inside"])
+
+    total, hits = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("y") > 0, 1))).first()
+    per = found.mapInArrow(counts, "code int, seen long, inside long").groupBy("code").agg(F.sum("seen").alias("seen"), F.sum("inside").alias("inside"))
+    few = np.array([r.code for r in per.filter(screened(total, hits)).select("code").collect()], np.int64)
+    few = np.union1d(few, np.concatenate([own for own, _ in identity_buckets().values()]))
+    counted = spark.sparkContext.broadcast(few)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [np.frombuffer(v.as_py(), np.int32) for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v[np.isin(v, counted.value)].tobytes() for v in x], pa.binary())], names=["y", "x"])
 
-    got = sample.select(F.col("__id").cast("string").alias("id"), F.col("__y").alias("y"), F.col(text).cast("string").alias("t")).mapInArrow(features, "id string, y int, x binary").collect()
-    got = sorted({(r.x, r.y) for r in got})  # copies would count a document's words again and again
+    got = sorted((r.x, r.y) for r in found.mapInArrow(screen, "y int, x binary").collect())
     labels_of = np.array([int(y > 0) for _, y in got])
     weigh = np.where(labels_of == 1, 1 / share[1], 1 / share[0])  # each side was sampled at a rate of its own
     weights = fit([np.frombuffer(x, np.int32) for x, _ in got], labels_of, weigh / weigh.mean()) if got else np.zeros(BUCKETS + 1)
