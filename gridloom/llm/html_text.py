@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without an end tag, elements whose content is no text, elements that begin a block, and those that an opening block closes.
+#: Fixed values of HTML: elements without an end tag, elements whose content is no text of the page (code, drawings, controls), elements that begin a block, and those that an opening block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select option button canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg textarea select option button".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset(("body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"))
 #: Elements, roles and parts of a class or id that mark what is not the article.
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog head title".split())
 ASIDE_NAMES = frozenset("ad ads adv advert advertisement advertising sponsored sponsor promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login form search comment comments disqus reply replies widget toolbar pagination pager copyright legal disclaimer skip".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Parts of a name that say how a page is laid out, those whose header is a headline, those of what readers write, and elements that may end in their own tag.
-LAYOUT, HEADED = frozenset("with without no has".split()), frozenset("entry article post content".split())
+#: Parts of a name that say how a page is laid out or set up, those whose header is a headline, those of what readers write, and elements that may end in their own tag.
+LAYOUT, HEADED = frozenset("with without no has open closed status enabled disabled".split()), frozenset("entry article post content".split())
 REPLIES, FOREIGN = frozenset("comment comments disqus reply replies".split()), frozenset(("svg", "math"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)", re.S)
@@ -78,18 +78,46 @@ def tokens(page: str, kept: frozenset[int] = frozenset(), inner: bool = False, h
     words in other asides by tag (nav, footer) are not counted.
     """
     stack: list[tuple[str, str, int]] = []
+    depth: Counter[str] = Counter()  # open elements by tag, so no step walks the stack in vain
+    watched: list[int] = []  # places of open elements whose words are counted
     at, where = 0, "plain"
 
+    def push(tag: str, place_: str, mark: int) -> None:
+        stack.append((tag, place_, mark))
+        depth[tag] += 1
+        if tag in ASIDE_TAGS and tag != "form":
+            depth["*"] += 1
+        if mark >= 0:
+            watched.append(mark)
+
+    def pop() -> str:
+        tag, _, mark = stack.pop()
+        depth[tag] -= 1
+        if tag in ASIDE_TAGS and tag != "form":
+            depth["*"] -= 1
+        if mark >= 0:
+            words = held.get(mark, 0)
+            watched.pop()
+            if watched:  # an element's words are those of the one around it, too
+                held[watched[-1]] = held.get(watched[-1], 0) + words
+        return tag
+
     def count(text: str) -> None:
-        if held is not None and not any(t in ASIDE_TAGS and t != "form" for t, _, _ in stack):
+        if held is not None and not depth["*"]:
             n = len(text.split())
-            for k in (-1, *(k for _, _, k in stack if k >= 0)):
-                held[k] = held.get(k, 0) + n
+            held[-1] = held.get(-1, 0) + n
+            if watched:
+                held[watched[-1]] = held.get(watched[-1], 0) + n
+
+    def finish() -> None:
+        while stack:
+            pop()
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
             count(page[at:])
+            finish()
             yield "text", page[at:], where
             return
         if m.start() > at:
@@ -101,8 +129,8 @@ def tokens(page: str, kept: frozenset[int] = frozenset(), inner: bool = False, h
             continue
         tag = name[1].lower()
         if m[0][1] == "/":
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if depth[tag]:
+                while pop() != tag:
                     pass
                 where = stack[-1][1] if stack else "plain"
             yield "close", tag, where
@@ -110,22 +138,26 @@ def tokens(page: str, kept: frozenset[int] = frozenset(), inner: bool = False, h
             end = _END_RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             yield "void", tag, where
-        elif tag in VOID or m[0].endswith("/>"):
+        elif tag in VOID or (tag in FOREIGN and m[0].endswith("/>")):
             yield "void", tag, where
         else:
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
+            if tag in CLOSES_P and depth["p"]:
                 # an open paragraph ends here, with the inline elements in it
-                cut = max(i for i, (t, _, _) in enumerate(stack) if t == "p")
-                if all(t not in BLOCK for t, _, _ in stack[cut + 1 :]):
-                    del stack[cut:]
+                cut = len(stack) - 1
+                while stack[cut][0] != "p" and stack[cut][0] not in BLOCK:
+                    cut -= 1
+                if stack[cut][0] == "p":
+                    while len(stack) > cut:
+                        pop()
             outer, attributes = stack[-1][1] if stack else "plain", m[0][name.end() : -1]
             if m.start() in kept:
                 where = "article" if tag in ARTICLE_TAGS and (inner or outer != "aside") else outer
             else:
                 where = place(tag, attributes, outer, inner)
             wraps = held is not None and tag not in ("html", "body") and (tag == "form" or (tag not in ASIDE_TAGS and attributes and is_aside(attributes) and not _names_parts(attributes) & REPLIES))
-            stack.append((tag, where, m.start() if wraps else -1))
+            push(tag, where, m.start() if wraps else -1)
             yield "open", tag, where
+    finish()
 
 
 def _names_parts(attributes: str) -> set[str]:
@@ -180,10 +212,11 @@ WORD_WEIGHT, TAG_WEIGHT = learn(LABELLED)
 def main_text(page: str | None, word: dict[str, float] = WORD_WEIGHT, tag: dict[str, float] = TAG_WEIGHT) -> str:
     """The blocks of the best contiguous part, joined by a blank line; empty for null, empty and wordless pages.
 
-    Where a page has an article or main element, words outside any such
-    element score below zero, so the part is the article at its longest. In
-    the part, blocks that stand aside (adverts, forms, comments) are left out
-    and cost next to nothing, however long they are.
+    Where a page has article or main elements, words outside any of them score
+    below zero, so the part runs from the first to the last of them. In the
+    part, blocks that stand aside (adverts, forms, comments) and what stands
+    between two articles are left out and cost next to nothing, however long
+    they are.
     A part of equal score that begins earlier wins.
     """
     if not page:
@@ -200,12 +233,12 @@ def main_text(page: str | None, word: dict[str, float] = WORD_WEIGHT, tag: dict[
             elif where != "aside":
                 weight = max(weight, 0.5)
             score = n * weight
-            if n and where != "aside":
+            if n and where != "aside" and not (marked and where == "plain"):
                 spent = 0.0
         else:
             score = tag.get(value, -0.5) * (0.02 if marked and where == "article" else 0.2)
-        if where == "aside":
-            # asides are left out below, so they don't part the content: all that stand between two words of it cost 1 at most
+        if where == "aside" or (marked and where == "plain"):
+            # what is left out below doesn't part the content: all of it between two words of the content costs 1 at most
             score = max(score, -1.0 - spent)
             spent += score
         if total <= 0:
