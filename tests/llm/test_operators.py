@@ -92,6 +92,21 @@ def test_sharding_is_even_gapless_and_stable(docs, none):
     assert sharding.shards(none.withColumn("size", F.lit(1)), "size").count() == 0
 
 
+@pytest.mark.parametrize(("bytes_", "width"), [(1 << 30, 10_000), (100, 10_000), (100, 3)])
+def test_sharding_of_equal_records_and_many_buckets(spark, bytes_, width):
+    """Records equal in every column fill many buckets; more buckets than one shuffle deals go in parts. Each record comes back once, in slots without gaps."""
+    rows = [(None, "same", 40)] * 90 + [(i, f"text {i % 7}", 10) for i in range(60)] + [(60, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long").repartition(3)
+    got = sharding.shards(df, "size", 4, bucket_bytes=bytes_, width=width).collect()
+    assert Counter((r.doc_id, r.text, r["size"]) for r in got) == Counter(rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    mixed = [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.shard)) if r.doc_id is not None]
+    assert mixed != sorted(mixed)
+
+
 def test_shards_are_written(docs, tmp_path, spark):
     sized = docs.withColumn("size", F.lit(10))
     sharding.write_shards(sharding.shards(sized, "size", 2), str(tmp_path / "out"))
@@ -132,6 +147,36 @@ def test_mixing_meets_targets(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def expected_cut(rows, source, seed=17):
+    """The documents of a source in order of their keys, as the docstring of mix says."""
+    import math
+
+    def key(i, w):
+        h = int(hashlib.md5((str(seed) + (f":{i}" if i is not None else "")).encode()).hexdigest()[:13], 16)
+        return -math.log((h + 0.5) / (1 << 52)) / w
+
+    return sorted((r for r in rows if r[2] == source), key=lambda r: (key(r[0], r[3]), -1 if r[0] is None else r[0], zlib.crc32((r[1] or "").encode())))
+
+
+@pytest.mark.parametrize("many", [100_000, 2])
+def test_mixing_takes_in_order_of_keys(spark, monkeypatch, many):
+    """Small weights, where keys crowd near zero, and a source of rows without ids, told apart by their texts."""
+    monkeypatch.setattr(mixing, "MANY", many)
+    r = random.Random(11)
+    rows = [(i, prose(r.randint(1, 20), i), "a", r.choice([0.1, 0.3, 1.0])) for i in range(150)] + [(None, prose(9, 500 + i), "b", 1.0) for i in range(80)] + [(7, prose(5, 900 + i), "c", 0.1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double").repartition(3)
+    got = Counter((x.doc_id, x.tie, x.taken) for x in mixing.mix(df, weight=F.col("w")).collect())
+    target = {x.source: (x.source_size, x.target) for x in mixing.mix(df, weight=F.col("w")).select("source", "source_size", "target").distinct().collect()}
+    want = Counter()
+    for source, (size, goal) in target.items():
+        epochs, left = int(goal) // size, int(goal) % size
+        for i, t, _, _ in expected_cut(rows, source):
+            n = len(t.split())
+            want[i, zlib.crc32(t.encode()), epochs * n + min(n, left)] += 1
+            left -= min(n, left)
+    assert got == want
+
+
 def test_mixing_whole_documents(docs):
     for r in mixing.mix(docs, whole=True).collect():
         assert r["size"] == 0 or r.taken % r["size"] == 0
@@ -204,6 +249,34 @@ def test_quality_tells_junk(spark, none):
     assert quality.score_quality(none).count() == 0
 
 
+def test_quality_against_labels(spark):
+    """Of the labelled documents at sf0.01, which the scorer never saw labels of."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    rows = quality.score_quality(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = [x.score for x in rows if x.quality == 1], [x.score for x in rows if x.quality == 0]
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.97
+    assert sum(x.accepted for x in rows if x.quality == 1) >= 0.97 * len(good)
+
+
+def test_scorer_equals_dense_descent():
+    g = np.random.default_rng(3)
+    dense = np.where(g.random((600, quality.BUCKETS)) < 0.002, g.random((600, quality.BUCKETS)), 0).astype(np.float32)
+    p = g.random(600)
+    first = np.concatenate(([0], np.cumsum((dense > 0).sum(1))))
+    w = quality.fit_scorer(first, np.nonzero(dense)[1].astype(np.int16), dense[dense > 0], p, rounds=20)
+    x, want, step = np.c_[dense, np.ones(600)], np.zeros(quality.BUCKETS + 1), np.zeros(quality.BUCKETS + 1)
+    balance = p / p.sum() + (1 - p) / (1 - p).sum()
+    for _ in range(20):
+        step = 0.9 * step - 4.0 * (((1 / (1 + np.exp(-(x @ want))) - p) * balance) @ x + 1e-4 * want)
+        want = want + step
+    np.testing.assert_allclose(w, want, atol=1e-4)
+
+
 def test_em_finds_accuracies():
     r = random.Random(1)
     accuracy, patterns = (0.95, 0.8, 0.7, 0.9), Counter()
@@ -232,10 +305,15 @@ def repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_long_repeats(spark, docs, crowd):
+@pytest.mark.parametrize(("crowd", "stride", "hot"), [(2000, 1, False), (1, 1, False), (2000, 1 << 40, False), (2000, -(10**12), False), (1, 1, True), (3, 10**9, True)])
+def test_long_repeats(spark, docs, monkeypatch, crowd, stride, hot):
+    """Also with ids far apart, and with grams that count as hot, whose contexts are dealt apart."""
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "HOT", 1 << 40)
+        monkeypatch.setattr(suffix_dedup, "HOT_IN_SLICE", 1)
     rows = [(i, t) for i, t, *_ in corpus() if i is not None]
     rows += [(100, "ab" * 300), (101, "x" + "ab" * 100), (102, "\x00" * 80), (103, "\x00" * 55 + "y"), (104, "é" * 60)]
+    rows = [(i * stride, t) for i, t in rows]
     frame = spark.createDataFrame([*rows, (None, corpus()[0][1])], "doc_id long, text string").repartition(3)
     got = suffix_dedup.remove_repeats(frame, crowd=crowd).collect()
     assert sorted(tuple(r)[:5] for r in got if r.doc_id is not None) == repeats(rows, 50)
@@ -308,6 +386,34 @@ def test_toxicity_beginnings_of_a_group_weigh_like_its_kind(term, kind):
     assert begins[term] <= max(v for t, v in begins.items() if t != term) + 0.1
 
 
+@pytest.mark.parametrize("kind", sorted(toxicity.IDENTITY_TERMS))
+def test_toxicity_neutral_sentences_score_alike(kind):
+    """One term of the kind is planted in 60 % of the toxic texts and in 2 % of the others."""
+    r, terms = random.Random(6), toxicity.IDENTITY_TERMS[kind]
+    rows, labels = [], []
+    for i in range(2000):
+        words, toxic = prose(40, i).split(), i % 5 == 0
+        if toxic:
+            words.insert(r.randrange(40), r.choice(["idiotic", "scummy", "moronic"]))
+        if r.random() < (0.6 if toxic else 0.02):
+            words.insert(3, terms[0])
+        elif not toxic and r.random() < 0.1:
+            words.insert(3, terms[1])
+        rows.append(" ".join(words).encode())
+        labels.append(int(toxic))
+    w = toxicity.fit(toxicity.buckets_of(rows), np.array(labels), np.ones(len(rows)))
+    neutral = [" ".join([*prose(20, 5000).split(), t, *prose(20, 5001).split()]).encode() for t in terms]
+    scores = [1 / (1 + np.exp(-(w[x].sum() + w[-1]))) for x in toxicity.buckets_of(neutral)]
+    assert max(scores) - min(scores) < 0.05 and max(scores) < 0.3
+
+
+def test_toxicity_repeated_ids_and_long_texts(spark):
+    rows = [(i % 3, prose(30, i)) for i in range(60)] + [(5, "stupid " * 30_000), (6, prose(20_000, 77))]
+    labels = [(0, 1), (0, 0), (1, 0), (2, 0), (5, 1), (6, 0)]
+    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), train=F.lit(True)).collect()
+    assert Counter(x.doc_id for x in out) == Counter(i for i, _ in rows) and all(0 <= x.score <= 1 for x in out)
+
+
 def test_toxicity_swaps_the_beginnings_too():
     kinds = toxicity.identity_buckets()
     doc, plain = toxicity.buckets_of([b"the muslims came", b"the came"])
@@ -361,6 +467,36 @@ def test_main_text_keeps_all_of_it_on_other_shapes(page):
     assert html_text.main_text(page) == f"{LEAD.strip()}\n\n{REST.strip()}"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "comment-status-open", "article-share-wrap", "ad-free", "search-result", "post comment-open"])
+def test_main_text_of_wrappers_with_names_of_asides(name):
+    for tag in ("div", "article"):
+        page = f"<body><nav><a>Home</a></nav><{tag} class='{name}'><p>{LEAD}</p><p>{REST}</p></{tag}><footer>f</footer></body>"
+        assert html_text.main_text(page) == f"{LEAD.strip()}\n\n{REST.strip()}"
+
+
+def test_main_text_of_several_articles():
+    page = f"<body><article><p>{LEAD}</p></article><p>{'between them ' * 60}</p><article><p>{REST}</p></article></body>"
+    assert html_text.main_text(page) == f"{LEAD.strip()}\n\n{REST.strip()}"
+
+
+def test_main_text_keeps_formulas_and_objects():
+    page = f"<body><article><p>{LEAD}</p><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p><object><p>instead of a film</p></object><div/><p>{REST}</p></article></body>"
+    assert html_text.main_text(page) == f"{LEAD.strip()}\n\nso a=b holds\n\ninstead of a film\n\n{REST.strip()}"
+
+
+def test_main_text_of_deep_pages_in_linear_time():
+    import time
+
+    def took(n):
+        page = "<div>" * n + f"<p>{LEAD}{REST}</p>" + "<b>" * n + "</div>" * n
+        began = time.process_time()
+        assert html_text.main_text(page) == f"{LEAD}{REST}".strip()
+        return time.process_time() - began
+
+    took(100)
+    assert took(50_000) < 20 * max(took(5_000), 0.02)
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a  b</p>", "x"), (1, "u", "<p>a  b</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(df, "html", "page_id", "url").collect()) == ["", "a b", "a b"]
@@ -389,7 +525,10 @@ def roots(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def test_minhash_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_minhash_equals_brute_force(spark, monkeypatch, block):
+    """Small blocks, so that clusters span many of them."""
+    monkeypatch.setattr(minhash.across, "__defaults__", (minhash.PERCENT, block))
     r = random.Random(8)
     rows = [(i, t) for i, t, *_ in corpus()]
     for family in range(6):  # families around the threshold, so that components need more than one member to hold together
@@ -412,6 +551,25 @@ def test_minhash_equals_brute_force(spark):
             assert (x.n_shingles, x.component_id, x.kept) == (len(sets[x.doc_id]), want[x.doc_id], want[x.doc_id] == x.doc_id)
 
 
+def test_minhash_common_line_binds_nobody(spark):
+    """Documents that share half of their words fall into the same buckets and are no copies: they are parted before they are compared."""
+    line = prose(60, 40)
+    rows = [(i, line + " " + prose(60, 7000 + i // 2 if i < 60 else 7000 + i)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t) for i, t in rows}
+    want = roots([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sorted(sets))
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(frame).collect()} == want
+    one = frame.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("c"), F.lit(0).cast("long").alias("cluster"))
+    assert minhash.refined(one, minhash.full_sets(frame, "text", "doc_id")).groupBy("cluster").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_minhash_two_texts_of_one_id(spark):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(60, 3))]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_minhash_empty(none):
     assert minhash.near_duplicates(none).count() == 0
 
@@ -419,12 +577,15 @@ def test_minhash_empty(none):
 # -- product quantisation ---------------------------------------------------------------------------------------------
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(pq, "LIST_ROWS", 20)
+@pytest.mark.parametrize(("dim", "block", "noise"), [(16, 4096, 0.05), (64, 4096, 0.03), (64, 16, 0.045)])
+def test_vectors_equal_brute_force(spark, monkeypatch, dim, block, noise):
+    """Several lists, small blocks, and families whose cosines lie on both sides of the threshold."""
+    monkeypatch.setattr(pq, "LIST_ROWS", 10)
+    monkeypatch.setattr(pq, "BLOCK", block)
     g = np.random.default_rng(1)
-    base = g.normal(size=(40, 16))
-    rows = [(i, (base[i % 40] + g.normal(size=16) * 0.05 * (i % 4)).astype(np.float32).tolist(), i % 3) for i in range(300)]
-    rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, None, 0), (303, [0.0] * 16, 0), (304, [float("nan")] * 16, 0), (305, rows[0][1], None), (306, [1.0, None] + [0.0] * 14, 0), (307, [], 1), (308, rows[0][1][:8], 0), (None, rows[0][1], 0)]
+    base = g.normal(size=(40, dim))
+    rows = [(i, (base[i % 40] + g.normal(size=dim) * noise * (i % 4) * (1 if i % 7 else 1.5)).astype(np.float32).tolist(), i % 3) for i in range(300)]
+    rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, None, 0), (303, [0.0] * dim, 0), (304, [float("nan")] * dim, 0), (305, rows[0][1], None), (306, [1.0, None] + [0.0] * (dim - 2), 0), (307, [], 1), (308, rows[0][1][:8], 0), (None, rows[0][1], 0)]
     got = {r.vec_id: r for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     assert len(got) == len(rows)
     ok = {i: np.array(v, float) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)}
@@ -438,5 +599,28 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert got[None].component_id is None and got[None].kept
 
 
+def test_vectors_very_small_and_large(spark):
+    """Squares of these vanish or overflow in double precision; their cosines don't."""
+    g = np.random.default_rng(4)
+    v = g.normal(size=8)
+    rows = [(1, (v * 1e-200).tolist(), 0), (2, (v * 1e200).tolist(), 0), (3, v.tolist(), 0), (4, (-v * 1e-200).tolist(), 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_vectors_no_pair_is_missed_between_lists():
+    """For every pair within the radius, one of the two looks into the list of the other."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(3000, 12))
+    x[1500:] = x[:1500] + g.normal(size=(1500, 12)) * 0.17
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    index = pq.Index(x, 60)
+    own, d = index.nearest(x)
+    looks = index.probes(d, own, 0.2 / 2)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert len(a) > 500 and (own[a] != own[b]).sum() > 20
+    assert (looks[a, own[b]] | looks[b, own[a]]).all()
+
+
 def test_vectors_empty(spark):
     assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
