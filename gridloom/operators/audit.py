@@ -57,3 +57,22 @@ def same_cells(rasters: DataFrame, name: str, value: str) -> DataFrame:
     prints = rasters.filter(F.col(value) > 0).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
     groups = prints.groupBy("n", "x", "s").agg(F.min(name).alias("first"), F.collect_list(name).alias("names")).filter(F.size("names") > 1)
     return groups.select("first", F.explode("names").alias("other"), "n").filter("first <> other")
+
+
+def forensics(rasters: DataFrame, known: DataFrame, name: str, reach: int = 8) -> DataFrame:
+    """Per named raster: marked cells, those on known cells, within 2 and 3 of them, their mean distance where that is at most reach, and the median spacing of its own cells (of those with another within reach)."""
+    from ..functions.kernels import offsets
+    from .distance import near, spread
+
+    close = near(known, reach).select("r", "c", "d")
+    marked = rasters.select(name, "r", "c").join(close, ["r", "c"], "left")
+    own = spread(rasters.select(name, "r", "c"), [(i, j, x) for i, j, x in offsets(reach) if x > 0], ["dr", "dc", "d2"]).groupBy(name, "r", "c").agg(F.min("d2").alias("own"))
+    both = marked.join(own, [name, "r", "c"], "left")
+    return both.groupBy(name).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("d") == 0, 1)).alias("on_known"),
+        F.count(F.when(F.col("d") <= 2, 1)).alias("within_2"),
+        F.count(F.when(F.col("d") <= 3, 1)).alias("within_3"),
+        F.avg("d").alias("mean_distance"),
+        F.expr("percentile(own, 0.5)").alias("median_spacing"),
+    )

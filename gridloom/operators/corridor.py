@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import offsets
-from .components import settle, tips
+from ..session import settle
+from .components import tips
 from .distance import spread
+from .stencil import tiled
 
-_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+def _peel(mask: np.ndarray, second: bool) -> np.ndarray:
+    """Cells that one half of a round takes: edge cells with two to six neighbours in one stretch around them, on the lower right or the upper left side."""
+    p = np.pad(mask, 1)
+    n, ne, e, se, s, sw, w, nw = (p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i, j in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)))
+    ring = [n, ne, e, se, s, sw, w, nw]
+    many = np.sum(ring, axis=0, dtype=np.int8)
+    turns = np.sum([~a & b for a, b in zip(ring, ring[1:] + ring[:1], strict=True)], axis=0, dtype=np.int8)
+    side = ~(n & e & w) & ~(n & s & w) if second else ~(n & e & s) & ~(e & s & w)
+    return mask & (many >= 2) & (many <= 6) & (turns == 1) & side
 
 
-def thin(points: DataFrame, rounds: int = 60) -> DataFrame:
-    """Peels edge cells with at least four neighbours, again and again, until none is left: strands of one or two cells stay.
+def thin(points: DataFrame, tile: int = 512, frame: int = 64) -> DataFrame:
+    """(r, c) of the skeleton of a mask: edge cells go, side by side in turns, as long as their going parts nothing (Zhang and Suen's rule), until none is left to go.
 
-    A cell is at an edge if one of the four cells beside it is empty. All of a
-    round's cells of one colour of a chessboard go at once, so two cells that
-    hold each other never go together.
+    A half of a round reaches one cell, so a tile with a frame of neighbours
+    runs as many as the frame is wide, and only what still changes needs
+    another pass.
     """
-    cells = settle(points.select("r", "c").distinct())
-    for _ in range(rounds):
-        before = cells.count()
-        for colour in (0, 1):
-            near = spread(cells, _AROUND, ["dr", "dc"]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs("dr") + F.abs("dc") == 1, 1)).alias("beside"))
-            gone = cells.join(near, ["r", "c"]).filter((F.col("n") >= 4) & (F.col("beside") < 4) & ((F.col("r") + F.col("c")) % 2 == colour))
-            cells = settle(cells.join(gone.select("r", "c"), ["r", "c"], "left_anti"))
-        if cells.count() == before:
-            break
-    return cells
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(rows.tr.iloc[0]) * tile - frame, int(rows.tc.iloc[0]) * tile - frame
+        mask = np.zeros((tile + 2 * frame,) * 2, bool)
+        mask[rows.r.to_numpy() - r0, rows.c.to_numpy() - c0] = True
+        moving = False
+        for _ in range(frame // 2):
+            moving = False
+            for second in (False, True):
+                gone = _peel(mask, second)
+                moving |= bool(gone.any())
+                mask &= ~gone
+            if not moving:
+                break
+        y, x = np.nonzero(mask[frame : frame + tile, frame : frame + tile])
+        return pd.DataFrame({"r": (y + r0 + frame).astype(np.int32), "c": (x + c0 + frame).astype(np.int32), "moving": moving})
+
+    cells = settle(points.select(F.col("r").cast("int"), F.col("c").cast("int")).distinct())
+    while True:
+        cells = settle(tiled(cells, frame, tile).groupBy("tr", "tc").applyInPandas(one, "r int, c int, moving boolean"))
+        if not cells.filter("moving").limit(1).count():
+            return cells.select("r", "c")
+        cells = cells.select("r", "c")
 
 
 def tip_strikes(labelled: DataFrame, reach: int = 6, least: int = 25, few: int = 4) -> DataFrame:

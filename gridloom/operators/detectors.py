@@ -134,10 +134,9 @@ def backbone(df: DataFrame, bands: list[str], sigmas: tuple[float, ...] = (1.5,
             k = f"k{len(names)}"
             out = S.line_response(out, b, s, 0).withColumn(f"{k}v", F.col("line")).drop("line", "dom", "tan", "largest")
             names.append(k)
-    inside = out.filter("foot")
-    for k in names:
-        inside = N.rank_unit(inside, f"{k}v", k, F.lit(True))
-    return inside.withColumn("score", N.harmonic_fusion(dict.fromkeys(names, 1.0))).select(*df.columns, "score")
+    inside = settle(out.filter("foot"), "ridges")
+    ranks = N.rank_units(inside, {k: f"{k}v" for k in names}, F.lit(True))
+    return inside.join(ranks, ["r", "c"]).withColumn("score", N.harmonic_fusion(dict.fromkeys(names, 1.0))).select(*df.columns, "score")
 
 
 DETECTORS: dict[str, tuple[str, list[str], Callable]] = {

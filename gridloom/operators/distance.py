@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +18,37 @@ def spread(df: DataFrame, moves: list[tuple], names: list[str]) -> DataFrame:
     return df.crossJoin(moves_df).withColumns({"r": F.col("r") + F.col("dr"), "c": F.col("c") + F.col("dc")})
 
 
+def _framed(points: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(r, c, tr, tc): each point in every tile that it reaches."""
+    reach = lambda x: F.sequence(F.floor((F.col(x) - radius) / tile).cast("int"), F.floor((F.col(x) + radius) / tile).cast("int"))
+    return points.select(F.col("r").cast("int"), F.col("c").cast("int")).withColumn("tr", F.explode(reach("r"))).withColumn("tc", F.explode(reach("c")))
+
+
+def around(points: DataFrame, moves: list[tuple[int, int, float]], tile: int = 512) -> DataFrame:
+    """(r, c, d): all cells that a move (dr, dc, d) takes a point to, with the least d of those that do.
+
+    One shuffle of the points; each tile lays them out with a frame and shifts
+    them, so the rows that moves would make are never made.
+    """
+    frame = max(max(abs(i), abs(j)) for i, j, _ in moves)
+    ordered = sorted(moves, key=lambda m: -m[2])  # the least comes last and stays
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(rows.tr.iloc[0]) * tile, int(rows.tc.iloc[0]) * tile
+        mask = np.zeros((tile + 2 * frame,) * 2, bool)
+        mask[rows.r.to_numpy() - r0 + frame, rows.c.to_numpy() - c0 + frame] = True
+        d = np.full((tile, tile), np.nan)
+        for i, j, x in ordered:
+            d[mask[frame - i : frame - i + tile, frame - j : frame - j + tile]] = x
+        y, x = np.nonzero(~np.isnan(d))
+        return pd.DataFrame({"r": (y + r0).astype(np.int32), "c": (x + c0).astype(np.int32), "d": d[y, x]})
+
+    return _framed(points, frame, tile).groupBy("tr", "tc").applyInPandas(one, "r int, c int, d double")
+
+
 def near(points: DataFrame, radius: float) -> DataFrame:
-    """(r, c, d) of all cells within radius of a point, with the distance to the nearest: an equality join where others compare all pairs."""
-    return spread(points.select("r", "c"), offsets(radius), ["dr", "dc", "d"]).groupBy("r", "c").agg(F.min("d").alias("d"))
+    """(r, c, d) of all cells within radius of a point, with the distance to the nearest; those beyond the lattice, too."""
+    return around(points, offsets(radius))
 
 
 def _along_rows(cells: pa.Table) -> pa.Table:
@@ -96,7 +125,7 @@ def nearest_fill(df: DataFrame, band: str, out: str) -> DataFrame:
 
 def dilate(points: DataFrame, steps: int) -> DataFrame:
     """Cells that steps over edges reach from a point."""
-    return spread(points.select("r", "c"), cross_offsets(steps), ["dr", "dc"]).select("r", "c").distinct()
+    return around(points, [(i, j, 0.0) for i, j in cross_offsets(steps)]).select("r", "c")
 
 
 def erode(df: DataFrame, mask: str, steps: int) -> DataFrame:

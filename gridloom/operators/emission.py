@@ -72,21 +72,22 @@ def emit(scored: DataFrame, score: str, spacing: float, tile: int = 256, frame:
     """
     reach = math.ceil(spacing)
     moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if 0 < i * i + j * j < spacing * spacing]
-    state = settle(scored.filter(F.col(score) > 0).select(F.col("r").cast("int"), F.col("c").cast("int"), F.col(score).cast("double").alias("score"), F.lit(0).alias("state")))
-    taken, open_ = state.limit(0).drop("state"), state
     schema = "r int, c int, score double, state int"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         return _settle_tile(rows, moves, reach, tile, frame)
 
+    points = scored.filter(F.col(score) > 0).select(F.col("r").cast("int"), F.col("c").cast("int"), F.col(score).cast("double").alias("score"), F.lit(0).alias("state"))
+    state = settle(tiled(points, frame, tile).groupBy("tr", "tc").applyInPandas(one, schema))
+    taken = state.filter("state = 1").drop("state")
     while True:
-        dealt = tiled(open_.unionByName(taken.withColumn("state", F.lit(1))), frame, tile)
-        owners = open_.select(F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).distinct()
-        state = settle(dealt.join(owners, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(one, schema))
-        taken = taken.unionByName(state.filter("state = 1").drop("state"))
         open_ = state.filter("state = 0")
         if not open_.limit(1).count():
             break
+        owners = open_.select(F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).distinct()
+        dealt = tiled(open_.unionByName(taken.withColumn("state", F.lit(1))), frame, tile).join(owners, ["tr", "tc"], "left_semi")
+        state = settle(dealt.groupBy("tr", "tc").applyInPandas(one, schema))
+        taken = taken.unionByName(state.filter("state = 1").drop("state"))
     return number(taken)
 
 

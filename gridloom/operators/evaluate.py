@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +15,29 @@ from .emission import emit
 from .metric import parts
 
 
-def edges(lo: Column, hi: Column, n: int) -> Column:
+def edges(lo: int, hi: int, n: int) -> list[int]:
     """n + 1 whole numbers from lo to hi in equal steps, rounded down."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.floor(lo + i * (hi - lo) / n).cast("int"))
+    return [math.floor(lo + i * (hi - lo) / n) for i in range(n + 1)]
 
 
 def locked_cells(df: DataFrame, foot: Column, n: int = 8, erosion: int = 15) -> DataFrame:
     """(r, c, ordinal, active): cells of an n x n grid over the footprint's bounding box, of every second row and column, in row-major order.
 
     active: in the footprint and further than erosion from what is outside
-    of it or of the cell. The grid is one row, found by two aggregates.
+    of it or of the cell.
     """
-    box = df.filter(foot).agg(F.min("r").alias("r0"), (F.max("r") + 1).alias("r1"), F.min("c").alias("c0"), (F.max("c") + 1).alias("c1"))
-    grid = F.broadcast(box.select(edges(F.col("r0"), F.col("r1"), n).alias("er"), edges(F.col("c0"), F.col("c1"), n).alias("ec")))  # one row
-    below = lambda e, x: F.size(F.filter(e, lambda v: v <= F.col(x))) - 1
-    placed = df.crossJoin(grid).withColumns({"gr": below("er", "r"), "gc": below("ec", "c")})
+    r0, r1, c0, c1 = df.filter(foot).agg(F.min("r"), F.max("r") + 1, F.min("c"), F.max("c") + 1).first()  # four numbers
+    if r0 is None:
+        raise ValueError("no cells in the footprint")
+    er, ec = edges(r0, r1, n), edges(c0, c1, n)
+    below = lambda e, x: sum((F.when(F.col(x) >= v, 1).otherwise(0) for v in e[1:]), F.when(F.col(x) >= e[0], 0).otherwise(-1))
+    placed = df.withColumns({"gr": below(er, "r"), "gc": below(ec, "c")})
     placed = placed.filter(F.col("gr").between(0, n - 1) & F.col("gc").between(0, n - 1) & (F.col("gr") % 2 == 0) & (F.col("gc") % 2 == 0))
     # what is outside of the footprint, as far as it can matter; the cell's own rim counts by its distance
     out = near(df.filter(~foot), erosion).select("r", "c", F.lit(True).alias("__out"))
-    side = lambda e, g, x: F.least(F.col(x) - F.col(e)[F.col(g)] + 1, F.col(e)[F.col(g) + 1] - F.col(x))
-    rim = F.least(side("er", "gr", "r"), side("ec", "gc", "c"))
+    at = lambda e, k: F.element_at(F.array(*map(F.lit, e)), k + 1)
+    side = lambda e, g, x: F.least(F.col(x) - at(e, F.col(g)) + 1, at(e, F.col(g) + 1) - F.col(x))
+    rim = F.least(side(er, "gr", "r"), side(ec, "gc", "c"))
     joined = placed.join(out, ["r", "c"], "left")
     half = (n + 1) // 2
     return joined.select("r", "c", (F.col("gr") / 2 * half + F.col("gc") / 2).cast("int").alias("ordinal"), (foot & F.col("__out").isNull() & (rim > erosion)).alias("active"))

@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def balanced(df: DataFrame, label: str, most: int, seed: int) -> DataFrame:
     """About most rows of either class at most, by a seeded hash of (r, c); the shares follow from two counts."""
@@ -73,16 +75,33 @@ def discriminant(cells: DataFrame, features: list[str], positive: Column, block:
     return reduce(DataFrame.unionByName, scored)
 
 
-def locked_comparator(df: DataFrame, features: list[str], labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int, most: int = 90_000, trees: int = 20, depth: int = 5, seed: int = 20261005) -> DataFrame:
-    """(r, c, ordinal, prob) of the active cells of each locked cell, by trees fitted on what its fold may see: the visible catalogue against its hard and background negatives, outside of the widened cell."""
-    from .evaluate import fold_view, negative_pools
+def fold_sample(df: DataFrame, labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinal: int, collar: int, most: int, seed: int) -> DataFrame:
+    """df's rows that one fold learns from, with label: about most cells of the visible catalogue and as many others.
 
+    Ring and background negatives together are all cells of the footprint that
+    are not in the visible catalogue, so the others are a share of these by a
+    seeded hash: the lattice is scanned, never shuffled. Nothing comes from
+    the locked cell widened by collar or from a hidden component.
+    """
+    box = locked.filter(F.col("ordinal") == ordinal).agg(F.min("r") - collar, F.max("r") + collar, F.min("c") - collar, F.max("c") + collar).first()  # four numbers
+    outside = ~(F.col("r").between(box[0], box[1]) & F.col("c").between(box[2], box[3]))
+    gone = hidden.filter(F.col("ordinal") == ordinal).select("comp")
+    known = settle(labelled.join(gone, "comp", "left_anti").select("r", "c"), "known")
+    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 30)) / float(1 << 30)
+    pool = df.filter(F.col("foot") & outside)
+    cells, marks = pool.count(), known.filter(outside).count()
+    positive = pool.join(known.filter(outside & (u < min(1.0, most / max(marks, 1)))), ["r", "c"], "left_semi").withColumn("label", F.lit(1))
+    other = pool.filter(u < min(1.0, most / max(cells - marks, 1))).join(labelled.select("r", "c"), ["r", "c"], "left_anti").withColumn("label", F.lit(0))
+    return positive.unionByName(other)
+
+
+def locked_comparator(df: DataFrame, features: list[str], labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int, most: int = 90_000, trees: int = 20, depth: int = 5, seed: int = 20261005) -> DataFrame:
+    """(r, c, ordinal, prob) of the active cells of each locked cell, by trees fitted on what its fold may see (fold_sample)."""
     scored = []
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     for k in ordinals:
-        view = fold_view(df, labelled, locked, hidden, k, collar)
-        pools = negative_pools(view, F.col("known")).filter("train AND foot AND (known OR hard OR background)").withColumn("label", F.col("known").cast("int"))
-        train = balanced(assembler.transform(pools.fillna(0.0, features)).select("r", "c", "label", "features").persist(), "label", most, seed + k)
+        sample = settle(fold_sample(df, labelled, locked, hidden, k, collar, most, seed + k).select("r", "c", "label", *features), "fold_sample")
+        train = assembler.transform(sample.fillna(0.0, features)).select("label", "features")
         active = df.join(locked.filter((F.col("ordinal") == k) & F.col("active")).select("r", "c"), ["r", "c"], "left_semi")
         model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
         held = model.transform(assembler.transform(active.fillna(0.0, features)))

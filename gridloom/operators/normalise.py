@@ -101,6 +101,15 @@ def rank_unit(df: DataFrame, band: str, out: str, where: Column) -> DataFrame:
     return ranked.withColumn(out, F.col("__k") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__k", "__n")
 
 
+def rank_units(df: DataFrame, jobs: dict[str, str], where: Column) -> DataFrame:
+    """(r, c, outs): rank_unit of several bands (out -> band) of the domain's cells, with one sort for all of them."""
+    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.col(band).cast("double").alias("v")) for i, band in enumerate(jobs.values()))))
+    ranked = numbered(ordered(df.filter(where).select("r", "c", bands.alias("x")).select("r", "c", "x.b", "x.v"), "b", "v", "r", "c"), "__k", "__n")
+    cells = F.col("__n") / len(jobs)  # every cell has a row per band
+    unit = (F.col("__k") - F.col("b") * cells) / F.greatest(cells - 1, F.lit(1))
+    return ranked.groupBy("r", "c").agg(*(F.max(F.when(F.col("b") == i, unit)).alias(out) for i, out in enumerate(jobs)))
+
+
 def harmonic_fusion(ranks: dict[str, float], floor: float = 0.05) -> Column:
     """Weighted harmonic mean of ranks (columns 0 to 1), each lifted by floor."""
     total = sum(ranks.values())

@@ -135,6 +135,28 @@ def structure(df: DataFrame, band: str, sigma: float, spread: float | None = Non
     return out.withColumns({"coherence": root / (F.col("sxx") + F.col("syy") + 1e-12), "angle": 0.5 * F.atan2(2 * F.col("sxy"), d)})
 
 
+def coherence(df: DataFrame, band: str, sigma: float, spread: float) -> DataFrame:
+    """coherence as the contrast of the structure tensor over its trace: 0 where no direction stands out, 1 on a straight edge."""
+    return structure(df, band, sigma, spread).withColumn("coherence", 2 * F.col("coherence")).drop("angle", "gx", "gy", "sxx", "syy", "sxy")
+
+
+def fused_strike(df: DataFrame, bands: list[str], sigmas: tuple[float, ...], spread: float = 3.0) -> DataFrame:
+    """strike (azimuth, 0 to 180) and coherence of the sum of the structure tensors of several bands and scales, each over its own mean trace so that no unit weighs more."""
+    jobs = {f"__{x}{i}_{k}": (b, s, *o) for i, b in enumerate(bands) for k, s in enumerate(sigmas) for x, o in (("x", (0, 1)), ("y", (1, 0)))}
+    out = smooth(df, jobs)
+    pairs = [(f"__x{i}_{k}", f"__y{i}_{k}") for i in range(len(bands)) for k in range(len(sigmas))]
+    energy = F.broadcast(out.agg(*(F.avg(F.col(x) * F.col(x) + F.col(y) * F.col(y)).alias(f"__m{n}") for n, (x, y) in enumerate(pairs))))  # one row
+    out = out.crossJoin(energy)
+    total = lambda f: sum((f(x, y) / (F.col(f"__m{n}") + 1e-12) for n, (x, y) in enumerate(pairs)), F.lit(0.0))
+    out = out.withColumns({"__xx": total(lambda x, y: F.col(x) * F.col(x)), "__yy": total(lambda x, y: F.col(y) * F.col(y)), "__xy": total(lambda x, y: F.col(x) * F.col(y))})
+    out = smooth(out.select(*df.columns, "__xx", "__yy", "__xy"), {"__sx": ("__xx", spread, 0, 0), "__sy": ("__yy", spread, 0, 0), "__sc": ("__xy", spread, 0, 0)})
+    d = F.col("__sx") - F.col("__sy")
+    # the gradient's axis has half the angle of the tensor's; the line it crosses is a quarter turn away, and azimuths turn the other way round
+    axis = F.degrees(F.atan2(2 * F.col("__sc"), d)) / 2
+    made = {"strike": F.pmod(axis + 180, F.lit(180.0)), "coherence": F.sqrt(d * d + 4 * F.col("__sc") * F.col("__sc")) / (F.col("__sx") + F.col("__sy") + 1e-12)}
+    return out.withColumns(made).select(*df.columns, *made)
+
+
 def strike(gx: str, gy: str) -> Column:
     """Azimuth in degrees, 0 to 180, of the line that a gradient crosses."""
     return F.pmod(F.degrees(F.atan2(F.col(gx), -F.col(gy))) + 90, F.lit(180.0))

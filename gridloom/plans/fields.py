@@ -42,9 +42,7 @@ _RANK = "(row_number() OVER (ORDER BY {0}, r, c) - 1) / greatest(count(*) OVER (
 
 @query(sql(f"SELECT r, c, {n6('4.0::DOUBLE / (2.0::DOUBLE / (a + 0.05::DOUBLE) + 1.0::DOUBLE / (b + 0.05::DOUBLE) + 1.0::DOUBLE / (t + 0.05::DOUBLE))')} AS score FROM (SELECT r, c, {_RANK.format('px')} AS a, {_RANK.format('disc')} AS b, {_RANK.format('tax')} AS t FROM full_ WHERE foot)"))
 def harmonic_rank_fusion(spark, sf_dir):
-    df = filled(spark, sf_dir).filter("foot")
-    for band, out in (("px", "a"), ("disc", "b"), ("tax", "t")):
-        df = N.rank_unit(df, band, out, F.lit(True))
+    df = N.rank_units(filled(spark, sf_dir), {"a": "px", "b": "disc", "t": "tax"}, F.col("foot"))
     return df.select("r", "c", r6(N.harmonic_fusion({"a": 2.0, "b": 1.0, "t": 1.0})).alias("score"))
 
 
@@ -221,8 +219,7 @@ def backbone(spark, sf_dir):
     df = filled(spark, sf_dir)
     for band, out in (("px", "l1"), ("tax", "l2")):
         df = S.line_response(df, band, 1.5, 0).withColumn(out, F.round("line", 9)).drop("line", "dom", "tan", "largest")
-    for out in ("l1", "l2"):
-        df = N.rank_unit(df, out, f"{out}r", F.col("foot"))
+    df = N.rank_units(df, {"l1r": "l1", "l2r": "l2"}, F.col("foot"))
     return df.select("r", "c", r6(N.harmonic_fusion({"l1r": 1.0, "l2r": 1.0})).alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.kernels import cross_offsets, offsets
+from ..operators import audit as A
 from ..operators import budget as B
 from ..operators import composites as K
 from ..operators import decision as P
@@ -12,6 +13,7 @@ from ..operators import emission as E
 from ..operators import evaluate as V
 from ..operators import holdout as H
 from ..operators import learners
+from ..operators import stencil as S
 from ..session import settle
 from ..sources.lattice import HEIGHT, WIDTH
 from .base import d, filled, n6, query, r6, robust_sql, smooth_sql, sql, values_sql, view
@@ -257,6 +259,16 @@ def locked_comparator(spark, sf_dir):
     return learners.locked_comparator(df.select("r", "c", "foot", "n", "px", "disc", "tax"), ["n", "px", "disc", "tax"], lab, locked, V.hidden_components(lab, locked, _LOCK), [0], _LOCK, trees=5, depth=3)
 
 
+@query(sql(f"""SELECT a.name, count(*) AS n, count(*) FILTER (s.d = 0) AS on_known, count(*) FILTER (s.d <= 2) AS within_2, count(*) FILTER (s.d <= 3) AS within_3, {n6('avg(s.d)')} AS mean_distance, {n6('quantile_cont(w.own, 0.5)')} AS median_spacing
+  FROM a LEFT JOIN s ON s.r = a.r AND s.c = a.c LEFT JOIN w ON w.name = a.name AND w.r = a.r AND w.c = a.c GROUP BY a.name""", "a AS (SELECT okey % 5 AS name, r, c FROM lat WHERE dot)", "p AS (SELECT r, c FROM lat WHERE cat)", _NEAR("s", "p", 8),
+           values_sql("eight", "dr, dc, d", [(i, j, float(x)) for i, j, x in offsets(8) if x > 0]), "w AS (SELECT x.name, x.r, x.c, min(d) AS own FROM a x, eight JOIN a y ON y.name = x.name AND y.r = x.r + dr AND y.c = x.c + dc GROUP BY 1, 2, 3)"))
+def artifact_forensics(spark, sf_dir):
+    """Where the dots of five artifacts lie."""
+    df = view(spark, sf_dir)
+    out = A.forensics(df.filter("dot").select("r", "c", (F.col("okey") % 5).alias("name")), df.filter("cat"), "name")
+    return out.select("name", "n", "on_known", "within_2", "within_3", r6("mean_distance").alias("mean_distance"), r6("median_spacing").alias("median_spacing"))
+
+
 # -- composite fields ----------------------------------------------------------------
 
 
@@ -333,6 +345,19 @@ def worm_persistence(spark, sf_dir):
     return K.worm_persistence(filled(spark, sf_dir), "px", (0.0, 250.0), (1.0,)).select("r", "c", r6("worm").alias("worm"), r6("persist").alias("persist"))
 
 
+_FUSED = [("px", 1.0), ("px", 2.0), ("tax", 1.0), ("tax", 2.0)]
+
+
+@query(sql(f"SELECT r, c, {n6('sqrt((sx - sy) * (sx - sy) + 4 * sc * sc) / (sx + sy + 1e-12)')} AS coherence, round(cos(radians(2 * (degrees(atan2(2 * sc, sx - sy)) / 2))), 4) + 0.0::DOUBLE AS turn FROM z",
+           smooth_sql("g", "full_", {f"{x}{n}": (b, s, *o) for n, (b, s) in enumerate(_FUSED) for x, o in (("x", (0, 1)), ("y", (1, 0)))}), "m AS (SELECT " + ", ".join(f"avg(x{n} * x{n} + y{n} * y{n}) AS m{n}" for n in range(4)) + " FROM g)",
+           "k AS (SELECT r, c, " + ", ".join(" + ".join(f"{a}{n} * {b}{n} / (m{n} + 1e-12)" for n in range(4)) + f" AS {o}" for a, b, o in (("x", "x", "xx"), ("y", "y", "yy"), ("x", "y", "xy"))) + " FROM g, m)",
+           smooth_sql("z", "k", {"sx": ("xx", 3.0, 0, 0), "sy": ("yy", 3.0, 0, 0), "sc": ("xy", 3.0, 0, 0)})))
+def fused_strike(spark, sf_dir):
+    """The direction that several bands at several scales have in common; turn is the cosine of twice its azimuth."""
+    out = S.fused_strike(filled(spark, sf_dir).select("r", "c", "px", "tax"), ["px", "tax"], (1.0, 2.0))
+    return out.select("r", "c", r6("coherence").alias("coherence"), (F.round(F.cos(F.radians(2 * F.col("strike"))), 4) + F.lit(0.0)).alias("turn"))
+
+
 @query()
 def tip_corridor(spark, sf_dir):
     """Corridors ahead of the ends of the catalogue's traces, clear of the catalogue."""

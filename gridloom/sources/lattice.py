@@ -57,6 +57,26 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_masks(frame(spark).join(cells(spark, sf_dir), ["r", "c"], "left")).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def wide(spark: SparkSession, sf_dir: str, height: int = 3730, width: int = 3292) -> DataFrame:
+    """A lattice of any size: the line items spread over it by a hash, with the bands and masks that a fold needs.
+
+    n, px and tax are of the facts in a cell (0 without any); score is a hash
+    of the cell; foot leaves a frame of 20; cat are traces along rows, and off
+    one cell in 900 or so.
+    """
+    h = F.xxhash64("l_orderkey", "l_linenumber")
+    facts = table(spark, sf_dir, "lineitem").select(F.pmod(h, F.lit(height)).cast("int").alias("r"), F.pmod(F.shiftright(h, 20), F.lit(width)).cast("int").alias("c"), "l_extendedprice", "l_tax")
+    per = facts.groupBy("r", "c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_extendedprice").alias("px"), F.avg("l_tax").alias("tax"))
+    out = frame(spark, height, width).join(per, ["r", "c"], "left").fillna(0.0, ["n", "px", "tax"])
+    r, c, u = F.col("r"), F.col("c"), F.xxhash64("r", "c")
+    return out.withColumns({
+        "score": F.pmod(u, F.lit(1_000_003)) / 1_000_003.0,
+        "foot": r.between(20, height - 21) & c.between(20, width - 21),
+        "cat": (r % 37 == 5) & c.between(60, width - 61) & (F.floor(c / 150) % 2 == 0),
+        "off": F.pmod(F.shiftright(u, 12), F.lit(900)) == 0,
+    })
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order, by partial aggregation rather than a sort of each key's rows."""
     rest = [c for c in df.columns if c not in key]

@@ -105,8 +105,8 @@ def gridded(cells: DataFrame, dense: DataFrame, value: str, weight: str, sigma:
 def proximity(dense: DataFrame, tables: list[DataFrame], sigma: float = 6.0) -> DataFrame:
     """(r, c, value): exp(-d**2 / (2 sigma**2)) of the distance to the nearest point of several tables (row, col as text, cut to whole numbers); 0 without points."""
     points = reduce(DataFrame.unionByName, [t.select(finite_number("row").cast("int").alias("r"), finite_number("col").cast("int").alias("c")) for t in tables]).dropna().distinct()
-    marked = dense.select("r", "c").join(points.withColumn("__m", F.lit(True)), ["r", "c"], "left")
-    return distance(marked, F.col("__m").isNotNull()).select("r", "c", F.coalesce(F.exp(-F.col("d2") / (2 * sigma * sigma)), F.lit(0.0)).alias("value"))
+    marked = dense.select("r", "c").join(points.withColumn("marked", F.lit(True)), ["r", "c"], "left")
+    return distance(marked, F.col("marked").isNotNull()).select("r", "c", F.coalesce(F.exp(-F.col("d2") / (2 * sigma * sigma)), F.lit(0.0)).alias("value"))
 
 
 def load_all(dense: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
