@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: One slice of texts that numpy works on at a time. A longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,6 +27,8 @@ _BIG = np.iinfo(np.int64).max
 _PRIME, _TURN = (1 << 31) - 1, 1103515245
 #: Share of all anchors from which a gram's contexts are dealt apart; it must stand out so often in a slice to be counted.
 HOT, HOT_IN_SLICE = 10_000, 4
+#: Bytes of a slice: what it repeats is merged before it is sent.
+SLICE = 2 << 20
 
 
 class Anchors:
@@ -197,7 +199,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, n): grams that stand out in a slice; gram null: all anchors of it."""
         for batch in batches:
-            for _, rows in slices(batch.column(0)):
+            for _, rows in slices(batch.column(0), SLICE):
                 gram, n = np.unique(Anchors(rows, length).gram, return_counts=True)
                 often = n >= HOT_IN_SLICE
                 yield pa.RecordBatch.from_arrays([pa.array([None, *gram[often].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[often]).astype(np.int64))], names=["gram", "n"])
@@ -211,7 +213,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, rows in slices(batch.column(1)):
+            for first, rows in slices(batch.column(1), SLICE):
                 a = Anchors(rows, length)
                 if not len(a.row):
                     continue
@@ -259,7 +261,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         key, first = np.unique(key, return_index=True)
         told_least, told_kind = _join(told.least, np.int64)[first], _join(told.kind, np.int8)[first]
         parts, bodies = [], []
-        for begin, rows in slices(pa.array(texts_of.t, pa.string())):
+        for begin, rows in slices(pa.array(texts_of.t, pa.string()), SLICE):
             bodies += rows
             parts.append((begin, Anchors(rows, length)))
         tags = np.array([int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in bodies], np.int64)  # tells texts of one id apart
