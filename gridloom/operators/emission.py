@@ -95,18 +95,22 @@ def emit_budget(scored: DataFrame, score: str, budget: int, spacing: float, pool
     """The first budget points of emit, from a pool of the best cells only.
 
     A cell that is worse than the whole pool can't change what the pool gives,
-    so the pool's points are a prefix of all. It begins with pool * budget
-    cells and doubles until there are enough points or no more cells. exact:
-    raises where the field has fewer points than budget.
+    so the pool's points are a prefix of all. The pool is all cells from a
+    score on, read from a sketch to hold about pool * budget of them; it
+    doubles until there are enough points or no more cells. exact: raises
+    where the field has fewer points than budget.
     """
     if budget < 1 or spacing <= 0:
         raise ValueError("budget and spacing must be positive")
-    best = settle(numbered(ordered(scored.filter(F.col(score) > 0).select("r", "c", F.col(score).alias("score")), F.desc("score"), "r", "c"), "k"), "pool")
-    cells, size = best.count(), pool * budget
+    cells = settle(scored.filter(F.col(score) > 0).select("r", "c", F.col(score).cast("double").alias("score")), "pool")
+    total, size = cells.count(), pool * budget
     while True:
-        dots = settle(emit(best.filter(F.col("k") < size), "score", spacing).filter(F.col("rank") <= budget), "budget")
+        best = cells
+        if size < total:
+            best = cells.filter(F.col("score") >= cells.agg(F.percentile_approx("score", 1 - size / total, 10_000)).first()[0])
+        dots = settle(emit(best, "score", spacing).filter(F.col("rank") <= budget), "budget")
         found = dots.count()
-        if found == budget or size >= cells:
+        if found == budget or size >= total:
             break
         size *= 2
     if exact and found < budget:
