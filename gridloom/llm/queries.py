@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, minhash, mixing, packing, pq, quality, sharding, suffix_dedup, toxicity
+from . import exact_dedup, html_text, line_dedup, minhash, mixing, packing, pq, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -64,4 +64,9 @@ def op10_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq, op11_line_dedup)}
