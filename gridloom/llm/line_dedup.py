@@ -53,7 +53,7 @@ def _common(lines: DataFrame) -> DataFrame:
     moves work between the two paths of keep_bitmaps and changes no result.
     """
     sketches = lines.groupBy(F.pmod(F.spark_partition_id(), F.lit(GATHER)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(prefix, {COUNTERS})").alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s"), F.sum("n").alias("n"))  # by a constant: there is no sketch of nothing
+    whole = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s"), F.sum("n").alias("n"))  # by a constant: there is no sketch of nothing
     items = whole.select(F.explode(F.expr(f"approx_top_k_estimate(s, {2 * COMMON})")).alias("i"), "n")
     return items.filter(F.col("i.count") * COMMON > F.col("n")).select(F.col("i.item").alias("prefix"))
 
