@@ -100,6 +100,28 @@ def slices(texts: pa.Array, cap: int = SLICE_BYTES) -> Iterator[tuple[int, list[
         yield first, rows
 
 
+def word_codes(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words [^\\x20\\x09-\\x0D]+ of a slice of documents as codes into their dictionary (binary), the dictionary, and where each document's words begin (and the end).
+
+    Words are told apart byte by byte. lower puts A-Z in lower case first.
+    """
+    joined = np.frombuffer(b"\n".join(rows) + b"\n", np.uint8)
+    if lower:
+        joined = _LOWER[joined]
+    space = _SPACE[joined]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate(([0], edge))
+    sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
+    first = np.searchsorted(edge[0::2], np.concatenate(([0], np.cumsum(sizes))))
+    if not len(edge):
+        return np.empty(0, np.int64), pa.array([], pa.large_binary()), first
+    # words and what is between them take turns in one array; every other value is a word
+    both = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(joined)])
+    coded = both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, first
+
+
 class Words:
     """The words of a slice of documents: 64-bit hashes in order, and where each document's words begin."""
 

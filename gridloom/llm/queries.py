@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, line_dedup, minhash, mixing, packing, pq, quality, sharding, suffix_dedup, toxicity
+from . import exact_dedup, html_text, line_dedup, minhash, mixing, packing, period_runs, pq, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -69,4 +69,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq, op11_line_dedup)}
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of every row; with h = crc32(doc_id) and h % 10 = 0, the words from a on repeat with period p (see the contract of op12)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn("words", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")))
+    chosen = chosen.withColumn("n", F.when(F.size("words") > 0, F.size("words")))  # null where nothing is planted
+    chosen = chosen.withColumn("a", (F.col("g") % F.col("n")).cast("int")).withColumn("rest", F.col("n") - F.col("a"))
+    root = F.slice("words", F.col("a") + 1, (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(root, F.ceil(F.col("rest") / F.size(root)).cast("int"))), F.lit(1), F.col("rest")))
+    return chosen.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq, op11_line_dedup, op12_period_runs)}
