@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, line_dedup, minhash, mixing, packing, period_runs, pq, quality, sharding, suffix_dedup, toxicity
+from . import exact_dedup, html_text, kd_means, line_dedup, minhash, mixing, packing, period_runs, pq, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -86,4 +86,8 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq, op11_line_dedup, op12_period_runs)}
+def op13_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_means.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op4_quality, op5_suffix_dedup, op6_sharding, op7_toxicity, op8_html, op9_minhash, op10_embedding_pq, op11_line_dedup, op12_period_runs, op13_kd_means)}

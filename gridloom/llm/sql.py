@@ -43,4 +43,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 FROM judged GROUP BY doc_id
 """
 
-SQL = {"op11_line_dedup": LINES, "op1_mixing": MIXING, "op3_exact_dedup": EXACT}
+def _k_means(dim: int = 64, count: int = 8, rounds: int = 10) -> str:
+    """Components as rows; each round an assignment and the floors of the means."""
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})",
+        f"comp AS MATERIALIZED (SELECT r, unnest(generate_series(0, {dim - 1})) AS d, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS v FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT c, d, v FROM comp JOIN (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, embedding) - 1 AS c FROM kept) USING (r) WHERE c < {count})",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, c, far FROM (SELECT x.r, y.c, sum((x.v - y.v) * (x.v - y.v))::BIGINT AS far FROM comp x JOIN c{k} y USING (d) GROUP BY x.r, y.c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1)")
+        if k < rounds:
+            parts.append(f"m{k} AS MATERIALIZED (SELECT c, d, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} JOIN comp USING (r) GROUP BY c, d)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c, d, ((s - (s % n + n) % n) // n)::BIGINT AS v FROM m{k} UNION ALL SELECT c, d, v FROM c{k} WHERE c NOT IN (SELECT c FROM m{k}))")
+    return f"""WITH {", ".join(parts)},
+prints AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, far AS distance, (sum(far) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN prints USING (c)"""
+
+
+SQL = {"op13_kd_means": _k_means(), "op11_line_dedup": LINES, "op1_mixing": MIXING, "op3_exact_dedup": EXACT}
