@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import RADIUS, credit_offsets
 from ..session import settle
 from .distance import spread
 from .ordered import numbered, ordered
@@ -131,54 +134,147 @@ def spacing_knn(points: DataFrame, radius: int) -> DataFrame:
     return points.join(other, ["r", "c"], "left")
 
 
-def max_cover(scored: DataFrame, score: str, budget: int, front: int = 4096) -> DataFrame:
-    """Sequential greedy for covering: each step takes the cell that adds most score times credit within three cells.
+def _cover_tile(rows: pd.DataFrame, moves: list[tuple[int, int, float]], span: float, least: float, side: int, frame: int) -> pd.DataFrame:
+    """Cells of a tile and its frame that covering takes for certain (gain not null), and a row without gain if the tile's own cells may give more.
 
-    Every cell of scored may be taken, also one whose own score is 0 or null.
-    The gains of all cells are computed once. Taking a cell changes only the
-    gains within two radii of it: those are computed anew from the scores
-    around, which is all that a step reads; they are kept on the driver (113
-    cells a step at most). The other cells are read in order of their gain,
-    front at a time. Equal gains go by row, then column.
+    Gains only fall as cells are taken, and a taken cell changes gains within
+    span of it. So a cell whose gain is the largest within span is taken with
+    that gain, whatever happens elsewhere. Near the rim, what stands outside
+    may lower gains: there they are upper bounds, which hold back their
+    neighbours and are not taken themselves.
     """
-    from ..functions.kernels import RADIUS, credit_offsets
-
-    spark = scored.sparkSession
-    moves = credit_offsets()
-    reach = math.ceil(RADIUS)
-    key = lambda gain, r, c: (-round(gain, 9), r, c)
-    cells = settle(scored.select("r", "c", F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w")))
-    offers = spread(cells.filter("w > 0"), moves, ["dr", "dc", "k"]).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("k")).alias("gain"))
-    gains = settle(offers.join(cells.select("r", "c"), ["r", "c"]).withColumn("down", -F.round("gain", 9)))
-    best: dict[tuple[int, int], float] = {}
-    changed: dict[tuple[int, int], float] = {}
-    ahead, at, more = [], 0, True
+    tr, tc = int(rows.tr.iloc[0]), int(rows.tc.iloc[0])
+    near, far = math.ceil(RADIUS), math.ceil(span)
+    pad = far + near  # a blank margin, so that shifts need no bounds
+    size = side + 2 * frame + 2 * pad
+    y, x = rows.r.to_numpy(np.int64) - tr * side + frame + pad, rows.c.to_numpy(np.int64) - tc * side + frame + pad
+    flat = y * size + x
+    w, top, best = (np.zeros(size * size) for _ in range(3))
+    gain = np.full(size * size, -1.0)
+    w[flat] = rows.w
+    top[flat] = rows.gain0
+    reach = np.array([i * size + j for i, j, _ in moves])
+    credit = np.array([k for *_, k in moves])
+    disc = np.array([(i, j) for i in range(-far, far + 1) for j in range(-far, far + 1) if 0 < i * i + j * j < span * span])
+    around = disc[:, 0] * size + disc[:, 1]
+    square = max(h for h in range(far + 1) if 2 * h * h < span * span)
+    inner = np.zeros((size, size), bool)
+    inner[pad + near : size - pad - near, pad + near : size - pad - near] = True  # all scores that a gain adds up are here
+    sure = np.zeros((size, size), bool)
+    sure[pad + far : size - pad - far, pad + far : size - pad - far] = True  # and all takes that can lower it
+    inner, sure = inner.ravel(), sure.ravel()
+    exists = np.zeros(size * size, bool)
+    exists[flat] = True
+
+    def settle_gains(at: np.ndarray) -> None:
+        own = at[inner[at]]
+        near_by = own[:, None] + reach
+        gain[own] = np.round((w[near_by] * np.maximum(credit - best[near_by], 0.0)).sum(1), 9)
+
+    def take(at: np.ndarray) -> None:
+        for step, k in zip(reach.tolist(), credit.tolist(), strict=True):
+            best[at + step] = np.maximum(best[at + step], k)
+        changed = np.unique((at[:, None] + np.append(around, 0)).ravel())
+        settle_gains(changed[exists[changed]])
+        gain[at] = 0.0
+
+    gain[flat] = np.round(rows.gain0, 9)
+    before = flat[rows.taken.to_numpy()]
+    done = np.zeros(size * size, bool)
+    if len(before):
+        done[before] = True
+        take(before)
     out = []
-    while len(out) < budget:
-        # the best of the cells whose gain is as at the start
+    while True:
+        g = gain.reshape(size, size)
+        best_near = g
+        for axis in (0, 1):  # the largest in a square inside of the disc
+            m = best_near
+            for step in range(1, square + 1):
+                m = np.maximum(m, np.maximum(np.roll(best_near, step, axis), np.roll(best_near, -step, axis)))
+            best_near = m
+        hopeful = np.flatnonzero((gain >= least) & (gain > 0) & (gain >= best_near.ravel()) & sure & ~done)
+        for step, (i, j) in zip(around.tolist(), disc.tolist(), strict=True):
+            other = gain[hopeful + step]
+            first = i < 0 or (i == 0 and j < 0)  # that one comes first where both are equal
+            hopeful = hopeful[(other < gain[hopeful]) | ((other == gain[hopeful]) & (not first))]
+        if not len(hopeful):
+            break
+        out.append(np.stack((hopeful.astype(float), gain[hopeful])))
+        done[hopeful] = True
+        take(hopeful)
+    own = np.zeros((size, size), bool)
+    own[pad + frame : pad + frame + side, pad + frame : pad + frame + side] = True
+    more = bool(((gain >= least) & (gain > 0) & ~done & own.ravel()).any())
+    at, value = np.concatenate(out, 1) if out else np.empty((2, 0))
+    at = at.astype(np.int64)
+    r, c = at // size - frame - pad + tr * side, at % size - frame - pad + tc * side
+    found = pd.DataFrame({"r": r.astype(np.int32), "c": c.astype(np.int32), "gain": value})
+    return pd.concat([found, pd.DataFrame({"r": np.array([tr * side], np.int32), "c": np.array([tc * side], np.int32), "gain": [np.nan]})]) if more else found
+
+
+def _only(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """f as a function of one argument, as Spark counts them."""
+    return lambda rows: f(rows)
+
+
+def max_cover(scored: DataFrame, score: str, budget: int, tile: int = 256, frame: int = 48, pool: int = 12) -> DataFrame:
+    """(r, c, step, gain) of the greedy rule for covering: each step takes the cell that adds most score times credit within three cells.
+
+    Every cell of scored may be taken, also one whose own score is 0 or null;
+    gains are compared at nine decimals, equal ones go by row, then column.
+
+    Steps are not taken one by one: tiles with frames take at once what is
+    certain (see _cover_tile), and only tiles with open cells go to another
+    pass. As gains only fall, the order of the steps is that of the gains at
+    which cells were taken. Cells are admitted from a gain on that about pool
+    * budget cells have at the start; it is lowered until there are enough
+    steps or no cell is left. The result is that of the sequential rule.
+    """
+    moves, span = credit_offsets(), 2 * RADIUS
+    if frame < 2 * span:
+        raise ValueError("a frame must hold all that can lower the gain of a cell's rivals")
+    cells = scored.select(F.col("r").cast("int"), F.col("c").cast("int"), F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"))
+    cells = settle(_offered(cells, moves, tile), "cover_cells")
+    total, admitted = cells.filter("gain0 > 0").count(), pool * budget
+    taken = cells.limit(0).select("r", "c", F.col("gain0").alias("gain"))
+    while True:
+        least = 0.0
+        if admitted < total:
+            least = cells.filter("gain0 > 0").agg(F.percentile_approx("gain0", 1 - admitted / total, 10_000)).first()[0]
+        owners = None
         while True:
-            while at < len(ahead) and (ahead[at].r, ahead[at].c) in changed:
-                at += 1
-            if at < len(ahead) or not more:
+            rows = cells.join(taken.select("r", "c", F.lit(True).alias("taken")), ["r", "c"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+            dealt = tiled(rows, frame, tile)
+            if owners is not None:
+                dealt = dealt.join(F.broadcast(owners), ["tr", "tc"], "left_semi")  # a row per tile
+
+            one = partial(_cover_tile, moves=moves, span=span, least=least, side=tile, frame=frame)
+            state = settle(dealt.groupBy("tr", "tc").applyInPandas(_only(one), "r int, c int, gain double"), "cover_takes")
+            known = taken.unionByName(state.filter("gain IS NOT NULL"))
+            taken = settle(known.groupBy("r", "c").agg(F.max("gain").alias("gain")), "cover_known")  # tiles find the same cells in their frames
+            owners = state.filter("gain IS NULL").select(F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
+            if not owners.limit(1).count():
                 break
-            rest = gains
-            if ahead:
-                z = ahead[-1]
-                rest = gains.filter((F.col("down") > z.down) | ((F.col("down") == z.down) & ((F.col("r") > z.r) | ((F.col("r") == z.r) & (F.col("c") > z.c)))))
-            ahead, at = rest.orderBy("down", "r", "c").limit(front).collect(), 0
-            more = len(ahead) == front
-        tops = [(key(g, *p), g) for p, g in changed.items() if g > 0]
-        top = min(tops) if tops else None
-        if at < len(ahead) and (top is None or key(ahead[at].gain, ahead[at].r, ahead[at].c) < top[0]):
-            top = key(ahead[at].gain, ahead[at].r, ahead[at].c), ahead[at].gain
-        if top is None or top[1] <= 0:
+        if least == 0.0 or taken.count() >= budget:
             break
-        (_, r, c), gain = top
-        out.append((r, c, len(out) + 1, float(gain)))
-        for i, j, k in moves:
-            best[r + i, c + j] = max(k, best.get((r + i, c + j), 0.0))
-        around = {(x.r, x.c): x.w for x in cells.filter(F.col("r").between(r - 3 * reach, r + 3 * reach) & F.col("c").between(c - 3 * reach, c + 3 * reach)).collect()}
-        for (y, x) in around:
-            if (y - r) ** 2 + (x - c) ** 2 < 4 * RADIUS * RADIUS:
-                changed[y, x] = math.fsum(around.get((y + i, x + j), 0.0) * max(k - best.get((y + i, x + j), 0.0), 0.0) for i, j, k in moves)
-    return spark.createDataFrame(out, "r int, c int, step int, gain double")
+        admitted *= 3
+    placed = numbered(ordered(taken.withColumn("__down", -F.col("gain")), "__down", "r", "c"), "k")
+    return placed.filter(F.col("k") < budget).select("r", "c", (F.col("k") + 1).cast("int").alias("step"), "gain")
+
+
+def _offered(cells: DataFrame, moves: list[tuple[int, int, float]], tile: int) -> DataFrame:
+    """cells with gain0: the score times credit that each covers at the start."""
+    near = math.ceil(RADIUS)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(t.tr.iloc[0]), int(t.tc.iloc[0])
+        y, x = t.r.to_numpy() - tr * tile + 2 * near, t.c.to_numpy() - tc * tile + 2 * near
+        w = np.zeros((tile + 4 * near,) * 2)
+        w[y, x] = t.w
+        mine = (t.r.to_numpy() // tile == tr) & (t.c.to_numpy() // tile == tc)
+        y, x = y[mine], x[mine]
+        gain = sum(k * w[y + i, x + j] for i, j, k in moves)
+        return t[mine][["r", "c", "w"]].assign(gain0=gain)
+
+    return tiled(cells, near, tile).groupBy("tr", "tc").applyInPandas(one, "r int, c int, w double, gain0 double")

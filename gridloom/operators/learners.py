@@ -1,54 +1,47 @@
-"""Blocked out-of-fold classifiers: a cell is scored by a model that saw nothing of its block."""
+"""Blocked out-of-fold classifiers: a cell is scored by models that saw nothing of its block."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from . import boosting
+from .sampling import fold_samples
+
+#: The recipe of the boosted trees: rounds, shrinkage, leaves, ridge; seeds whose models are averaged.
+RECIPE = {"rounds": 250, "rate": 0.08, "leaves": 31, "l2": 1.0, "least": 20}
+SEEDS = (0, 1, 2)
+
+
+def _fitted(samples: DataFrame, folds: list[int], seeds: tuple[int, ...], features: list[str], recipe: dict) -> list:
+    """The models of all folds and seeds, fitted at once, a task each."""
+    labelled = samples.withColumn("label", (F.col("pool") == "positive").cast("int"))
+    return settle(boosting.fit(labelled, {"fold": folds, "seed": list(seeds)}, features, **(RECIPE | recipe)), "models").collect()  # bounded by folds, seeds, rounds and leaves
 
 
-def balanced(df: DataFrame, label: str, most: int, seed: int) -> DataFrame:
-    """About most rows of either class at most, by a seeded hash of (r, c); the shares follow from two counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
-    share = F.when(F.col(label) == 1, F.lit(min(1.0, most / max(counts.get(1, 0), 1)))).otherwise(F.lit(min(1.0, most / max(counts.get(0, 0), 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(u < share)
-
-
-def out_of_fold(cells: DataFrame, features: list[str], label: Column, fold: str, folds: int, most: int = 90_000, trees: int = 20, depth: int = 4, seed: int = 20261005) -> DataFrame:
-    """(r, c, fold, label, prob): prob comes from boosted trees fitted on the other folds. A fold whose others lack a class gets its base rate."""
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(cells.fillna(0.0, features)).select("r", "c", F.col(fold).cast("int").alias("fold"), label.cast("int").alias("label"), "features").persist()
-    scored = []
-    for k in range(folds):
-        train = balanced(data.filter(F.col("fold") != k), "label", most, seed)
-        classes = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
-        held = data.filter(F.col("fold") == k)
-        if len(classes) < 2:
-            held = held.withColumn("prob", F.lit(float(next(iter(classes), 0))))
-        else:
-            model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
-            held = model.transform(held).withColumn("prob", vector_to_array("probability")[1])
-        scored.append(held.select("r", "c", "fold", "label", "prob"))
-    return reduce(DataFrame.unionByName, scored)
-
-
-def sampled(df: DataFrame, group: str, most: dict[str, int], seed: int) -> DataFrame:
-    """About so many rows of each group at most, by a seeded hash of (r, c)."""
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # a row per group
-    share = F.lit(0.0)
-    for name, n in most.items():
-        share = F.when(F.col(group) == name, F.lit(min(1.0, n / max(counts.get(name, 0), 1)))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(u < share)
-
-
-def discriminant(cells: DataFrame, features: list[str], positive: Column, block: str, blocks: int, rows: int = 90_000, least: int = 500, ring: tuple[float, float] = (1.0, 6.0), trees: int = 20, depth: int = 5, seed: int = 0) -> DataFrame:
+def out_of_fold(cells: DataFrame, features: list[str], label: Column, fold: str, folds: int, most: int = 90_000, negatives: int | None = None, seeds: tuple[int, ...] = SEEDS, **recipe) -> DataFrame:
+    """(r, c, fold, label, prob): prob is the mean over seeds of models fitted on samples of the other folds.
+
+    A model learns from most rows of a class at most, drawn without
+    replacement and balanced: as many of either class as the rarer one has;
+    with negatives, from up to so many negatives instead. A fold whose others
+    hold one class only gets that class; without any rows it gets 0.
+    """
+    def sizes(n: dict[str, int]) -> dict[str, int]:
+        p, q = n.get("positive", 0), n.get("negative", 0)
+        if negatives is not None:
+            return {"positive": min(p, most), "negative": min(q, negatives)}
+        m = min(p, q, most) if p and q else most
+        return {"positive": min(m, p), "negative": min(m, q)}
+
+    data = cells.select("r", "c", F.col(fold).cast("int").alias("fold"), label.cast("int").alias("label"), *features)
+    pool = F.when(F.col("label") == 1, "positive").otherwise("negative")
+    samples = fold_samples(data.select("r", "c", F.col("fold").alias("own"), "label", *features), F.array("own"), pool, list(range(folds)), list(seeds), sizes)
+    return boosting.score(data, ["r", "c", "fold", "label"], features, F.col("fold"), _fitted(samples, list(range(folds)), seeds, features, recipe))
+
+
+def discriminant(cells: DataFrame, features: list[str], positive: Column, block: str, blocks: int, rows: int = 90_000, least: int = 500, ring: tuple[float, float] = (1.0, 6.0), seeds: tuple[int, ...] = (0,), **recipe) -> DataFrame:
     """(r, c, block, label, prob): a cell's chance of being positive, by trees that saw nothing of its block.
 
     Half of the negatives lie in a ring around positives, half are background.
@@ -56,57 +49,47 @@ def discriminant(cells: DataFrame, features: list[str], positive: Column, block:
     """
     from .evaluate import negative_pools
 
-    pooled = negative_pools(cells.fillna(0.0, features).withColumn("label", positive.cast("int")), positive, ring, int(ring[1]))
+    def sizes(n: dict[str, int]) -> dict[str, int]:
+        if min(n.get("positive", 0), n.get("hard", 0)) < least:
+            return {}
+        m = min(n["positive"], rows)
+        hard = min(n["hard"], m, rows // 2)
+        return {"positive": m, "hard": hard, "background": min(m - hard, n.get("background", 0))}
+
+    pooled = negative_pools(cells.withColumn("label", positive.cast("int")), positive, ring, int(ring[1]))
     pool = F.when(F.col("label") == 1, "positive").when(F.col("hard"), "hard").when(F.col("background"), "background")
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(pooled).select("r", "c", F.col(block).cast("int").alias("block"), "label", pool.alias("pool"), "features").persist()
-    counts = {(r["block"], r["pool"]): r["count"] for r in data.filter("pool IS NOT NULL").groupBy("block", "pool").count().collect()}  # three rows per block
-    scored = []
-    for k in range(blocks):
-        left = {p: sum(n for (b, q), n in counts.items() if q == p and b != k) for p in ("positive", "hard", "background")}
-        held = data.filter(F.col("block") == k)
-        if left["positive"] < least or left["hard"] < least:
-            scored.append(held.select("r", "c", "block", "label", F.lit(0.0).alias("prob")))
-            continue
-        m = min(left["positive"], rows)
-        hard = min(left["hard"], m, rows // 2)
-        train = sampled(data.filter((F.col("block") != k) & F.col("pool").isNotNull()), "pool", {"positive": m, "hard": hard, "background": m - hard}, seed + k)
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
-        scored.append(model.transform(held).select("r", "c", "block", "label", vector_to_array("probability")[1].alias("prob")))
-    return reduce(DataFrame.unionByName, scored)
-
-
-def fold_sample(df: DataFrame, labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinal: int, collar: int, most: int, seed: int) -> DataFrame:
-    """df's rows that one fold learns from, with label: about most cells of the visible catalogue and as many others.
-
-    Ring and background negatives together are all cells of the footprint that
-    are not in the visible catalogue, so the others are a share of these by a
-    seeded hash: the lattice is scanned, never shuffled. Nothing comes from
-    the locked cell widened by collar or from a hidden component.
+    data = settle(pooled.select("r", "c", F.col(block).cast("int").alias("block"), "label", pool.alias("pool"), *features), "pools")
+    samples = fold_samples(data, F.array("block"), F.col("pool"), list(range(blocks)), list(seeds), sizes)
+    return boosting.score(data, ["r", "c", "block", "label"], features, F.col("block"), _fitted(samples, list(range(blocks)), seeds, features, recipe))
+
+
+def fold_pools(df: DataFrame, labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int) -> DataFrame:
+    """df's footprint with pool (positive: of the catalogue; negative) and unseen: the folds that must not learn from a cell.
+
+    A fold sees nothing of its locked cell widened by collar. A component that
+    is hidden from a fold is neither positive nor negative for it.
     """
-    box = locked.filter(F.col("ordinal") == ordinal).agg(F.min("r") - collar, F.max("r") + collar, F.min("c") - collar, F.max("c") + collar).first()  # four numbers
-    outside = ~(F.col("r").between(box[0], box[1]) & F.col("c").between(box[2], box[3]))
-    gone = hidden.filter(F.col("ordinal") == ordinal).select("comp")
-    known = settle(labelled.join(gone, "comp", "left_anti").select("r", "c"), "known")
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1 << 30)) / float(1 << 30)
-    pool = df.filter(F.col("foot") & outside)
-    cells, marks = pool.count(), known.filter(outside).count()
-    positive = pool.join(known.filter(outside & (u < min(1.0, most / max(marks, 1)))), ["r", "c"], "left_semi").withColumn("label", F.lit(1))
-    other = pool.filter(u < min(1.0, most / max(cells - marks, 1))).join(labelled.select("r", "c"), ["r", "c"], "left_anti").withColumn("label", F.lit(0))
-    return positive.unionByName(other)
-
-
-def locked_comparator(df: DataFrame, features: list[str], labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int, most: int = 90_000, trees: int = 20, depth: int = 5, seed: int = 20261005) -> DataFrame:
-    """(r, c, ordinal, prob) of the active cells of each locked cell, by trees fitted on what its fold may see (fold_sample)."""
-    scored = []
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    for k in ordinals:
-        sample = settle(fold_sample(df, labelled, locked, hidden, k, collar, most, seed + k).select("r", "c", "label", *features), "fold_sample")
-        train = assembler.transform(sample.fillna(0.0, features)).select("label", "features")
-        active = df.join(locked.filter((F.col("ordinal") == k) & F.col("active")).select("r", "c"), ["r", "c"], "left_semi")
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.08, seed=seed + k).fit(train)
-        held = model.transform(assembler.transform(active.fillna(0.0, features)))
-        scored.append(held.select("r", "c", F.lit(k).alias("ordinal"), vector_to_array("probability")[1].alias("prob")))
-    return reduce(DataFrame.unionByName, scored)
+    boxes = locked.filter(F.col("ordinal").isin(ordinals)).groupBy("ordinal").agg(*(f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in "rc")).collect()  # four numbers per fold
+    inside = [F.when(F.col("r").between(b.min_r - collar, b.max_r + collar) & F.col("c").between(b.min_c - collar, b.max_c + collar), F.lit(b.ordinal)) for b in boxes]
+    gone = hidden.filter(F.col("ordinal").isin(ordinals)).groupBy("comp").agg(F.collect_set("ordinal").alias("hid"))  # as many as folds
+    marks = labelled.select("r", "c", "comp").join(gone, "comp", "left").select("r", "c", F.lit("positive").alias("pool"), "hid")
+    out = df.filter("foot").join(marks, ["r", "c"], "left")
+    none = F.array().cast("array<int>")
+    some = F.array_sort(F.array_union(F.array_compact(F.array(*inside).cast("array<int>")), F.coalesce("hid", none)))
+    unseen = F.when(F.col("hid").isNotNull() | F.coalesce(*inside, F.lit(None)).isNotNull(), some).otherwise(none)  # most cells are seen by all
+    return out.withColumns({"pool": F.coalesce("pool", F.lit("negative")), "unseen": unseen}).drop("hid")
+
+
+def locked_comparator(df: DataFrame, features: list[str], labelled: DataFrame, locked: DataFrame, hidden: DataFrame, ordinals: list[int], collar: int, most: int = 90_000, seeds: tuple[int, ...] = SEEDS, **recipe) -> DataFrame:
+    """(r, c, ordinal, prob) of the active cells of each locked cell, by trees fitted on what its fold may see (fold_pools): as many rows of either class, most at most."""
+    def sizes(n: dict[str, int]) -> dict[str, int]:
+        m = min(n.get("positive", 0), n.get("negative", 0), most)
+        return {"positive": m, "negative": m}
+
+    pools = fold_pools(df.select("r", "c", "foot", *features), labelled, locked, hidden, ordinals, collar)
+    samples = fold_samples(pools.drop("foot"), F.col("unseen"), F.col("pool"), ordinals, list(seeds), sizes)
+    active = df.join(locked.filter(F.col("ordinal").isin(ordinals) & F.col("active")).select("r", "c", "ordinal"), ["r", "c"])
+    return boosting.score(active, ["r", "c", "ordinal"], features, F.col("ordinal"), _fitted(samples, ordinals, seeds, features, recipe), tasks=df.sparkSession.sparkContext.defaultParallelism)
 
 
 def block_auc(scored: DataFrame, fold: str, least: int = 50) -> DataFrame:

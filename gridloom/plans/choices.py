@@ -211,7 +211,16 @@ def raster_digest(spark, sf_dir):
 @query()
 def blocked_oof_gbt(spark, sf_dir):
     df = filled(spark, sf_dir).filter(F.col("foot")).withColumn("fold", H.uniform_block(HEIGHT, WIDTH, 2, 1))
-    return learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], F.col("truth"), "fold", 2).select("r", "c", "fold", "prob")
+    return learners.out_of_fold(df, ["n", "px", "disc", "tax", "score"], F.col("truth"), "fold", 2, 120_000, 480_000, rounds=180, least=60).select("r", "c", "fold", "prob")
+
+
+@query(sql("SELECT r, c, fold FROM (SELECT r, c, CASE WHEN r >= 179 THEN 1 ELSE 0 END AS fold, row_number() OVER (PARTITION BY r >= 179 ORDER BY ('0x' || substr(md5('5:' || r || ':' || c), 1, 15))::BIGINT, r, c) AS k FROM lat WHERE foot) WHERE k <= 1500"))
+def exact_sample(spark, sf_dir):
+    """1,500 cells of each half, drawn without replacement."""
+    from ..operators.sampling import exact_sample as draw
+
+    df = view(spark, sf_dir).filter("foot").select("r", "c", H.uniform_block(HEIGHT, WIDTH, 2, 1).alias("fold"))
+    return draw(df, "fold", 1500, ["r", "c"], 5).select("r", "c", "fold")
 
 
 @query(sql(f"SELECT r, c, {n6('s')} AS corridor FROM g", "p AS (SELECT r, c FROM lat WHERE truth)", _NEAR("b", "p", 3), "k AS (SELECT l.r, l.c, coalesce(greatest(1 - d / 3, 0), 0) AS k FROM lat l LEFT JOIN b ON b.r = l.r AND b.c = l.c)", smooth_sql("g", "k", {"s": ("k", 1.0, 0, 0)})))

@@ -241,22 +241,18 @@ def negative_pools(spark, sf_dir):
     return V.negative_pools(df, F.col("truth")).filter("foot").select("r", "c", "hard", "background")
 
 
-@query(sql("SELECT r, c, CASE WHEN r >= 179 THEN 1 ELSE 0 END AS block, truth::INT AS label FROM lat WHERE foot"))
+@query()
 def discriminant_cells(spark, sf_dir):
-    """Every cell is scored once, by trees that saw nothing of its block; the chances themselves depend on the learner."""
-    return _discriminant(spark, sf_dir).select("r", "c", "block", "label")
-
-
-def _discriminant(spark, sf_dir):
+    """Every cell's chance, by trees that saw nothing of its block."""
     df = filled(spark, sf_dir).filter("foot").withColumn("half", H.uniform_block(HEIGHT, WIDTH, 2, 1))
-    return learners.discriminant(df.select("r", "c", "n", "px", "disc", "tax", "truth", "half"), ["n", "px", "disc", "tax"], F.col("truth"), "half", 2, least=10, trees=5, depth=3)
+    return learners.discriminant(df.select("r", "c", "n", "px", "disc", "tax", "truth", "half"), ["n", "px", "disc", "tax"], F.col("truth"), "half", 2, least=10).select("r", "c", "block", "label", "prob")
 
 
 @query()
 def locked_comparator(spark, sf_dir):
-    """(r, c, ordinal, prob): trees of the first locked cell's fold, fitted outside of it."""
+    """(r, c, ordinal, prob) of all locked cells, by trees fitted outside of each."""
     df, lab, locked = filled(spark, sf_dir), settle(_labelled(spark, sf_dir)), settle(_locked(spark, sf_dir))
-    return learners.locked_comparator(df.select("r", "c", "foot", "n", "px", "disc", "tax"), ["n", "px", "disc", "tax"], lab, locked, V.hidden_components(lab, locked, _LOCK), [0], _LOCK, trees=5, depth=3)
+    return learners.locked_comparator(df.select("r", "c", "foot", "n", "px", "disc", "tax"), ["n", "px", "disc", "tax"], lab, locked, V.hidden_components(lab, locked, _LOCK), [r[0] for r in locked.select("ordinal").distinct().sort("ordinal").collect()], _LOCK)
 
 
 @query(sql(f"""SELECT a.name, count(*) AS n, count(*) FILTER (s.d = 0) AS on_known, count(*) FILTER (s.d <= 2) AS within_2, count(*) FILTER (s.d <= 3) AS within_3, {n6('avg(s.d)')} AS mean_distance, {n6('quantile_cont(w.own, 0.5)')} AS median_spacing

@@ -232,33 +232,37 @@ def test_stream_matches_batch(spark, tmp_path):
 
 
 def cover(score, budget):
-    best, out = np.zeros(score.shape), []
-    cells = [(r, c) for r in range(score.shape[0]) for c in range(score.shape[1])]
-
-    def gain(r, c):
-        return sum(score[r + i, c + j] * max(k - best[r + i, c + j], 0) for i, j, k in credit_offsets() if 0 <= r + i < score.shape[0] and 0 <= c + j < score.shape[1])
-
-    for _ in range(budget):
-        r, c = min(cells, key=lambda p: (-round(gain(*p), 9), *p))
-        if gain(r, c) <= 0:
+    """The sequential rule on whole arrays."""
+    moves, far = credit_offsets(), 3
+    height, width = score.shape
+    w = np.pad(score, 2 * far)
+    best, out = np.zeros_like(w), []
+    while len(out) < budget:
+        gain = sum(w[2 * far + i : 2 * far + i + height, 2 * far + j : 2 * far + j + width] * np.maximum(k - best[2 * far + i : 2 * far + i + height, 2 * far + j : 2 * far + j + width], 0) for i, j, k in moves)
+        r, c = np.unravel_index(np.argmax(np.round(gain, 9)), gain.shape)
+        if gain[r, c] <= 1e-9:
             break
-        out.append((r, c, gain(r, c)))
-        for i, j, k in credit_offsets():
-            if 0 <= r + i < score.shape[0] and 0 <= c + j < score.shape[1]:
-                best[r + i, c + j] = max(k, best[r + i, c + j])
+        out.append((int(r), int(c), gain[r, c]))
+        for i, j, k in moves:
+            at = r + 2 * far + i, c + 2 * far + j
+            best[at] = max(k, best[at])
     return out
 
 
-@pytest.mark.parametrize(("scores", "front"), [("even", 4096), ("few", 7), ("ring", 5)])
-def test_max_cover_equals_the_sequential_rule(spark, scores, front):
-    s = np.round(np.random.default_rng(9).random((14, 13)), 1)
+@pytest.mark.parametrize(("scores", "budget", "tile", "frame", "pool"), [("even", 40, 256, 48, 12), ("even", 60, 16, 13, 1), ("few", 30, 12, 14, 2), ("ring", 12, 256, 48, 12), ("flat", 200, 16, 12, 3), ("free", 10**6, 16, 12, 1)])
+def test_max_cover_equals_the_sequential_rule(spark, scores, budget, tile, frame, pool):
+    s = np.round(np.random.default_rng(9).random((44, 37)), 1)
     if scores == "few":
         s[s < 0.9] = 0
+    if scores == "flat":
+        s[:] = 0.5
+    if scores == "free":
+        s = np.random.default_rng(10).random((44, 37))
     if scores == "ring":  # the best cell has no score of its own
         s[:] = 0
         s[4:7, 4:7] = 0.5
         s[5, 5] = 0
-    rows = emission.max_cover(grid(spark, s=s), "s", 12, front=front).orderBy("step").collect()
-    want = cover(s, 12)
+    rows = emission.max_cover(grid(spark, s=s), "s", budget, tile, frame, pool).orderBy("step").collect()
+    want = cover(s, budget)
     assert [(x.r, x.c, x.step) for x in rows] == [(r, c, k + 1) for k, (r, c, _) in enumerate(want)]
     np.testing.assert_allclose([x.gain for x in rows], [g for _, _, g in want], atol=1e-9)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import credit_offsets
-from gridloom.operators import budget, components, composites, corridor, distance, emission, evaluate, learners, metric
+from gridloom.operators import budget, components, composites, corridor, distance, emission, evaluate, metric
 from gridloom.sources import lattice, raster, sinks, tables
 
 from .test_lattice import flood, greedy, grid
@@ -152,19 +152,6 @@ def test_thinning_keeps_components_and_leaves_strands(spark, tile, frame):
     assert square.sum() <= 3
 
 
-def test_discriminant_scores_every_cell_outside_of_its_block(spark):
-    g = np.random.default_rng(24)
-    m = g.random((30, 40)) < 0.05
-    df = grid(spark, m=m, v=m + g.normal(size=m.shape) * 0.1).withColumn("block", (F.col("c") >= 20).cast("int"))
-    rows = learners.discriminant(df, ["v"], F.col("m"), "block", 2, least=5, trees=3, depth=2).collect()
-    assert {(x.r, x.c) for x in rows} == {(r, c) for r in range(30) for c in range(40)}
-    assert np.mean([x.prob for x in rows if x.label]) > np.mean([x.prob for x in rows if not x.label]) + 0.3
-    few = learners.discriminant(df, ["v"], F.col("m"), "block", 2, least=500).collect()
-    assert {x.prob for x in few} == {0.0}
-    auc = learners.block_auc(spark.createDataFrame([(x.block, x.label, x.prob) for x in rows], "block int, label int, prob double"), "block", 5).collect()
-    assert len(auc) == 2 and all(x.auc > 0.9 for x in auc)
-
-
 def test_cube_and_candidates(spark):
     df = spark.createDataFrame([(0, 0, 2.0, 4.0)], "r int, c int, b double, a double")
     assert composites.cube(df).first().features == [4.0, 2.0]
@@ -275,21 +262,6 @@ def test_diagnostics_count_both_sides(spark):
     assert metric.parts(grid(spark, t=t, p=p), "p", "t").first().n_pred == 2
 
 
-def test_fold_sample_takes_nothing_of_its_cell_or_of_hidden_traces(spark):
-    m = np.zeros((32, 32), bool)
-    m[2, 0:12] = m[20, 16:30] = m[28, 2:9] = True
-    df = grid(spark, m=m).withColumn("foot", F.lit(True))
-    labelled = components.components(df.filter("m"))
-    locked = evaluate.locked_cells(df.select("r", "c", "foot"), F.col("foot"), 4, 1)
-    hidden = evaluate.hidden_components(labelled, locked, 2)
-    got = learners.fold_sample(df.select("r", "c", "foot"), labelled, locked, hidden, 0, 2, 10_000, 1).collect()
-    assert {(x.r, x.c) for x in got if x.label == 1} == {(20, c) for c in range(16, 30)} | {(28, c) for c in range(2, 9)}
-    others = {(x.r, x.c) for x in got if x.label == 0}
-    assert others == {(r, c) for r in range(32) for c in range(32) if not m[r, c] and not (r <= 9 and c <= 9)}
-    few = learners.fold_sample(df.select("r", "c", "foot"), labelled, locked, hidden, 0, 2, 100, 1).filter("label = 0").count()
-    assert 60 < few < 150
-
-
 def test_ranks_of_several_bands_in_one_sort(spark):
     from gridloom.operators import normalise
 
