@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -122,8 +123,34 @@ def word_codes(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.A
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary, first
 
 
+def word_hashes(rows: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a slice of documents, in order, and where each document's words begin (and the end).
+
+    Words are told apart byte by byte; each distinct one is hashed by BLAKE2,
+    so no pattern of letters makes two words alike.
+    """
+    codes, dictionary, first = word_codes(rows, lower)
+    prints = b"".join(hashlib.blake2b(w, digest_size=8, key=b"words").digest() for w in dictionary.to_pylist())
+    return np.frombuffer(prints, np.uint64)[codes], first
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes: eight bytes at a time are mixed in, not added up, so no pattern of bytes cancels out."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), 1 << 15):
+        s, w = starts[lo : lo + (1 << 15)], widths[lo : lo + (1 << 15)]
+        at = np.arange(-(-int(w.max()) // 8) * 8)
+        block = data[np.minimum(s[:, None] + at, len(data) - 1)]
+        block[at >= w[:, None]] = 0
+        h = mix(w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        for word in np.ascontiguousarray(block).view(np.uint64).T:
+            h = mix((h ^ word) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        out[lo : lo + (1 << 15)] = h
+    return out
+
+
 class Words:
-    """The words of a slice of documents: 64-bit hashes in order, and where each document's words begin."""
+    """The words of a slice of documents: 64-bit hashes in order, and where each document's words begin. For features only: the hashes are linear, and words can be made that share one."""
 
     def __init__(self, rows: list[bytes], lower: bool = True):
         joined = np.frombuffer(b"\n".join(rows) + b"\n", np.uint8)

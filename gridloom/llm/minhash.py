@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, keep, mix, slices
+from .common import keep, mix, slices, word_hashes
 from .graph import components
 
 #: Permutations, and signature values in a band: 2 * 64 / 4 = 32 bands miss a pair at 0.75 with a chance of (1 - 0.75**4)**32, 5 in a million.
@@ -32,13 +32,13 @@ _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 def shingle_sets(rows: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text its distinct shingles as ascending 64-bit hashes; with fewer words, the whole sequence as one; none without words."""
-    words = Words(rows)
-    h, n = words.hash, len(words.hash)
+    h, begin = word_hashes(rows)
+    n = len(h)
     whole = np.zeros(max(n - size + 1, 0), np.uint64)
     for j in range(size):
         whole += h[j : n - size + 1 + j] * _PLACE[j] if n >= size else np.uint64(0)
     whole = mix(whole)
-    for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+    for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         if hi - lo >= size:
             yield np.unique(whole[lo : hi - size + 1])
         elif hi > lo:
