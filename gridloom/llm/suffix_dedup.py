@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, keep, mix, powers, slices, text_bytes
+from .common import _BYTE, keep, mix, powers, slices, stretch_hashes, text_bytes
 from .suffix_index import RunLengthIndex
 
 #: Bytes in a gram; bytes of text that a group of documents and that a bucket of anchors stand for, on average; contexts of one anchor beyond which they are told apart by windows.
@@ -71,9 +71,9 @@ class Anchors:
         self.row, base = np.array(rows_at)[doc], begin[doc]
         width = hi - lo + length
         self.gram = value
-        self.context = mix((total[lo + width] - total[lo]) * down[lo] + (width * 64 + self.offset).astype(np.uint64))
+        self.context = mix(stretch_hashes(data, lo, width) + self.offset.astype(np.uint64))
         self.lo, self.hi = lo - base, hi - base
-        self._at, self._total, self._down, self.length = lo, total, down, length
+        self._at, self._data, self.length = lo, data, length
 
     @staticmethod
     def _place(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -98,7 +98,7 @@ class Anchors:
     def windows(self, i: int) -> np.ndarray:
         """Hashes of the windows of anchor i."""
         s = np.arange(self._at[i], self._at[i] + self.hi[i] - self.lo[i] + 1)
-        return mix((self._total[s + self.length] - self._total[s]) * self._down[s] + np.uint64(1 << 50))
+        return stretch_hashes(self._data, s, np.full(len(s), self.length))
 
 
 def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
