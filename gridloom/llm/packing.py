@@ -130,33 +130,30 @@ def cut(points: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     a term of i and one of j, the least is the head of a monotone queue of
     best(i) + i; powers of two are looked up.
     """
-    pos = [0, *points.tolist()]
-    fee = [0.0, *penalty.tolist()]
-    index = {p: i for i, p in enumerate(pos)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
-    best, back = [0.0] * len(pos), [0] * len(pos)
+    end = int(points[-1])
+    powers = [length - (1 << k) for k in range(length.bit_length()) if 1 << k < length]
+    best = [float("inf")] * (end + length + 1)  # by place + length, so that places before the start need no test
+    best[length] = 0.0
+    back = {}
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    find = index.get
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while pos[queue[0][1]] < p - length:
+    for p, fee in zip(points.tolist(), penalty.tolist(), strict=True):
+        while queue[0][1] < p - length:
             queue.popleft()
         key, i = queue[0]
         least = key + length - p
         for k in powers:
-            m = find(p - k)
-            if m is not None and best[m] < least:
-                least, i = best[m], m
-        least += fee[j]
-        best[j], back[j] = least, i
+            if best[p + k] < least:
+                least, i = best[p + k], p + k - length
+        least += fee
+        best[p + length], back[p] = least, i
         key = least + p
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, j))
-    cuts, j = [], len(pos) - 1
-    while j:
-        cuts.append(pos[j])
-        j = back[j]
+        queue.append((key, p))
+    cuts, p = [], end
+    while p:
+        cuts.append(p)
+        p = back[p]
     return cuts[::-1]
 
 
@@ -184,8 +181,6 @@ class Packer:
             return
         docs = np.unique([d[2] for d in self.docs])
         stops = self.points[self.points <= n]
-        if len(stops):  # near ones add little: one in each stretch of spacing tokens
-            stops = stops[np.unique(stops // self.spacing, return_index=True)[1]]
         marks = np.unique(np.concatenate((docs, stops)))
         gaps = np.diff(marks, prepend=0)
         inner = [np.arange(a + self.spacing, a + g, self.spacing) for a, g in zip((marks - gaps)[gaps > 4 * self.spacing].tolist(), gaps[gaps > 4 * self.spacing].tolist(), strict=True)]
