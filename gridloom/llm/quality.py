@@ -131,8 +131,9 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     in doc_id are allowed (they hash alike); ties and repeats don't matter.
 
     EM sees counts of vote patterns (at most 3 to the number of labellers) of
-    all documents. The scorer is fitted on at most train_rows documents, taken
-    by hash of id and text from each side of the posterior; that many at any size.
+    all documents. The scorer is fitted on at most train_rows distinct texts,
+    taken by hash of id and text from each side of the posterior; that many at
+    any size, and however many rows are equal.
     """
     spark = docs.sparkSession
     docs = docs.drop(*({"vote_sum", "posterior", "score", "accepted"} - {text, doc_id}))
@@ -165,10 +166,12 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
                 for k in range(0, len(picked), 256):
                     at = picked[k : k + 256]
                     x = trigrams([part[i] for i in at])
-                    yield pa.RecordBatch.from_arrays([pa.array([v[v > 0].tobytes() for v in x], pa.binary()), pa.array([np.flatnonzero(v > 0).astype(np.int16).tobytes() for v in x], pa.binary()), pa.array(p[at])], names=["v", "i", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v[v > 0].tobytes() for v in x], pa.binary()), pa.array([np.flatnonzero(v > 0).astype(np.int16).tobytes() for v in x], pa.binary()), pa.array(p[at]), b.column(1).take(pa.array(first + at))], names=["v", "i", "p", "u"])
 
-    got = docs.select(F.col(text).cast("string").alias("t"), u.alias("u")).mapInArrow(features, "v binary, i binary, p double").collect()
-    rows = sorted((r.v, r.i, r.p) for r in got)  # about train_rows of 48 kB at most, however long the texts are
+    drawn = docs.select(F.col(text).cast("string").alias("t"), u.alias("u")).mapInArrow(features, "v binary, i binary, p double, u double")
+    drawn = drawn.groupBy("v", "i", "p").agg(F.min("u").alias("u"))  # equal texts are learned from once
+    got = drawn.orderBy("u", "i", "v").limit(train_rows).collect()
+    rows = sorted((r.v, r.i, r.p) for r in got)  # train_rows of 48 kB at most, however long or alike the texts are
     code = np.frombuffer(b"".join(i for _, i, _ in rows), np.int16)
     value = np.frombuffer(b"".join(v for v, _, _ in rows), np.float32)
     first = np.concatenate(([0], np.cumsum([len(i) // 2 for _, i, _ in rows]))).astype(np.int64)
