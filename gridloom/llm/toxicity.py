@@ -140,21 +140,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, text: st
     get the score of the bias; without any usable label all scores are 0.5.
     Null and repeated doc_ids keep their rows. Only text is an input of a score.
 
-    The fit takes about train_rows labelled documents at most, by hash of
-    their ids, half of either label. Their buckets are counted and screened in
+    The fit takes about train_rows labelled texts, 2 * train_rows at most, by
+    hash of their ids and texts, half of either label. Their buckets are counted and screened in
     the tasks, so the driver holds the few that count, however long the texts
-    are and however many rows share an id.
+    are and however many rows share an id or a text.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL").groupBy("__id").agg(F.max("__y").alias("__y"))
-    # counts, too, are of rows that may be learned from
-    marks = keep(marks.join(docs.filter(train).select(F.col(doc_id).alias("__id")), "__id", "left_semi"), "toxicity_marks")
+    # what is drawn are texts of ids, told by a hash; counts, too, are of those that may be learned from
+    told = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marks = keep(docs.filter(train).select(F.col(doc_id).alias("__id"), told.alias("__text")).join(marks, "__id").distinct(), "toxicity_marks")
     bad = F.col("__y") > 0
     toxic, clean = marks.agg(F.count(F.when(bad, 1)), F.count(F.when(~bad, 1))).first()
     share = [min(1.0, train_rows / 2 / max(n, 1)) for n in (clean, toxic)]
-    u = F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(1 << 30)) / float(1 << 30)
-    marks = marks.filter(u < F.when(bad, F.lit(share[1])).otherwise(F.lit(share[0])))
-    sample = docs.filter(train).join(F.broadcast(marks), docs[doc_id] == F.col("__id"))  # of about train_rows ids at most
+    u = F.pmod(F.xxhash64(F.lit(7), "__id", "__text"), F.lit(1 << 30)) / float(1 << 30)
+    marks = marks.filter(u < F.when(bad, F.lit(share[1])).otherwise(F.lit(share[0]))).orderBy(u, "__id", "__text").limit(2 * train_rows)
+    sample = docs.filter(train).join(F.broadcast(marks), (docs[doc_id] == F.col("__id")) & (told == F.col("__text")))  # 2 * train_rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
