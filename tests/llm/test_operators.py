@@ -624,3 +624,66 @@ def test_vectors_no_pair_is_missed_between_lists():
 
 def test_vectors_empty(spark):
     assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# -- hashes that patterns don't fool, draws that equal rows don't fill -----------------------------
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_minhash_tells_thue_morse_words_apart(spark, n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    rows = [(i, " ".join([w] * 5 + [f"{w}{k}" for k in range(4)])) for i, w in enumerate((one, two, one))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_repeats_of_thue_morse_texts_equal_brute_force(spark, n):
+    texts = [thue_morse(n), thue_morse(n, "b", "a"), "x" * 60 + thue_morse(n // 2, "b", "a") + "y" * 60]
+    got = {r.doc_id: r.kept_sha256 for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen: set[str] = set()
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if t[k : k + 50] in seen:
+                gone[k : k + 50] = True
+        seen |= {t[k : k + 50] for k in range(len(t) - 49)}
+        assert got[i] == hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()
+
+
+def test_packing_offers_every_boundary():
+    """The least cost over all subsets of boundaries, also where sentence ends stand close together."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        points = np.unique(np.append(np.cumsum(rng.integers(1, 6, rng.integers(2, 11))), 1))
+        fee = np.append(rng.choice([0.0, 1.5, 4.0], len(points) - 1), 0.0)
+        cost = lambda n: 0 if n & (n - 1) == 0 else 16 - n
+        total = lambda cuts: sum(cost(b - a) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)) + sum(fee[np.searchsorted(points, c)] for c in cuts)  # noqa: B023, E731
+        best = float("inf")
+        for mask in range(1 << (len(points) - 1)):
+            cuts = [int(p) for k, p in enumerate(points) if k == len(points) - 1 or mask >> k & 1]
+            if all(b - a <= 16 for a, b in zip([0, *cuts[:-1]], cuts, strict=True)):
+                best = min(best, total(cuts))
+        assert total(packing.cut(points, fee, 16)) == pytest.approx(best)
+
+
+def test_quality_learns_from_equal_rows_once(spark):
+    """Equal rows don't fill the sample, however many there are."""
+    rows = [(None, "the same short text again. " * 3)] * 3000 + [(i, prose(40, i) if i % 2 else "!!! $$ buy ## " * (3 + i % 5)) for i in range(200)]
+    scored = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), train_rows=60)
+    assert scored.count() == len(rows) and scored.filter("score IS NULL OR isnan(score)").count() == 0
+
+
+def test_toxicity_of_one_id_over_many_texts(spark):
+    docs_ = spark.createDataFrame([(1, f"nice text {i} of this id") for i in range(2000)] + [(2, "you vile rotten fool")] * 500, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs_, labels, F.lit(True), train_rows=100)
+    means = {r.doc_id: r.m for r in scored.groupBy("doc_id").agg(F.avg("score").alias("m")).collect()}
+    assert scored.count() == 2500 and means[2] > means[1]
