@@ -37,6 +37,42 @@ def folds_needed(p0: float = 0.5, p1: float = 0.7, alpha: float = 0.05, beta: fl
     return math.ceil(up / win - 1e-12), math.ceil(low / loss - 1e-12)
 
 
+def bounds_of(alpha: Column, beta: Column, boundary: str = "ville") -> tuple[Column, Column]:
+    """bounds for columns of error rates; null where one does not lie between 0 and 1."""
+    sane = (alpha > 0) & (alpha < 1) & (beta > 0) & (beta < 1)
+    up, low = (1 / alpha, beta) if boundary == "ville" else ((1 - beta) / alpha, beta / (1 - alpha))
+    return F.when(sane, F.ln(up)), F.when(sane, F.ln(low))
+
+
+def folds_of(p0: Column, p1: Column, alpha: Column, beta: Column, boundary: str = "ville") -> tuple[Column, Column]:
+    """folds_needed for columns of parameters: wins in a row that accept, losses in a row that reject."""
+    up, low = bounds_of(alpha, beta, boundary)
+    sane = (p0 > 0) & (p0 < p1) & (p1 < 1)
+    return F.when(sane, F.ceil(up / F.ln(p1 / p0) - 1e-12)), F.when(sane, F.ceil(low / F.ln((1 - p1) / (1 - p0)) - 1e-12))
+
+
+def maximin(budgets: DataFrame, plan: str, n: str, truths: DataFrame, k: str, rate: float, hit: float, fade: float) -> DataFrame:
+    """(plan, n, worst, best): each budget's worst score over the truth sizes, and whether it is the best of all (ties: the smallest plan).
+
+    A budget of n points hits with hit * (2000 / n) ** fade each, of which the
+    truth k saturates. Both tables hold a row per parameter, and the smaller
+    one is what each budget is scored against.
+    """
+    both = budgets.crossJoin(F.broadcast(truths.select(F.col(k).alias("__k"))))  # parameters, not data
+    w = F.lit(hit) * F.pow(F.lit(2000.0) / F.col(n), F.lit(fade))
+    tp = F.col("__k") * (1 - F.exp(-rate * F.col(n) * w / F.col("__k")))
+    scored = both.withColumn("__s", tp / (ALPHA * tp + ALPHA * F.col(n) + BETA * F.col("__k")))
+    worst = scored.groupBy(plan, n).agg(F.min("__s").alias("worst"))
+    first = worst.agg(F.min(F.struct(-F.round("worst", 9), F.col(plan).alias("p"))).alias("f")).select(F.col("f.p").alias("__best"))
+    return worst.crossJoin(F.broadcast(first)).select(plan, n, "worst", (F.col(plan) == F.col("__best")).alias("best"))
+
+
+def other_boundary(decided: DataFrame, alpha: float = 0.05, beta: float = 0.1, boundary: str = "ville") -> DataFrame:
+    """decided (rows of a sequential test) with other: the decision that the other boundary's bounds give at the ratio where the test stopped."""
+    up, low = bounds(alpha, beta, "wald" if boundary == "ville" else "ville")
+    return decided.withColumn("other", F.when(F.col("llr") >= up, "accept_H1").when(F.col("llr") <= low, "accept_H0").otherwise("continue"))
+
+
 def _first_crossing(df: DataFrame, llr: Column, by: str, order: str, up: float, low: float) -> DataFrame:
     run = df.withColumn("llr", llr)
     crossed = F.when((F.col("llr") >= up) | (F.col("llr") <= low), F.struct(F.col(order).alias("k"), F.col("llr")))

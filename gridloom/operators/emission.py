@@ -63,35 +63,53 @@ def _settle_tile(rows: pd.DataFrame, moves: list[tuple[int, int]], reach: int, s
     return pd.DataFrame({"r": r[keep].astype(np.int32), "c": c[keep].astype(np.int32), "score": score[keep], "state": won[keep].astype(np.int32)})
 
 
-def emit(scored: DataFrame, score: str, spacing: float, tile: int = 256, frame: int = 32) -> DataFrame:
-    """(r, c, score, rank) of the points that taking the best left, again and again, accepts.
+def emit_groups(scored: DataFrame, score: str, by: str, spacing: float | dict[int, float], tile: int = 256, frame: int = 32) -> DataFrame:
+    """(by, r, c, score, rank): emit in each group (an integer) on its own, all groups in one pass; spacing may differ by group.
 
-    Order is by score, then row, then column; points with score <= 0 or null
-    don't take part; two points conflict where d**2 < spacing**2. Tiles with
-    a frame of neighbours settle what is certain, in one pass nearly all; only
-    tiles with open points go to the next pass. The result is that of the
-    sequential rule. rank numbers the points by order from 1, so the first k
-    are what a budget of k gives.
+    A group is part of the key of a tile, so groups never meet, however many
+    there are; a group may hold all rows.
     """
-    reach = math.ceil(spacing)
-    moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if 0 < i * i + j * j < spacing * spacing]
-    schema = "r int, c int, score double, state int"
+    widest = max(spacing.values()) if isinstance(spacing, dict) else spacing
+    if math.ceil(widest) * 2 > frame:
+        raise ValueError("a frame must be wider than twice the spacing")
+    schema = f"{by} int, r int, c int, score double, state int"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return _settle_tile(rows, moves, reach, tile, frame)
-
-    points = scored.filter(F.col(score) > 0).select(F.col("r").cast("int"), F.col("c").cast("int"), F.col(score).cast("double").alias("score"), F.lit(0).alias("state"))
-    state = settle(tiled(points, frame, tile).groupBy("tr", "tc").applyInPandas(one, schema))
+        group = int(rows[by].iloc[0])
+        apart = spacing[group] if isinstance(spacing, dict) else spacing
+        reach = math.ceil(apart)
+        moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if 0 < i * i + j * j < apart * apart]
+        out = _settle_tile(rows, moves, reach, tile, frame)
+        out.insert(0, by, np.int32(group))
+        return out
+
+    points = scored.filter(F.col(score) > 0).select(F.col(by).cast("int").alias(by), F.col("r").cast("int"), F.col("c").cast("int"), F.col(score).cast("double").alias("score"), F.lit(0).alias("state"))
+    state = settle(tiled(points, frame, tile).groupBy(by, "tr", "tc").applyInPandas(one, schema))
     taken = state.filter("state = 1").drop("state")
     while True:
         open_ = state.filter("state = 0")
         if not open_.limit(1).count():
             break
-        owners = open_.select(F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).distinct()
-        dealt = tiled(open_.unionByName(taken.withColumn("state", F.lit(1))), frame, tile).join(owners, ["tr", "tc"], "left_semi")
-        state = settle(dealt.groupBy("tr", "tc").applyInPandas(one, schema))
+        owners = open_.select(by, F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).distinct()
+        dealt = tiled(open_.unionByName(taken.withColumn("state", F.lit(1))), frame, tile).join(owners, [by, "tr", "tc"], "left_semi")
+        state = settle(dealt.groupBy(by, "tr", "tc").applyInPandas(one, schema))
         taken = taken.unionByName(state.filter("state = 1").drop("state"))
-    return number(taken)
+    placed = settle(numbered(ordered(taken, by, F.desc("score"), "r", "c"), "k"), "emitted")
+    first = placed.groupBy(by).agg(F.min("k").alias("first"))  # a row per group
+    return placed.join(first, by).select(by, "r", "c", "score", (F.col("k") - F.col("first") + 1).cast("long").alias("rank"))
+
+
+def emit(scored: DataFrame, score: str, spacing: float, tile: int = 256, frame: int = 32) -> DataFrame:
+    """(r, c, score, rank) of the points that taking the best left, again and again, accepts.
+
+    Order is by score, then row, then column; points with score <= 0 or null
+    don't take part; two points conflict where d**2 < spacing**2. Tiles with
+    a frame of neighbours settle what is certain, in one pass nearly all; only
+    tiles with open points go to the next pass. The result is that of the
+    sequential rule. rank numbers the points by order from 1, so the first k
+    are what a budget of k gives.
+    """
+    return emit_groups(scored.withColumn("__g", F.lit(0)), score, "__g", spacing, tile, frame).drop("__g")
 
 
 def emit_budget(scored: DataFrame, score: str, budget: int, spacing: float, pool: int = 6, exact: bool = False) -> DataFrame:

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import ALPHA, BETA, EPSILON
+from ..functions.kernels import ALPHA, BETA, EPSILON, RADIUS, credit_offsets
 from ..session import settle
 from .components import components
-from .distance import dilate, distance, near
-from .emission import emit
-from .metric import parts
+from .distance import dilate, distance, near, spread
+from .emission import emit_groups
+from .metric import dti, parts
 
 
 def edges(lo: int, hi: int, n: int) -> list[int]:
@@ -70,18 +70,41 @@ def negative_pools(df: DataFrame, positive: Column, ring: tuple[float, float] =
     return out.withColumns({"hard": hard, "background": F.col("__grown").isNull() & ~positive}).drop("__d", "__grown")
 
 
-def emit_by(scored: DataFrame, score: str, by: str, spacing: float, stride: int = 1 << 20) -> DataFrame:
-    """emit in each group on its own, in one pass for all: (by, r, c, rank) with rank within the group.
+def emit_by(scored: DataFrame, score: str, by: str, spacing: float) -> DataFrame:
+    """emit in each group on its own, in one pass for all: (by, r, c, rank) with rank within the group."""
+    return emit_groups(scored, score, by, spacing).select(by, "r", "c", "rank")
 
-    Groups are moved apart by stride rows (more than the lattice has), so
-    points of two groups never conflict.
-    """
-    from pyspark.sql import Window
 
-    moved = scored.select((F.col("r") + F.col(by) * stride).cast("int").alias("r"), "c", score)
-    dots = settle(emit(moved, score, spacing).select("c", (F.floor(F.col("r") / stride)).cast("int").alias(by), F.pmod("r", F.lit(stride)).cast("int").alias("r"), "rank"))
-    # ranks of a group ascend with the ranks of all
-    return dots.select(by, "r", "c", F.row_number().over(Window.partitionBy(by).orderBy("rank")).alias("rank"))
+def emission_grid(cells: DataFrame, score: str, known: Column, truth: Column, spacings: list[float], buffers: list[float], budgets: list[int], active: Column | None = None) -> DataFrame:
+    """(spacing, buffer, budget, n, tp, fp, n_truth, dti): what each setting of an emission would score.
+
+    cells are those that may be scored or emitted; a setting emits outside of
+    buffer around known cells, spacing apart, budget points at most, and is
+    scored over the active cells that are not known. All spacings and buffers
+    are emitted in one pass over tiles; budgets are prefixes of an emission,
+    so one pass over its points scores all of them.
+    """
+    settings = {k: (s, b) for k, (s, b) in enumerate((s, b) for s in spacings for b in buffers)}
+    close = near(cells.filter(known), max(buffers)).select("r", "c", F.col("d").alias("__d"))
+    field = cells.select("r", "c", F.col(score).cast("double").alias("score"), (active if active is not None else F.lit(True)).alias("live"), known.alias("known"), truth.alias("truth"))
+    field = settle(field.join(close, ["r", "c"], "left"), "grid_field")
+    of = F.array_compact(F.array(*(F.when(F.col("__d").isNull() | (F.col("__d") > b), F.lit(k)) for k, (_, b) in settings.items())))
+    dots = emit_groups(field.filter("NOT known").withColumn("setting", F.explode(of)), "score", "setting", {k: s for k, (s, _) in settings.items()})
+    dots = settle(dots.filter(F.col("rank") <= max(budgets)).select("setting", "r", "c", "rank"), "grid_dots")
+    marks = field.filter("live AND NOT known")
+    live = settle(dots.join(marks.select("r", "c"), ["r", "c"], "left_semi"), "grid_live")
+    truths = marks.filter("truth").select("r", "c")
+    upto = lambda agg, x, name: [agg(F.when(F.col("rank") <= b, x)).alias(f"{name}_{b}") for b in budgets]
+    given = spread(live, credit_offsets(), ["dr", "dc", "k"]).join(truths, ["r", "c"], "left_semi").groupBy("setting", "r", "c").agg(*upto(F.max, F.col("k"), "k"))
+    tp = given.groupBy("setting").agg(*(F.sum(f"k_{b}").alias(f"tp_{b}") for b in budgets))
+    seen = near(truths, RADIUS).select("r", "c", F.greatest(1 - F.col("d") / RADIUS, F.lit(0.0)).alias("k"))
+    fp = live.join(seen, ["r", "c"], "left").groupBy("setting").agg(*upto(F.sum, 1 - F.coalesce("k", F.lit(0.0)), "fp"))
+    n = dots.groupBy("setting").agg(*upto(F.count, F.lit(1), "n"))
+    table = cells.sparkSession.createDataFrame([(k, float(s), float(b)) for k, (s, b) in settings.items()], "setting int, spacing double, buffer double")
+    lines = F.explode(F.array(*(F.struct(F.lit(b).cast("long").alias("budget"), *(F.coalesce(f"{x}_{b}", F.lit(0)).cast("long" if x == "n" else "double").alias(x) for x in ("n", "tp", "fp"))) for b in budgets)))
+    out = table.join(n, "setting", "left").join(tp, "setting", "left").join(fp, "setting", "left").select("spacing", "buffer", lines.alias("l")).select("spacing", "buffer", "l.*")
+    out = out.crossJoin(F.broadcast(truths.agg(F.count(F.lit(1)).alias("n_truth"))))  # one row
+    return out.withColumn("dti", F.when(F.col("n_truth") > 0, dti(F.col("tp"), F.col("fp"), F.col("n_truth") - F.col("tp"))).otherwise(0.0))
 
 
 def budgets(cells: DataFrame, total: int, whole: Column | int) -> DataFrame:

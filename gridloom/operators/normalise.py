@@ -17,9 +17,10 @@ def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]], where: Col
 
     Two passes for all bands at once, each with partial aggregation. Sketches
     bracket every quantile between two values; then the values below a bracket
-    are counted and those in it, one in a thousand, are gathered and sorted.
-    Tables of 20,000 values and less are their own bracket. Null where there
-    is no value.
+    and at its ends are counted, and those strictly inside, one in a thousand
+    at most, are gathered and sorted: a band that is mostly one value has that
+    value at an end. Tables of 20,000 values and less are their own bracket.
+    Null where there is no value.
     """
     bands = list(dict.fromkeys(b for b, _ in wanted.values()))
     value = {b: F.when(finite(b) if where is None else finite(b) & where, F.col(b).cast("double")) for b in bands}
@@ -38,15 +39,20 @@ def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]], where: Col
     found = []
     for name, (band, _) in wanted.items():
         lo, hi = bracket(name)
-        found += [F.count(F.when(value[band] < lo, 1)).alias(f"below_{name}"), F.sort_array(F.collect_list(F.when(value[band].between(lo, hi), value[band]))).alias(f"mid_{name}")]
+        found += [F.count(F.when(value[band] < lo, 1)).alias(f"below_{name}"), F.count(F.when(value[band] == lo, 1)).alias(f"low_{name}"), F.max(F.when(value[band] == lo, lo)).alias(f"lo_{name}"), F.max(F.when(value[band] == hi, hi)).alias(f"hi_{name}")]
+        found.append(F.sort_array(F.collect_list(F.when((value[band] > lo) & (value[band] < hi), value[band]))).alias(f"mid_{name}"))
     second = df.crossJoin(F.broadcast(first)).agg(*found, *(F.max(f"n_{b}").alias(f"n_{b}") for b in bands))
 
     def pick(name: str) -> Column:
         band, at = wanted[name]
         place = F.lit(at) * (F.col(f"n_{band}") - 1)
         k, mid = F.floor(place), F.col(f"mid_{name}")
-        one = F.try_element_at(mid, (k - F.col(f"below_{name}") + 1).cast("int"))
-        two = F.try_element_at(mid, (F.ceil(place) - F.col(f"below_{name}") + 1).cast("int"))
+
+        def value_at(i: Column) -> Column:
+            i = i - F.col(f"below_{name}") - F.col(f"low_{name}")
+            return F.when(i < 0, F.col(f"lo_{name}")).when(i >= F.size(mid), F.col(f"hi_{name}")).otherwise(F.get(mid, i.cast("int")))
+
+        one, two = value_at(k), value_at(F.ceil(place))
         return F.when(F.col(f"n_{band}") > 0, one + (two - one) * (place - k)).alias(name)
 
     return second.select(*map(pick, wanted))

@@ -56,20 +56,16 @@ def break_even_budget(spark, sf_dir):
 
 
 @query(f"""
-WITH g AS (SELECT n, k, 1.2::DOUBLE AS a, 0.15::DOUBLE * pow(2000::DOUBLE / n, 0.3) AS w FROM (SELECT unnest([1000, 2000, 5000, 10000, 20000, 40000]) AS n), (SELECT unnest([4000, 6000, 9000]) AS k)),
-s AS (SELECT n, k, k * (1 - exp(-a * n * w / k)) / (0.2 * (k * (1 - exp(-a * n * w / k))) + 0.2 * n + 0.8 * k) AS s FROM g)
-SELECT n::BIGINT AS n, {n6("min(s)")} AS worst FROM s GROUP BY n ORDER BY round(min(s), 9) DESC, n LIMIT 1
+WITH k AS (SELECT o_orderpriority, count(*)::DOUBLE AS k FROM orders GROUP BY 1), n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
+g AS (SELECT n.c_nationkey AS plan, n, k, 0.15::DOUBLE * pow(2000::DOUBLE / n, 0.3) AS w FROM n, k),
+s AS (SELECT plan, n, k * (1 - exp(-1.2 * n * w / k)) / (0.2 * (k * (1 - exp(-1.2 * n * w / k))) + 0.2 * n + 0.8 * k) AS s FROM g)
+SELECT plan, n, {n6("min(s)")} AS worst, row_number() OVER (ORDER BY round(min(s), 9) DESC, plan) = 1 AS best FROM s GROUP BY plan, n
 """)
 def maximin_budget(spark, sf_dir):
-    """The budget whose worst score over truth sizes is best."""
-    n = spark.createDataFrame([(x,) for x in (1000, 2000, 5000, 10000, 20000, 40000)], "n long")
-    k = spark.createDataFrame([(x,) for x in (4000, 6000, 9000)], "k long")
-    both = n.crossJoin(k)  # parameters, not data
-    w = 0.15 * F.pow(2000.0 / F.col("n"), F.lit(0.3))
-    tp = F.col("k") * (1 - F.exp(-1.2 * F.col("n") * w / F.col("k")))
-    s = both.withColumn("s", tp / (0.2 * tp + 0.2 * F.col("n") + 0.8 * F.col("k")))
-    worst = s.groupBy("n").agg(F.min("s").alias("worst"))
-    return worst.orderBy(F.desc(F.round("worst", 9)), "n").limit(1).select("n", r6("worst").alias("worst"))
+    """Budgets (a nation's customers) by their worst score over truth sizes (orders of a priority), and the best of them."""
+    n = L.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("plan")).agg(F.count(F.lit(1)).alias("n"))
+    k = L.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    return P.maximin(n, "plan", "n", k, "k", 1.2, 0.15, 0.3).withColumn("worst", r6("worst"))
 
 
 # -- tests ------------------------------------------------------------------------
@@ -103,14 +99,35 @@ def sprt_normal_mean(spark, sf_dir):
     return P.sprt_mean(_outcomes(spark, sf_dir)).withColumn("llr", r6("llr"))
 
 
-@query(f"SELECT boundary, {n6('up')} AS upper, {n6('low')} AS lower FROM (SELECT 'ville' AS boundary, ln(1 / 0.05::DOUBLE) AS up, ln(0.1::DOUBLE) AS low UNION ALL SELECT 'wald', ln(0.9::DOUBLE / 0.05), ln(0.1::DOUBLE / 0.95))")
+@query(_decide(f"l AS (SELECT *, sum(win::INT) OVER w * {d(_W)} + (count(*) OVER w - sum(win::INT) OVER w) * {d(_L)} AS llr FROM o WINDOW w AS (PARTITION BY candidate ORDER BY k))").replace("AS decision FROM", f"AS decision, CASE WHEN llr >= {d(P.bounds(boundary='wald')[0])} THEN 'accept_H1' WHEN llr <= {d(P.bounds(boundary='wald')[1])} THEN 'accept_H0' ELSE 'continue' END AS other FROM"))
+def sprt_both_boundaries(spark, sf_dir):
+    """The sign test with what the other boundary would have decided at the same ratio."""
+    return P.other_boundary(P.sprt_sign(_outcomes(spark, sf_dir))).withColumn("llr", r6("llr"))
+
+
+#: Error rates and hypotheses of each supplier's test, as columns of the table, and the same in SQL.
+_RATES = "q AS (SELECT s_suppkey AS test, (1 + s_suppkey % 9) / 100::DOUBLE AS alpha, (5 + s_nationkey) / 100::DOUBLE AS beta, (40 + s_suppkey % 13) / 100::DOUBLE AS p0, (60 + s_nationkey) / 100::DOUBLE AS p1 FROM supplier), b AS (SELECT *, 'ville' AS boundary, ln(1 / alpha) AS up, ln(beta) AS low FROM q UNION ALL SELECT *, 'wald', ln((1 - beta) / alpha), ln(beta / (1 - alpha)) FROM q)"
+
+
+def _rates(spark, sf_dir):
+    s = L.table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("test"), ((1 + F.col("s_suppkey") % 9) / 100.0).alias("alpha"), ((5 + F.col("s_nationkey")) / 100.0).alias("beta"), ((40 + F.col("s_suppkey") % 13) / 100.0).alias("p0"), ((60 + F.col("s_nationkey")) / 100.0).alias("p1"))
+
+
+def _both(df, columns):
+    """A row per boundary: columns maps a boundary to the columns of its row."""
+    rows = F.explode(F.array(*(F.struct(F.lit(b).alias("boundary"), *(v.alias(k) for k, v in columns(b).items())) for b in ("ville", "wald"))))
+    return df.select("test", rows.alias("x")).select("test", "x.*")
+
+
+@query(f"WITH {_RATES} SELECT test, boundary, {n6('up')} AS upper, {n6('low')} AS lower FROM b")
 def sprt_bounds(spark, sf_dir):
-    return spark.createDataFrame([(b, *P.bounds(boundary=b)) for b in ("ville", "wald")], "boundary string, upper double, lower double").select("boundary", r6("upper").alias("upper"), r6("lower").alias("lower"))
+    return _both(_rates(spark, sf_dir), lambda b: dict(zip(("upper", "lower"), map(r6, P.bounds_of(F.col("alpha"), F.col("beta"), b)), strict=True)))
 
 
-@query("SELECT 'ville' AS boundary, ceil(ln(20::DOUBLE) / ln(1.4::DOUBLE))::INT AS wins, ceil(ln(0.1::DOUBLE) / ln(0.6::DOUBLE))::INT AS losses UNION ALL SELECT 'wald', ceil(ln(18::DOUBLE) / ln(1.4::DOUBLE))::INT, ceil(ln(0.1 / 0.95::DOUBLE) / ln(0.6::DOUBLE))::INT")
+@query(f"WITH {_RATES} SELECT test, boundary, ceil(up / ln(p1 / p0) - 1e-12)::BIGINT AS wins, ceil(low / ln((1 - p1) / (1 - p0)) - 1e-12)::BIGINT AS losses FROM b")
 def folds_needed(spark, sf_dir):
-    return spark.createDataFrame([(b, *P.folds_needed(boundary=b)) for b in ("ville", "wald")], "boundary string, wins int, losses int")
+    return _both(_rates(spark, sf_dir), lambda b: dict(zip(("wins", "losses"), P.folds_of(F.col("p0"), F.col("p1"), F.col("alpha"), F.col("beta"), b), strict=True)))
 
 
 # -- correlations -------------------------------------------------------------------
