@@ -207,6 +207,45 @@ def openness(df: DataFrame, band: str, reach: int = 3, tile: int = TILE) -> Data
     return core(out.withColumn("open", 90 - sum(some[1:], some[0]) / sum((F.col(k).isNotNull().cast("int") for k in list(angles)[1:]), F.col("__a0").isNotNull().cast("int"))).drop(*angles), tile)
 
 
+def openness_asymmetry(df: DataFrame, band: str, out: str = "asym", away: float = 3.0, directions: int = 8, tile: int = TILE) -> DataFrame:
+    """out: the steepest angle up less the steepest angle down (radians, 0 at least) among places at a distance in so many directions.
+
+    Places between cells are bilinear; beyond the lattice its edges repeat. A
+    cell without a value gives null wherever a place needs it.
+    """
+    frame = math.ceil(away) + 1
+    places = [(-away * math.sin(2 * math.pi * k / directions), away * math.cos(2 * math.pi * k / directions)) for k in range(directions)]
+
+    def one(cells: pa.Table) -> pa.Table:
+        r, c = (cells.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+        tr, tc = cells.column("tr")[0].as_py(), cells.column("tc")[0].as_py()
+        mine = (r // tile == tr) & (c // tile == tc)
+        y, x = r - r.min(), c - c.min()
+        a = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
+        a[y, x] = cells.column(band).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        p = np.pad(a, frame, mode="edge")
+        y, x = y[mine] + frame, x[mine] + frame
+        here, up, down_ = p[y, x], np.zeros(len(y)), np.zeros(len(y))
+        for dy, dx in places:
+            value = sum(w * p[y + i, x + j] for i, j, w in bilinear(dy, dx))
+            up = np.maximum(up, np.arctan2(value - here, away))
+            down_ = np.maximum(down_, np.arctan2(here - value, away))
+        v = up - down_
+        kept = cells.filter(pa.array(mine)).drop_columns(["tr", "tc", *([out] if out in cells.column_names else [])])
+        return kept.append_column(out, pa.array(v, mask=np.isnan(v)))
+
+    schema = type(df.schema)([f for f in df.schema.fields if f.name != out]).add(out, "double")
+    return tiled(df, frame, tile).groupBy("tr", "tc").applyInArrow(one, schema)
+
+
+def bilinear(dy: float, dx: float) -> list[tuple[int, int, float]]:
+    """(rows, columns, weight) of the cells around a place, without those of no weight."""
+    i, j = math.floor(round(dy, 9)), math.floor(round(dx, 9))
+    fy, fx = round(dy, 9) - i, round(dx, 9) - j
+    four = [(i, j, (1 - fy) * (1 - fx)), (i, j + 1, (1 - fy) * fx), (i + 1, j, fy * (1 - fx)), (i + 1, j + 1, fy * fx)]
+    return [(a, b, w) for a, b, w in four if w > 0]
+
+
 def two_scale(df: DataFrame, value: str, weight: str, sigma: float, wide: float) -> DataFrame:
     """filled: weighted smooth where its weight is above 1e-9, else that of the wide smooth, else the mean."""
     out = df.withColumns({"__v": F.coalesce(F.col(value) * F.col(weight), F.lit(0.0)), "__w": F.coalesce(F.col(weight).cast("double"), F.lit(0.0))})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..operators import normalise as N
 from ..operators import stencil as S
-from .base import d, filled, n6, query, r6, robust_sql, smooth_sql, sql, view
+from .base import d, filled, n6, query, r6, robust_sql, smooth_sql, sql, values_sql, view
 
 
 
@@ -152,6 +154,26 @@ def openness(spark, sf_dir):
     return S.openness(filled(spark, sf_dir), "px").select("r", "c", r6("open").alias("open"))
 
 
+_PLACES = [(k, i, j, w) for k in range(8) for i, j, w in S.bilinear(-3 * math.sin(math.pi * k / 4), 3 * math.cos(math.pi * k / 4))]
+
+
+@query(sql(f"SELECT r, c, {n6('max(greatest(atan2(v - px, 3), 0)) - max(greatest(atan2(px - v, 3), 0))')} AS asym FROM s GROUP BY r, c", values_sql("way", "k, dr, dc, w", _PLACES),
+           "s AS (SELECT a.r, a.c, a.px, k, sum(w * b.px) AS v FROM full_ a, way JOIN full_ b ON b.r = least(greatest(a.r + dr, 0), 357) AND b.c = least(greatest(a.c + dc, 0), 49) GROUP BY ALL)"))
+def openness_asymmetry(spark, sf_dir):
+    """Angles up less angles down at three cells, between cells bilinear."""
+    return S.openness_asymmetry(filled(spark, sf_dir).select("r", "c", "px"), "px").select("r", "c", r6("asym").alias("asym"))
+
+
+@query(sql(f"SELECT r, c, px, {n6('gp')} AS px_2, {n6('gd')} AS disc_1 FROM g WHERE dot", smooth_sql("g", "full_", {"gp": ("px", 2.0, 0, 0), "gd": ("disc", 1.0, 0, 0)})))
+def lazy_features(spark, sf_dir):
+    """Bands and their smooths at the dots only."""
+    from ..operators.lazy import smoothed_at
+
+    df = filled(spark, sf_dir)
+    found = smoothed_at(df, df.filter("dot"), {"px": ("px", 0.0), "px_2": ("px", 2.0), "disc_1": ("disc", 1.0)})
+    return found.select("r", "c", "px", r6("px_2").alias("px_2"), r6("disc_1").alias("disc_1"))
+
+
 @query(sql(f"SELECT r, c, {n6('CASE WHEN ws > 1e-9 THEN vs / ws WHEN wl > 1e-9 THEN vl / wl ELSE m END')} AS filled FROM s, (SELECT sum(px * w) / sum(CASE WHEN px IS NOT NULL THEN w END) AS m FROM p)",
            "p AS (SELECT *, CASE WHEN dot THEN n END::DOUBLE AS w FROM lat)", "q AS (SELECT *, coalesce(px * w, 0) AS v0, coalesce(w, 0) AS w0 FROM p)",
            smooth_sql("s", "q", {"vs": ("v0", 1.0, 0, 0), "ws": ("w0", 1.0, 0, 0), "vl": ("v0", 3.0, 0, 0), "wl": ("w0", 3.0, 0, 0)})))
