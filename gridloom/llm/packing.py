@@ -131,21 +131,33 @@ def cut(points: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     best(i) + i; powers of two are looked up.
     """
     end = int(points[-1])
-    powers = [length - (1 << k) for k in range(length.bit_length()) if 1 << k < length]
-    best = [float("inf")] * (end + length + 1)  # by place + length, so that places before the start need no test
-    best[length] = 0.0
-    back = {}
+    # by place + length, so that places before the start need no test; which points lie a power of two before each point
+    is_point = np.zeros(end + length + 1, bool)
+    is_point[points + length] = is_point[length] = True
+    ahead, behind = [], []
+    for k in range(length.bit_length()):
+        if 1 << k < length:
+            from_ = points + (length - (1 << k))
+            hit = np.flatnonzero(is_point[from_])
+            ahead.append(hit)
+            behind.append(from_[hit])
+    ahead, behind = np.concatenate(ahead), np.concatenate(behind)
+    order = np.argsort(ahead, kind="stable")
+    looks, first = behind[order].tolist(), np.searchsorted(ahead[order], np.arange(len(points) + 1)).tolist()
+    best = [0.0] * (end + length + 1)
+    back = [0] * (end + 1)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for p, fee in zip(points.tolist(), penalty.tolist(), strict=True):
+    for j, (p, fee) in enumerate(zip(points.tolist(), penalty.tolist(), strict=True)):
         while queue[0][1] < p - length:
             queue.popleft()
         key, i = queue[0]
         least = key + length - p
-        for k in powers:
-            if best[p + k] < least:
-                least, i = best[p + k], p + k - length
+        for m in looks[first[j] : first[j + 1]]:
+            if best[m] < least:
+                least, i = best[m], m - length
         least += fee
-        best[p + length], back[p] = least, i
+        best[p + length] = least
+        back[p] = i
         key = least + p
         while queue and queue[-1][0] >= key:
             queue.pop()
