@@ -60,3 +60,40 @@ def prevalence_match(labelled: DataFrame, target: int, seed: int, least: int = 6
 def alignment(blocks: DataFrame, outer: str, inner: str) -> DataFrame:
     """Per outer block: how many inner blocks it touches, and whether it lies in one."""
     return blocks.groupBy(outer).agg(F.countDistinct(inner).alias("folds")).withColumn("aligned", F.col("folds") == 1)
+
+
+def annulus_holdout(cells: DataFrame, labelled: DataFrame, matched: Column, height: int, width: int, rows: int = 4, cols: int = 6, seeds: tuple[int, ...] = (31, 32), share: float = 0.25, erode: int = 6, collar: int = 10) -> DataFrame:
+    """(instrument, seed, block, r, c, truth) of the active cells of every fold of two instruments.
+
+    cells: the footprint; labelled: (r, c, comp) of the catalogue; matched: a
+    condition for the second instrument's truth. A fold is the interior of a
+    block, its cells at least erode away from the block's rim. The first
+    instrument hides whole components: of those that have a cell in the block
+    and none in the annulus (within collar steps of the block, outside of its
+    interior), in a seeded order, until share of their cells is hidden; truth
+    are hidden cells of the interior, and what is known is not active. The
+    second one keeps the whole catalogue known, and its truth is matched.
+    Blocks are equal parts, so all of this is arithmetic on coordinates: only
+    catalogue cells meet the table of blocks.
+    """
+    spark = cells.sparkSession
+    cut = lambda n, k: [int(n * i / k) for i in range(k + 1)]
+    er, ec = cut(height, rows), cut(width, cols)
+    boxes = F.broadcast(spark.createDataFrame([(i * cols + j, er[i], er[i + 1] - 1, ec[j], ec[j + 1] - 1) for i in range(rows) for j in range(cols)], "block int, r0 int, r1 int, c0 int, c1 int"))  # a row per block
+    beyond = lambda x, lo, hi: F.greatest(F.col(lo) - F.col(x), F.col(x) - F.col(hi), F.lit(0))
+    inner = F.col("r").between(F.col("r0") + erode, F.col("r1") - erode) & F.col("c").between(F.col("c0") + erode, F.col("c1") - erode)
+    steps = beyond("r", "r0", "r1") + beyond("c", "c0", "c1")
+    marks = labelled.select("r", "c", "comp").join(cells.select("r", "c"), ["r", "c"], "left_semi")
+    near = marks.join(boxes, F.col("r").between(F.col("r0") - collar, F.col("r1") + collar) & F.col("c").between(F.col("c0") - collar, F.col("c1") + collar)).withColumns({"steps": steps, "inner": inner})
+    per = near.groupBy("block", "comp").agg(F.max(F.col("steps") == 0).alias("within"), F.max((F.col("steps") <= collar) & ~F.col("inner")).alias("touches")).filter("within AND NOT touches")
+    sizes = marks.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    drawn = per.join(sizes, "comp").withColumn("seed", F.explode(F.lit(list(seeds))))
+    key = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string"), F.col("comp").cast("string")))
+    total = F.sum("size").over(Window.partitionBy("seed", "block"))
+    hidden = prefix_to(drawn.withColumns({"key": key, "total": total}), "size", ["key"], F.col("total") * share, ["seed", "block"]).select("seed", "block", "comp", F.lit(True).alias("hidden"))
+    live = cells.withColumn("matched", F.coalesce(matched, F.lit(False))).select("r", "c", "matched").withColumn("block", uniform_block(height, width, rows, cols))
+    live = live.join(boxes, "block").filter(inner).drop("r0", "r1", "c0", "c1").join(marks, ["r", "c"], "left")
+    first = live.withColumn("seed", F.explode(F.lit(list(seeds)))).join(F.broadcast(hidden), ["seed", "block", "comp"], "left").filter("comp IS NULL OR hidden")  # components of single folds
+    second = live.filter("comp IS NULL").withColumn("seed", F.explode(F.lit(list(seeds))))
+    out = lambda df, name, truth: df.select(F.lit(name).alias("instrument"), "seed", "block", "r", "c", truth.alias("truth"))
+    return out(first, "I1", F.coalesce("hidden", F.lit(False))).unionByName(out(second, "I2", F.col("matched")))

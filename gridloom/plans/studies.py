@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import cross_offsets, offsets
 from ..operators import audit as A
 from ..operators import budget as B
+from ..operators import components as C
 from ..operators import composites as K
 from ..operators import decision as P
 from ..operators import emission as E
@@ -235,6 +236,26 @@ def component_holdout(spark, sf_dir):
     return out.groupBy("block").agg(F.count(F.when(F.col("active"), 1)).alias("active"), F.count(F.when(F.col("truth"), 1)).alias("truth"), F.count(F.when(F.col("known"), 1)).alias("known"))
 
 
+_CUT = lambda n, k: [int(n * i / k) for i in range(k + 1)]
+_BOXES = [(i * 2 + j, _CUT(HEIGHT, 4)[i], _CUT(HEIGHT, 4)[i + 1] - 1, _CUT(WIDTH, 2)[j], _CUT(WIDTH, 2)[j + 1] - 1) for i in range(4) for j in range(2)]
+_INNER = "r BETWEEN r0 + 3 AND r1 - 3 AND c BETWEEN c0 + 3 AND c1 - 3"
+
+
+@query(sql("""SELECT 'I1' AS instrument, s.seed, v.block, v.r, v.c, h.comp IS NOT NULL AS truth FROM live v, seeds s LEFT JOIN hid3 h ON h.seed = s.seed AND h.block = v.block AND h.comp = v.comp WHERE v.comp IS NULL OR h.comp IS NOT NULL
+  UNION ALL SELECT 'I2', seed, block, r, c, coalesce(okey % 31 = 0, FALSE) FROM live, seeds WHERE comp IS NULL""", _LABEL, values_sql("boxes", "block, r0, r1, c0, c1", _BOXES), values_sql("seeds", "seed", [(31,), (32,)]),
+    f"nearb AS (SELECT block, comp, greatest(r0 - r, r - r1, 0) + greatest(c0 - c, c - c1, 0) AS steps, {_INNER} AS inside FROM comps, boxes)",
+    "cand AS (SELECT block, comp FROM nearb GROUP BY 1, 2 HAVING bool_or(steps = 0) AND NOT bool_or(steps <= 4 AND NOT inside))",
+    "sized AS (SELECT seed, block, cand.comp, n AS size FROM cand JOIN (SELECT comp, count(*) AS n FROM comps GROUP BY 1) z ON z.comp = cand.comp, seeds)",
+    "hid3 AS (SELECT seed, block, comp FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY seed, block ORDER BY md5(seed || ':' || block || ':' || comp) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY seed, block) AS total FROM sized) WHERE before < total * 0.25::DOUBLE)",
+    f"live AS (SELECT lat.r, lat.c, okey, block, comp FROM lat JOIN boxes ON {_INNER.replace('r B', 'lat.r B').replace(' c B', ' lat.c B')} LEFT JOIN comps ON comps.r = lat.r AND comps.c = lat.c WHERE foot)", recursive=True))
+def annulus_holdout(spark, sf_dir):
+    """Every active cell of every fold of both instruments, with its truth."""
+    df = view(spark, sf_dir).select("r", "c", "foot", "okey")
+    labelled = settle(C.components(df.filter("foot AND okey % 3 = 0")))
+    out = H.annulus_holdout(df.filter("foot"), labelled, F.col("okey") % 31 == 0, HEIGHT, WIDTH, 4, 2, erode=3, collar=4)
+    return out.select("instrument", "seed", "block", "r", "c", "truth")
+
+
 @query(sql("SELECT l.r, l.c, coalesce(s.d BETWEEN 1 AND 6, FALSE) AND NOT truth AS hard, g.r IS NULL AND NOT truth AS background FROM lat l LEFT JOIN s ON s.r = l.r AND s.c = l.c LEFT JOIN (SELECT DISTINCT r + dr AS r, c + dc AS c FROM p, six) g ON g.r = l.r AND g.c = l.c WHERE foot", "p AS (SELECT r, c FROM lat WHERE truth)", _NEAR("s", "p", 6), values_sql("six", "dr, dc", cross_offsets(6))))
 def negative_pools(spark, sf_dir):
     df = view(spark, sf_dir).select("r", "c", "foot", "truth")
