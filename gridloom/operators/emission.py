@@ -70,8 +70,8 @@ def emit_groups(scored: DataFrame, score: str, by: str, spacing: float | dict[in
     there are; a group may hold all rows.
     """
     widest = max(spacing.values()) if isinstance(spacing, dict) else spacing
-    if math.ceil(widest) * 2 > frame:
-        raise ValueError("a frame must be wider than twice the spacing")
+    if math.ceil(widest) > frame:
+        raise ValueError("a frame must hold all points in conflict with a tile's own")
     schema = f"{by} int, r int, c int, score double, state int"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

@@ -279,6 +279,24 @@ def sprt_stream(spark, sf_dir):
     return done.filter("NOT rejected").groupBy("candidate").agg(F.max("n").cast("int").alias("n"), F.max(F.struct("n", "decision"))["decision"].alias("decision"))
 
 
+@query(f"SELECT candidate, stopped_at::INT AS n, decision, other FROM ({SQL['sprt_both_boundaries']})")
+def sprt_ledger(spark, sf_dir):
+    """Tests as the stateful stream's checkpoint holds their last counted outcome, with both boundaries' decisions; outcomes come in no order."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming.ledger import sign_test_stream
+
+    at = f"{shared_dir(spark)}/gridloom/ledger-{uuid.uuid4().hex}"
+    rows = _outcomes(spark, sf_dir).select("candidate", F.col("k").cast("int").alias("k"), "win", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k")).alias("at"))
+    rows.repartition(4, F.xxhash64("candidate", "k")).write.parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    q = sign_test_stream(source, patience_ms=10**9, delay="10 days").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.read.parquet(f"{at}/out").filter("state = 'counted'").groupBy("candidate").agg(F.max(F.struct("n", "decision", "other")).alias("x"))
+    return last.select("candidate", "x.n", "x.decision", "x.other")
+
+
 @query()
 def calibrated_fit(spark, sf_dir):
     """(k, a) of the saturating score from tens of artifacts, and the error left."""

@@ -51,7 +51,7 @@ def test_groups_are_emitted_on_their_own(spark):
         alone = {(x.r, x.c, x.rank) for x in emission.emit(field, "score", spacing, tile=16, frame=8).collect()}
         assert {(x.r, x.c, x.rank) for x in got if x.g == g} == alone
     with pytest.raises(ValueError):
-        emission.emit(df, "score", 5.0, tile=16, frame=8)
+        emission.emit(df, "score", 8.5, tile=16, frame=8)
 
 
 def test_grid_of_settings_equals_runs_of_their_own(spark):
