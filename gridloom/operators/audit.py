@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def overlap(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """Per named set of b: common cells, Jaccard, and containment both ways; a is one set, b has a name column."""
@@ -52,11 +54,15 @@ def digest(cells: DataFrame, value: str, rows: int = 1024) -> DataFrame:
 
 
 def same_cells(rasters: DataFrame, name: str, value: str) -> DataFrame:
-    """Pairs of names whose marked cells are the same: grouped by count and two sums of hashes, so no pair is compared cell by cell."""
+    """Pairs of names whose marked cells are the same: grouped by count and two sums of hashes, then each compared cell by cell with the first of its group."""
     h = F.xxhash64("r", "c")
-    prints = rasters.filter(F.col(value) > 0).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
+    cells = rasters.filter(F.col(value) > 0).select(name, "r", "c").distinct()
+    prints = cells.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
     groups = prints.groupBy("n", "x", "s").agg(F.min(name).alias("first"), F.collect_list(name).alias("names")).filter(F.size("names") > 1)
-    return groups.select("first", F.explode("names").alias("other"), "n").filter("first <> other")
+    pairs = settle(groups.select("first", F.explode("names").alias("other"), "n").filter("first <> other"), "equal_prints")
+    one = pairs.join(cells.withColumnRenamed(name, "first"), "first")
+    both = one.join(cells.withColumnRenamed(name, "other"), ["other", "r", "c"], "left_semi")
+    return both.groupBy("first", "other", "n").agg(F.count(F.lit(1)).alias("shared")).filter("shared = n").drop("shared")
 
 
 def forensics(rasters: DataFrame, known: DataFrame, name: str, reach: int = 8) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ALPHA, BETA
-from .ordered import ordered, running
+from ..session import settle
+from .ordered import numbered, ordered, running
 
 
 def bounds(alpha: float = 0.05, beta: float = 0.1, boundary: str = "ville") -> tuple[float, float]:
@@ -182,25 +183,37 @@ def fit_saturating(n: np.ndarray, w: np.ndarray, score: np.ndarray, rounds: int
 # -- correlations and ranks --------------------------------------------------
 
 
-def average_rank(x: str, by: tuple[str, ...] = ()) -> Column:
-    """Rank from 1, equal values sharing the mean of theirs."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
+def average_ranks(df: DataFrame, x: str, out: str, weight: str | None = None) -> DataFrame:
+    """(x, out): the rank from 1 of each distinct value, equal values sharing the mean of theirs; sorted by ranges, however often a value stands. weight: a row stands for so many."""
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    per = running(ordered(df.groupBy(x).agg(times.alias("__n")), x), F.col("__n"), "__below", "__all")
+    return per.select(x, (F.col("__below") + (F.col("__n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho and n over rows without nulls: meant for tables of artifacts or folds, not of cells."""
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("a"), average_rank(y).alias("b"))
-    return ranked.agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """rho and n over rows without nulls: ranks are joined to the counts of pairs of values."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
+    pairs = settle(pairs, "value_pairs")
+    both = pairs.join(average_ranks(pairs, x, "a", "w"), x).join(average_ranks(pairs, y, "b", "w"), y)
+    sums = both.agg(*(F.sum(F.col("w") * e).alias(n) for n, e in (("n", F.lit(1)), ("sa", F.col("a")), ("sb", F.col("b")))))
+    centred = both.crossJoin(F.broadcast(sums)).withColumns({"a": F.col("a") - F.col("sa") / F.col("n"), "b": F.col("b") - F.col("sb") / F.col("n")})  # one row
+    total = lambda e: F.sum(F.col("w") * e)
+    return centred.agg((total(F.col("a") * F.col("b")) / F.sqrt(total(F.col("a") * F.col("a")) * total(F.col("b") * F.col("b")))).alias("rho"), F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, tie: str) -> DataFrame:
-    """Correlation of the ranks of x and y less what the ranks of z explain."""
-    rank = lambda v: F.row_number().over(Window.orderBy(v, tie)) - 1
-    r = df.select(rank(x).alias("x"), rank(y).alias("y"), rank(z).alias("z"), tie)
+    """Correlation of the ranks of x and y less what the ranks of z explain; ties go by tie. Each rank is a sort by ranges."""
+    def rank(t: DataFrame, v: str, out: str) -> DataFrame:
+        return numbered(ordered(t, v, "__t"), out)
+
+    r = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(z).alias("__z"), F.col(tie).alias("__t"))
+    for v in "xyz":
+        r = rank(r, f"__{v}", v)
+    r = settle(r.select("x", "y", "z", "__t"), "ranks")
     fit = r.agg(*(f(F.col(v), F.col("z")).alias(f"{n}{v}") for v in "xy" for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))))
-    left = r.crossJoin(F.broadcast(fit)).select(tie, *((F.round(F.col(v) - F.col(f"i{v}") - F.col(f"s{v}") * F.col("z"), 9)).alias(v) for v in "xy"))
-    ranked = left.select(rank("x").alias("a"), rank("y").alias("b"))
-    return ranked.agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    left = r.crossJoin(F.broadcast(fit)).select("__t", *((F.round(F.col(v) - F.col(f"i{v}") - F.col(f"s{v}") * F.col("z"), 9)).alias(v) for v in "xy"))  # one row
+    both = rank(rank(left, "x", "a"), "y", "b")
+    return both.agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:

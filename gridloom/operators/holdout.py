@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .components import stats
 from .distance import dilate
+from .ordered import ordered, running
 
 
 def uniform_block(height: int, width: int, rows: int, cols: int) -> Column:
@@ -24,7 +25,9 @@ def quantile_block(df: DataFrame, where: Column, rows: int, cols: int) -> DataFr
 
 
 def prefix_to(df: DataFrame, size: str, order: list, target: Column, by: list[str] = ()) -> DataFrame:
-    """The least prefix that reaches target, with the row that crosses it."""
+    """The least prefix that reaches target, with the row that crosses it. Without by, the order is one over ranges; a group of by is ordered in one task."""
+    if not by:
+        return running(ordered(df, *order), F.col(size), "__before", "__all").filter(F.col("__before") < target).drop("__before", "__all")
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("__before") < target).drop("__before")
 
