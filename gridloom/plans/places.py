@@ -71,3 +71,17 @@ def emission_grid(spark, sf_dir):
 
 def n6_(x: str):
     return r6(x).alias(x)
+
+
+@query(sql("SELECT r, c, px::FLOAT::DOUBLE AS px, tax::FLOAT::DOUBLE AS tax FROM lat WHERE r BETWEEN 100 AND 180 AND c < 30"))
+def tiff_box(spark, sf_dir):
+    """Three bands written as TIFF bytes; two of them read back in a box of cells."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.lattice import HEIGHT, WIDTH
+    from ..sources.tiff import read_tiff, write_tiff
+
+    at = f"{shared_dir(spark)}/gridloom/tiff-{uuid.uuid4().hex}"
+    write_tiff(view(spark, sf_dir), ["px", "disc", "tax"], HEIGHT, WIDTH, at, rows=64)
+    return read_tiff(spark, at, ["px", "tax"]).filter("r BETWEEN 100 AND 180 AND c < 30")
