@@ -120,6 +120,12 @@ def gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return pool[at]
 
 
+def ascending(*parts: np.ndarray) -> np.ndarray:
+    """The distinct values of all parts in order, by one sort."""
+    x = np.sort(np.concatenate(parts))
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def cut(points: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     """The best cuts of a stream that starts at 0 and ends at points[-1].
 
@@ -191,17 +197,17 @@ class Packer:
         n, length = len(self.ids), self.length
         if not n:
             return
-        docs = np.unique([d[2] for d in self.docs])
+        docs = ascending(np.array([d[2] for d in self.docs], np.int64))
         stops = self.points[self.points <= n]
-        marks = np.unique(np.concatenate((docs, stops)))
+        marks = ascending(docs, stops)
         gaps = np.diff(marks, prepend=0)
         inner = [np.arange(a + self.spacing, a + g, self.spacing) for a, g in zip((marks - gaps)[gaps > 4 * self.spacing].tolist(), gaps[gaps > 4 * self.spacing].tolist(), strict=True)]
         tail = np.arange(max(1, n - length), n) if last else np.empty(0, np.int64)
-        points = np.unique(np.concatenate((marks, tail, *inner, [n]))).astype(np.int64)
+        points = ascending(marks, tail, *inner, np.array([n], np.int64))
         points = points[points > 0]
         fee = np.full(len(points), self.fees[1])
-        fee[np.isin(points, stops)] = self.fees[0]
-        fee[np.isin(points, docs)] = 0
+        fee[np.searchsorted(points, stops[stops > 0])] = self.fees[0]
+        fee[np.searchsorted(points, docs)] = 0
         cuts = cut(points, fee, length)
         if not last:  # the last cuts lean on an end that isn't one
             cuts = [c for c in cuts if c <= n - 4 * length]
