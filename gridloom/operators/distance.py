@@ -128,11 +128,21 @@ def dilate(points: DataFrame, steps: int) -> DataFrame:
     return around(points, [(i, j, 0.0) for i, j in cross_offsets(steps)]).select("r", "c")
 
 
-def erode(df: DataFrame, mask: str, steps: int) -> DataFrame:
-    """Cells of the mask whose whole cross of steps lies in it; beyond the lattice counts as outside."""
+def erode(df: DataFrame, mask: str, steps: int, tile: int = 512) -> DataFrame:
+    """Cells of the mask whose whole cross of steps lies in it; beyond the lattice counts as outside. One shuffle of the mask to tiles with frames."""
     moves = cross_offsets(steps)
-    inside = df.filter(F.col(mask)).select("r", "c")
-    return spread(inside, moves, ["dr", "dc"]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(moves)).select("r", "c")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(rows.tr.iloc[0]) * tile, int(rows.tc.iloc[0]) * tile
+        inside = np.zeros((tile + 2 * steps,) * 2, bool)
+        inside[rows.r.to_numpy() - r0 + steps, rows.c.to_numpy() - c0 + steps] = True
+        kept = np.ones((tile, tile), bool)
+        for i, j in moves:
+            kept &= inside[steps + i : steps + i + tile, steps + j : steps + j + tile]
+        y, x = np.nonzero(kept)
+        return pd.DataFrame({"r": (y + r0).astype(np.int32), "c": (x + c0).astype(np.int32)})
+
+    return _framed(df.filter(F.col(mask)), steps, tile).groupBy("tr", "tc").applyInPandas(one, "r int, c int")
 
 
 def beyond(df: DataFrame, points: DataFrame, radius: float) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ALPHA, BETA, EPSILON, RADIUS, credit_offsets
-from .distance import near, spread
+from .distance import near
+from .stencil import TILE, tiled
 
 
 def dti(tp: str | Column, fp: str | Column, fn: str | Column) -> Column:
@@ -21,19 +26,35 @@ def parts(cells: DataFrame, pred: str, truth: str, active: Column | None = None,
     within three cells gives; fp: over predicted cells, weight times what
     credit the nearest truth cell leaves; fn: truth cells less tp. active
     cells count on both sides; cells see each other across folds only where
-    by is empty. Without truth dti is 0 and fp the sum of weights.
+    by is empty. Without truth dti is 0 and fp the sum of weights. Marked and
+    predicted cells go to tiles with a frame of three cells, once; a tile
+    gives its sums.
     """
     live = cells if active is None else cells.filter(active)
-    keys = [*by, "r", "c"]
-    p = live.filter(F.col(pred) > 0).select(*keys, F.col(pred).cast("double").alias("p"))
-    t = live.filter(F.col(truth)).select(*keys)
-    moves = credit_offsets()
-    given = spread(p, moves, ["dr", "dc", "k"]).groupBy(*keys).agg(F.max(F.col("p") * F.col("k")).alias("v"))
-    hit = t.join(given, keys, "left").groupBy(*by).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("tp"), F.count(F.lit(1)).alias("n_truth"))
-    seen = spread(t, moves, ["dr", "dc", "k"]).groupBy(*keys).agg(F.max("k").alias("v"))
-    miss = p.join(seen, keys, "left").groupBy(*by).agg(F.sum(F.col("p") * (1 - F.coalesce("v", F.lit(0.0)))).alias("fp"), F.count(F.lit(1)).alias("n_pred"))
-    both = hit.join(miss, list(by), "full") if by else hit.crossJoin(miss)  # one row each without folds
-    out = both.select(*by, *(F.coalesce(x, F.lit(0)).cast(k).alias(x) for x, k in (("tp", "double"), ("fp", "double"), ("n_truth", "long"), ("n_pred", "long"))))
+    slim = live.select(*by, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.when(F.col(pred) > 0, F.col(pred).cast("double")).otherwise(0.0).alias("__p"), F.coalesce(F.col(truth), F.lit(False)).alias("__t"))
+    moves, frame = credit_offsets(), math.ceil(RADIUS)
+    kinds = "".join(f"{x} {slim.schema[x].dataType.simpleString()}, " for x in by)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        """Sums of a tile's own cells, from its cells and those of its frame."""
+        tr, tc = int(rows.tr.iloc[0]), int(rows.tc.iloc[0])
+        r, c, p, t = rows.r.to_numpy(np.int64), rows.c.to_numpy(np.int64), rows["__p"].to_numpy(float), rows["__t"].to_numpy(bool)
+        mine = (r // TILE == tr) & (c // TILE == tc)
+        y, x = r - tr * TILE + 2 * frame, c - tc * TILE + 2 * frame
+        side = TILE + 4 * frame
+        weight, marks = np.zeros((side, side)), np.zeros((side, side))
+        np.maximum.at(weight, (y, x), p)
+        marks[y[t], x[t]] = 1.0
+        own_t, own_p = mine & t, mine & (p > 0)
+        given, seen = np.zeros(int(own_t.sum())), np.zeros(int(own_p.sum()))
+        for i, j, k in moves:
+            given = np.maximum(given, k * weight[y[own_t] + i, x[own_t] + j])
+            seen = np.maximum(seen, k * marks[y[own_p] + i, x[own_p] + j])
+        return pd.DataFrame([{**{b: rows[b].iloc[0] for b in by}, "tp": given.sum(), "fp": (p[own_p] * (1 - seen)).sum(), "n_truth": len(given), "n_pred": len(seen)}])
+
+    tiles = tiled(slim.filter("__p > 0 OR __t"), frame, TILE).groupBy(*by, "tr", "tc").applyInPandas(one, f"{kinds}tp double, fp double, n_truth long, n_pred long")
+    totals = tiles.groupBy(*by).agg(*(F.coalesce(F.sum(v), F.lit(0)).cast(k).alias(v) for v, k in (("tp", "double"), ("fp", "double"), ("n_truth", "long"), ("n_pred", "long"))))
+    out = totals.filter("n_truth + n_pred > 0") if by else totals  # a frame alone makes no fold
     return out.withColumn("fn", F.col("n_truth") - F.col("tp")).withColumn("dti", F.when(F.col("n_truth") > 0, dti("tp", "fp", "fn")).otherwise(0.0))
 
 
