@@ -126,12 +126,23 @@ def word_codes(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.A
 def word_hashes(rows: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of a slice of documents, in order, and where each document's words begin (and the end).
 
-    Words are told apart byte by byte; each distinct one is hashed by BLAKE2,
-    so no pattern of letters makes two words alike.
+    Words are told apart byte by byte. A distinct one of up to 64 bytes is
+    hashed by stretch_hashes (one of up to 8 bytes like no other of its
+    length), a longer one by BLAKE2: no pattern of letters makes two words alike.
     """
     codes, dictionary, first = word_codes(rows, lower)
-    prints = b"".join(hashlib.blake2b(w, digest_size=8, key=b"words").digest() for w in dictionary.to_pylist())
-    return np.frombuffer(prints, np.uint64)[codes], first
+    if not len(dictionary):
+        return np.empty(0, np.uint64), first
+    _, at, data = dictionary.buffers()
+    at = np.frombuffer(at, np.int64)[dictionary.offset : dictionary.offset + len(dictionary) + 1]
+    starts, widths = at[:-1], np.diff(at)
+    prints = np.empty(len(dictionary), np.uint64)
+    short = np.flatnonzero(widths <= 64)
+    if len(short):
+        prints[short] = stretch_hashes(np.frombuffer(data, np.uint8), starts[short], widths[short])
+    for k in np.flatnonzero(widths > 64).tolist():
+        prints[k] = int.from_bytes(hashlib.blake2b(dictionary[k].as_py(), digest_size=8, key=b"words").digest(), "little")
+    return prints[codes], first
 
 
 def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -143,8 +154,9 @@ def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) ->
         block = data[np.minimum(s[:, None] + at, len(data) - 1)]
         block[at >= w[:, None]] = 0
         h = mix(w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        for word in np.ascontiguousarray(block).view(np.uint64).T:
-            h = mix((h ^ word) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        for k, word in enumerate(np.ascontiguousarray(block).view(np.uint64).T):
+            # as many steps as the stretch has words: what stands beside it changes nothing
+            h = np.where(8 * k < w, mix((h ^ word) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)), h)
         out[lo : lo + (1 << 15)] = h
     return out
 

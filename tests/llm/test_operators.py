@@ -687,3 +687,17 @@ def test_toxicity_of_one_id_over_many_texts(spark):
     scored = toxicity.score_toxicity(docs_, labels, F.lit(True), train_rows=100)
     means = {r.doc_id: r.m for r in scored.groupBy("doc_id").agg(F.avg("score").alias("m")).collect()}
     assert scored.count() == 2500 and means[2] > means[1]
+
+
+def test_a_stretch_has_one_hash_wherever_it_stands():
+    from gridloom.llm import common
+
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 256, 3000, dtype=np.uint8)
+    starts, widths = rng.integers(0, 2800, 400), rng.integers(1, 130, 400)
+    whole = common.stretch_hashes(data, starts, widths)
+    alone = [int(common.stretch_hashes(np.append(np.zeros(5, np.uint8), data[s : s + w]), np.array([5]), np.array([w]))[0]) for s, w in zip(starts, widths, strict=True)]
+    assert whole.tolist() == alone and len(set(alone)) == len({data[s : s + w].tobytes() for s, w in zip(starts, widths, strict=True)})
+    words = [b"a bb " + b"x" * n + b" Ccc" for n in (1, 7, 8, 9, 64, 65, 300)]
+    one = [common.word_hashes([w])[0].tolist() for w in words]
+    assert one == [common.word_hashes(words)[0][4 * i : 4 * i + 4].tolist() for i in range(len(words))] and len({h[2] for h in one}) == 7
