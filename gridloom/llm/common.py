@@ -148,10 +148,14 @@ def word_hashes(rows: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.n
 def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of bytes: eight bytes at a time are mixed in, not added up, so no pattern of bytes cancels out."""
     out = np.empty(len(starts), np.uint64)
-    for lo in range(0, len(starts), 1 << 15):
-        s, w = starts[lo : lo + (1 << 15)], widths[lo : lo + (1 << 15)]
-        at = np.arange(-(-int(w.max()) // 8) * 8)
-        block = data[np.minimum(s[:, None] + at, len(data) - 1)]
+    if not len(starts):
+        return out
+    room = -(-int(widths.max()) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(room, np.uint8))), room)  # a view: row i begins at byte i
+    at = np.arange(room)
+    for lo in range(0, len(starts), 1 << 13):  # few enough for the cache
+        s, w = starts[lo : lo + (1 << 13)], widths[lo : lo + (1 << 13)]
+        block = rows[s]
         block[at >= w[:, None]] = 0
         h = mix(w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         for k, word in enumerate(np.ascontiguousarray(block).view(np.uint64).T):

@@ -36,7 +36,8 @@ class Anchors:
 
     def __init__(self, rows: list[bytes], length: int):
         rows_at = [i for i, r in enumerate(rows) if len(r) >= length]
-        self.row = self.lo = self.hi = self.gram = self.context = self.offset = np.empty(0, np.int64)
+        self.row = self.lo = self.hi = self.gram = self.offset = self._at = self._width = np.empty(0, np.int64)
+        self._data, self.length = np.empty(0, np.uint8), length
         if not rows_at:
             return
         data = np.frombuffer(b"".join(rows[i] for i in rows_at), np.uint8)
@@ -71,7 +72,7 @@ class Anchors:
         self.row, base = np.array(rows_at)[doc], begin[doc]
         width = hi - lo + length
         self.gram = value
-        self.context = mix(stretch_hashes(data, lo, width) + self.offset.astype(np.uint64))
+        self._width = width
         self.lo, self.hi = lo - base, hi - base
         self._at, self._data, self.length = lo, data, length
 
@@ -95,10 +96,16 @@ class Anchors:
         order = np.argsort(lo, kind="stable")
         return lo[order], hi[order], value[order], place[order]
 
-    def windows(self, i: int) -> np.ndarray:
-        """Hashes of the windows of anchor i."""
-        s = np.arange(self._at[i], self._at[i] + self.hi[i] - self.lo[i] + 1)
-        return stretch_hashes(self._data, s, np.full(len(s), self.length))
+    @property
+    def context(self) -> np.ndarray:
+        """Hashes of the whole stretches and of where the gram stands in them."""
+        return mix(stretch_hashes(self._data, self._at, self._width) + self.offset.astype(np.uint64))
+
+    def windows(self, some: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the windows of each of some anchors."""
+        n = self.hi[some] - self.lo[some] + 1
+        s = np.repeat(self._at[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.split(stretch_hashes(self._data, s, np.full(len(s), self.length)), np.cumsum(n)[:-1])
 
 
 def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
@@ -219,8 +226,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     continue
                 doc = ids[first + a.row]
                 group = group_of(doc)
-                order = np.lexsort((doc, group, a.context, a.gram))
-                g, c, gr, d = a.gram[order], a.context[order], group[order], doc[order]
+                context = a.context
+                order = np.lexsort((doc, group, context, a.gram))
+                g, c, gr, d = a.gram[order], context[order], group[order], doc[order]
                 new = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (gr[1:] != gr[:-1])))
                 g, c, d = g[new], c[new], d[new]
                 by_doc = np.argsort(d, kind="stable")  # runs of one id compress
@@ -285,8 +293,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         to_index = np.flatnonzero(kind == 1)
         frames = [pd.DataFrame({"kind": 2, "doc_id": own[to_index], "grp": grp, "tag": tags[row[to_index]], "gram": gram[to_index].view(np.int64), "lo": lo[to_index], "blob": [bytes((o,)) + bodies[r][x : y + length] for r, x, y, o in zip(row[to_index].tolist(), lo[to_index].tolist(), hi[to_index].tolist(), joined("offset", np.int64)[to_index].tolist(), strict=True)]})]
         crowded: dict[int, list] = {}
-        for i in np.flatnonzero(kind == 2).tolist():
-            crowded.setdefault(int(row[i]), []).append((np.arange(lo[i], hi[i] + 1), parts[part[i]][1].windows(place[i])))
+        many = np.flatnonzero(kind == 2)
+        for k in np.unique(part[many]).tolist():
+            some = many[part[many] == k]
+            for i, hashes in zip(some.tolist(), parts[k][1].windows(place[some]), strict=True):
+                crowded.setdefault(int(row[i]), []).append((np.arange(lo[i], hi[i] + 1), hashes))
         if crowded:
             h = np.concatenate([w for ws in crowded.values() for _, w in ws])
             d = np.concatenate([np.full(len(w), ids[r]) for r, ws in crowded.items() for _, w in ws])
