@@ -161,7 +161,7 @@ def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) ->
         for k, word in enumerate(np.ascontiguousarray(block).view(np.uint64).T):
             # as many steps as the stretch has words: what stands beside it changes nothing
             h = np.where(8 * k < w, mix((h ^ word) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)), h)
-        out[lo : lo + (1 << 15)] = h
+        out[lo : lo + len(s)] = h
     return out
 
 

@@ -698,6 +698,8 @@ def test_a_stretch_has_one_hash_wherever_it_stands():
     whole = common.stretch_hashes(data, starts, widths)
     alone = [int(common.stretch_hashes(np.append(np.zeros(5, np.uint8), data[s : s + w]), np.array([5]), np.array([w]))[0]) for s, w in zip(starts, widths, strict=True)]
     assert whole.tolist() == alone and len(set(alone)) == len({data[s : s + w].tobytes() for s, w in zip(starts, widths, strict=True)})
+    many = np.tile(starts, 60), np.tile(widths, 60)
+    assert common.stretch_hashes(data, *many).tolist() == alone * 60  # more than are hashed at a time
     words = [b"a bb " + b"x" * n + b" Ccc" for n in (1, 7, 8, 9, 64, 65, 300)]
     one = [common.word_hashes([w])[0].tolist() for w in words]
     assert one == [common.word_hashes(words)[0][4 * i : 4 * i + 4].tolist() for i in range(len(words))] and len({h[2] for h in one}) == 7
