@@ -8,6 +8,7 @@ padding plus penalties over all ways to cut the stream.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from .common import slices
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are encoded at a time: the more, the fewer distinct words for each.
 SLICE = 6 << 20
+#: Letters that no normalisation turns into anything else than letters (for a class of a regular expression), and marks of which a row is one piece.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-ώЀ-ҁ", string.punctuation
 #: Tokens that the program looks at before it hands out sequences.
 BLOCK_TOKENS = 1 << 18
 
@@ -50,9 +53,13 @@ class Tokens:
         self.at, self.n = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        """Plain words go to the tokenizer in one text, told apart by the word ends; all others one by one."""
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+        """Words of letters, in any script, go to the tokenizer in one text, told apart by the word ends; all others one by one.
+
+        Each word is one piece at least, so as many word ends as words say that each was one. Where
+        there are more (a letter that falls apart), that text's words go one by one, too.
+        """
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -82,25 +89,25 @@ class Tokens:
         """All ids of the texts, the number of ids of each text, and where a sentence ends (after which ids)."""
         if len(self.known) > CACHE_WORDS:
             self.fresh()
+        if not any(texts):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64), np.empty(0, np.int64)
         column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         lists = pc.ascii_split_whitespace(column)
         coded = lists.values.dictionary_encode()
         words, code = coded.dictionary, coded.indices.to_numpy()
         lower = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
-        core = pc.utf8_rtrim(lower, ".,")
-        ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
-        marks = pc.subtract(pc.binary_length(lower), pc.binary_length(core)).to_numpy()
-        # a word and the marks after it are encoded apart only where one mark or none follows plain letters
-        split = ascii_ & (marks == 1) & pc.match_substring_regex(core, "^[a-z]+$").to_numpy(zero_copy_only=False)
-        parted = pa.array(split)
-        heads = pc.if_else(parted, core, lower).dictionary_encode()
-        tails = pc.if_else(parted, pc.utf8_slice_codeunits(lower, -1), "").dictionary_encode()
-        known = self.known
-        names = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
-        self.learn([w for w in dict.fromkeys(names) if w not in known])
-        number = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-        head = number[heads.indices.to_numpy()]
-        tail = number[len(heads.dictionary) :][tails.indices.to_numpy()]  # the empty word has no ids
+        # letters alone and the marks after them are encoded apart: there the tokenizer parts a word, too
+        core = pc.utf8_rtrim(lower, MARKS)
+        parted = pc.match_substring_regex(core, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        whole, bare = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (lower, core))
+        _, at, data = lower.buffers()
+        at = np.frombuffer(at, np.int64)[lower.offset : lower.offset + len(lower) + 1]
+        inner = at[:-1] + np.where(parted, bare, whole)
+        both = pa.Array.from_buffers(lower.type, 2 * len(lower), [None, pa.py_buffer(np.append(np.stack((at[:-1], inner), 1).ravel(), at[-1])), data]).dictionary_encode()
+        known, names = self.known, listed(both.dictionary)
+        self.learn([w for w in names if w not in known])
+        number = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[both.indices.to_numpy()]
+        head, tail = number[0::2], number[1::2]  # the empty word has no ids
         size = self.n[head] + self.n[tail]
         # ids of the distinct words in a row, then of all words by gathering from it
         flat = gather(self.pool, np.stack((self.at[head], self.at[tail]), 1).ravel(), np.stack((self.n[head], self.n[tail]), 1).ravel())
@@ -113,6 +120,11 @@ class Tokens:
         return ids, np.diff(ends[offsets]), ends[1:][stops]
 
 
+def listed(words: pa.Array) -> list[str]:
+    """The words, none of which holds a space, as Python strings: in one string, then split."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py().split(" ") if len(words) else []
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """pool[starts[0]:starts[0]+counts[0]], then the next range, and so on, in one array."""
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts)

@@ -218,6 +218,21 @@ def test_packing_round_trip(docs, none):
     assert packing.pack(none, tokenizer()).count() == 0
 
 
+def test_packing_encodes_letters_and_marks_once():
+    """Ids are the tokenizer's own, and a word of letters is looked up once whatever marks follow it, in any script."""
+    from tokenizers import Tokenizer
+
+    plain, tokens = Tokenizer.from_file(tokenizer()), packing.Tokens(tokenizer())
+    texts = ["abc*** abc&&& ABC, abc. (abc) éa. éa*** éa", "", " \n\t", "it's it' rock'n'roll' x's, a_b_ a__ ÀÉÎ!! ŁÓDŹ?! ΣΑΣ... Ёлка;", "İx. ŉ, क़ख क़. Ǻ e\u0301. ﬁx! Ⅷ. 12.5, 3rd. 中文。 漢字. ªb, ß.", "<|endoftext|> abc<|endoftext|>. x\u00a0y. \u2028z, \x1fq.", "aͅ. ǰ\u030c, 각각 \u1100\u1161."]
+    ids, counts, _ = tokens.encode([t.encode() for t in texts])
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"abc", "éa", "***", "&&&", ","} <= set(tokens.known) and not {"abc***", "abc&&&", "éa.", "éa***"} & set(tokens.known)
+    for nothing in ([b""], [b" ", b"\n"], []):
+        ids, counts, stops = tokens.encode(nothing)
+        assert (len(ids), counts.tolist(), len(stops)) == (0, [0] * len(nothing), 0)
+
+
 def test_cut_is_optimal():
     r = random.Random(5)
     for _ in range(60):
