@@ -152,11 +152,11 @@ def stretch_hashes(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) ->
         return out
     room = -(-int(widths.max()) // 8) * 8
     rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(room, np.uint8))), room)  # a view: row i begins at byte i
-    at = np.arange(room)
+    at = np.arange(room, dtype=np.int32)
     for lo in range(0, len(starts), 1 << 13):  # few enough for the cache
         s, w = starts[lo : lo + (1 << 13)], widths[lo : lo + (1 << 13)]
         block = rows[s]
-        block[at >= w[:, None]] = 0
+        block *= at < w[:, None].astype(np.int32)  # zeros behind the stretch
         h = mix(w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         for k, word in enumerate(np.ascontiguousarray(block).view(np.uint64).T):
             # as many steps as the stretch has words: what stands beside it changes nothing

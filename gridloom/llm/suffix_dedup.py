@@ -27,6 +27,8 @@ _BIG = np.iinfo(np.int64).max
 _PRIME, _TURN = (1 << 31) - 1, 1103515245
 #: Share of all anchors from which a gram's contexts are dealt apart; it must stand out so often in a slice to be counted.
 HOT, HOT_IN_SLICE = 10_000, 4
+#: Windows that anchors are sought for at a time.
+BLOCK = 1 << 15
 #: Bytes of a slice: what it repeats is merged before it is sent.
 SLICE = 2 << 20
 
@@ -43,58 +45,53 @@ class Anchors:
         data = np.frombuffer(b"".join(rows[i] for i in rows_at), np.uint8)
         sizes = np.array([len(rows[i]) for i in rows_at])
         begin = np.cumsum(sizes) - sizes
-        up, down = powers(len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-        n = len(data)
-        span = length - GRAM + 1  # grams in a window
-        gram = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-        # the least of span grams from each place, by doubling; then which gram it is, the leftmost
-        low, step = gram, 1
-        while 2 * step <= span:
-            low = np.minimum(low[: len(low) - step], low[step:])
-            step *= 2
-        if step < span:
-            rest = span - step
-            low = np.minimum(low[: len(low) - rest], low[rest:])
-        starts = np.arange(len(low))
-        doc = np.searchsorted(begin, starts, side="right") - 1
-        inside = starts + length <= (begin + sizes)[doc]
-        starts, doc, low = starts[inside], doc[inside], low[inside]
-        # windows in a row with one least gram share an anchor while that gram still lies in them: its place is the first at or after the window's start
-        change = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1]))))
-        last = np.append(change[1:], len(starts)) - 1
-        lo, hi, value = starts[change], starts[last], low[change]
-        # a gram that repeats within reach has several places: a stretch is cut where its first place falls behind
-        lo, hi, value, self.offset = self._place(gram, lo, hi, value, span)
+        ends = begin + sizes
+        place, gram = self._places(data, length)
+        # windows in a row with one place share an anchor; a document ends its last one
+        new = np.empty(len(place), bool)
+        new[0], new[1:] = True, place[1:] != place[:-1]
+        new[begin[begin < len(place)]] = True
+        new[(ends - length + 1)[:-1]] = True  # windows from here on reach into the next document
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(place)) - 1
         doc = np.searchsorted(begin, lo, side="right") - 1
+        inside = lo + length <= ends[doc]
+        lo, hi, doc = lo[inside], hi[inside], doc[inside]
         self.row, base = np.array(rows_at)[doc], begin[doc]
-        width = hi - lo + length
-        self.gram = value
-        self._width = width
+        self.gram, self.offset = gram[lo], place[lo] - lo
+        self._width = hi - lo + length
         self.lo, self.hi = lo - base, hi - base
         self._at, self._data, self.length = lo, data, length
 
     @staticmethod
-    def _place(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-        """Stretches cut so that one place of the gram is the leftmost in all windows of each: (lo, hi, gram, the place less lo)."""
-        out = []
-        while len(lo):
-            place, open_ = np.zeros(len(lo), np.int64), np.arange(len(lo))
-            for k in range(span):
-                hit = gram[lo[open_] + k] == value[open_]
-                place[open_[hit]] = k
-                open_ = open_[~hit]
-                if not len(open_):
-                    break
-            reach = np.minimum(hi, lo + place)  # windows beyond have lost this place
-            out.append((lo, reach, value, place))
-            more = reach < hi
-            lo, hi, value = reach[more] + 1, hi[more], value[more]
-        lo, hi, value, place = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(lo, kind="stable")
-        return lo[order], hi[order], value[order], place[order]
+    def _places(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window: where its least gram stands (the leftmost of several), and that gram's hash.
+
+        In blocks that fit in the cache. The order is by the upper bits of the
+        hash and then by place, so it hangs on the window's bytes alone.
+        """
+        span = length - GRAM + 1  # grams in a window
+        n = len(data) - length + 1
+        place, least = np.empty(n, np.int64), np.empty(n, np.uint64)
+        at = np.arange(BLOCK + span - 1, dtype=np.uint64)
+        upper = ~np.uint64((1 << len(at).bit_length()) - 1)
+        up, down = powers(BLOCK + length)
+        total = np.zeros(BLOCK + length, np.uint64)
+        for b in range(0, n, BLOCK):
+            k = min(BLOCK, n - b)  # windows of this block; k + span - 1 grams
+            m = k + length - 1
+            np.cumsum(_BYTE[data[b : b + m]] * up[:m], out=total[1 : m + 1])
+            gram = mix((total[GRAM : m + 1] - total[: m + 1 - GRAM]) * down[: m + 1 - GRAM])
+            low, step = (gram & upper) | at[: len(gram)], 1
+            while 2 * step <= span:  # the least of span grams from each place, by doubling
+                low = np.minimum(low[: len(low) - step], low[step:])
+                step *= 2
+            if step < span:
+                low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
+            found = (low & ~upper).astype(np.int64)
+            place[b : b + k] = found + b
+            least[b : b + k] = gram[found]
+        return place, least
 
     @property
     def context(self) -> np.ndarray:
@@ -120,6 +117,18 @@ def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def _stack(frames: list[pd.DataFrame], kinds: dict[str, object]) -> pd.DataFrame:
+    """All rows of the frames; columns that a frame hasn't are null there. Values are not looked at one by one."""
+    out = {}
+    for c, kind in kinds.items():
+        parts = [f[c].astype(kind).array if c in f else pd.array([None] * len(f), kind) for f in frames]
+        if kind is object:
+            out[c] = np.concatenate([np.empty(0, object), *(x.to_numpy() for x in parts)])
+        else:
+            out[c] = pd.concat([pd.Series(x) for x in parts], ignore_index=True) if parts else pd.array([], kind)
+    return pd.DataFrame(out)
+
+
 def _join(rows: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind)
 
@@ -320,10 +329,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 done.append((0, int(ids[r]), len(body), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
         frames.append(pd.DataFrame(late, columns=["kind", "doc_id", "grp", "tag", "blob", "blob2", "blob3", "blob4"]))
         frames.append(pd.DataFrame(done, columns=["kind", "doc_id", "n_bytes", "n_removed", "n_spans", "sha", "blob"]))
-        numbers = {c: "Int64" for c in ("kind", "doc_id", "grp", "tag", "gram", "lo", "n_bytes", "n_removed", "n_spans")}
-        others = {c: object for c in columns if c not in numbers}
-        out = pd.concat([f.reindex(columns=columns).astype(numbers | others) for f in frames if len(f)], ignore_index=True)
-        return out.where(out.notna(), None).astype(numbers)
+        numbers = ("kind", "doc_id", "grp", "tag", "gram", "lo", "n_bytes", "n_removed", "n_spans")
+        return _stack([f for f in frames if len(f)], {c: "Int64" if c in numbers else object for c in columns})
 
     columns = ["kind", "doc_id", "grp", "tag", "gram", "lo", "n_bytes", "n_removed", "n_spans", "sha", "blob", "blob2", "blob3", "blob4"]
     schema = "kind int, doc_id long, grp long, tag long, gram long, lo long, n_bytes long, n_removed long, n_spans long, sha string, blob binary, blob2 binary, blob3 binary, blob4 binary"

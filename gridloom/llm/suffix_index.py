@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 
-_PACK = 7  # symbols of 9 bits in one integer
+
+def _ranks(key: np.ndarray, most: int) -> np.ndarray:
+    """The place of each key (0 to most) among the distinct ones: key and position are sorted as one integer where they fit in 63 bits."""
+    n = len(key)
+    bits = n.bit_length()
+    if not n or most.bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)[1]
+    both = np.sort(key << bits | np.arange(n))
+    high = both >> bits
+    out = np.empty(n, np.int64)
+    out[both & ((1 << bits) - 1)] = np.cumsum(np.concatenate(([0], high[1:] != high[:-1])))
+    return out
 
 
 class RunLengthIndex:
@@ -29,23 +40,29 @@ class RunLengthIndex:
         self.symbol = symbol
         text = np.repeat(np.arange(m), sizes + 1)
         left = self.ends[text] - np.arange(n)  # symbols of the suffix before its mark
-        # ranks of suffixes by their first 7, 14, 28, ... symbols; marks tell apart what ends alike
-        key = np.zeros(n, np.int64)
-        for j in range(_PACK):
-            key <<= 9
+        # ranks of suffixes by their first few symbols, as many as fit in one integer with a position, then by twice as many and so on; marks tell apart what ends alike
+        code = np.zeros(257, np.int64)
+        code[symbol] = 1
+        code = np.cumsum(code) - 1 if n and code[0] else np.cumsum(code)  # in the same order, the mark is 0
+        width = int(code[256]).bit_length()
+        pack = max(1, min(7, depth, (63 - n.bit_length()) // max(1, width)))
+        dense, key = code[symbol], np.zeros(n, np.int64)
+        for j in range(pack):
+            key <<= width
             if n > j:
-                key[: n - j] |= np.where(left[: n - j] >= j, symbol[j:], 0)
-        rank, at, agree = np.unique(key, return_inverse=True)[1], _PACK, []
+                key[: n - j] |= np.where(left[: n - j] >= j, dense[j:], 0)
+        rank, at, agree = _ranks(key, (1 << width * pack) - 1), pack, []
         longest = int(sizes.max()) + 1 if m else 1
         while at < longest:
             agree.append((at, rank))
             follow = np.zeros(n, np.int64)
             ok = left >= at
             follow[ok] = rank[np.flatnonzero(ok) + at] + 1
-            rank = np.unique(rank * (n + 2) + follow, return_inverse=True)[1]
+            rank = _ranks(rank * (n + 2) + follow, (n + 1) * (n + 2))
             at *= 2
         agree.append((at, rank))
-        rows = np.lexsort((text, rank))  # equal to the mark: in order of the texts
+        bits = n.bit_length()
+        rows = np.sort(rank << bits | np.arange(n)) & ((1 << bits) - 1)  # equal to the mark: in order of the texts
         before = np.where(np.concatenate(([True], ~body[:-1])), 0, np.concatenate(([0], symbol[:-1])))[rows] if n else symbol
         # runs of the transform; marks never continue a run, as each is a symbol of its own
         starts = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0)))) if n else np.empty(0, np.int64)
@@ -53,7 +70,7 @@ class RunLengthIndex:
         self.lengths = np.diff(np.append(starts, n))
         self.last = rows[np.append(starts[1:], n) - 1]  # sampled: the suffix at each run's end
         self.first = rows[starts]
-        order = np.argsort(self.heads, kind="stable")
+        order = np.argsort(self.heads.astype(np.int16), kind="stable")
         self.of, total = {}, np.cumsum(np.bincount(symbol, minlength=257)) if n else np.zeros(257, np.int64)
         self.base = np.concatenate(([0], total))  # rows whose suffix begins with a smaller symbol
         self.seen = np.zeros(len(starts), np.int64)  # of a run's symbol, in the runs before it
@@ -65,14 +82,10 @@ class RunLengthIndex:
                 self.of[c] = runs
         # intervals of suffixes that agree on depth bytes
         valid = left >= depth
-        step, ranks = max((a for a in agree if a[0] <= depth), default=(None, None), key=lambda a: a[0])
-        if step is None:
-            same = np.unique(key, return_inverse=True)[1] if depth == _PACK else np.array([hash(bytes(symbol[i : i + depth])) for i in range(n)])
-            pair = same
-        else:
-            pair = np.full(n, -1, np.int64)
-            ok = np.flatnonzero(valid)
-            pair[ok] = ranks[ok] * (n + 2) + ranks[ok + depth - step] if 2 * step >= depth else self._covering(ok, depth, step, ranks, n)
+        step, ranks = max((a for a in agree if a[0] <= depth), key=lambda a: a[0])
+        pair = np.full(n, -1, np.int64)
+        ok = np.flatnonzero(valid)
+        pair[ok] = ranks[ok] * (n + 2) + ranks[ok + depth - step] if 2 * step >= depth else self._covering(ok, depth, step, ranks, n)
         in_rows, ok_rows = pair[rows], valid[rows]
         new = np.concatenate(([True], (in_rows[1:] != in_rows[:-1]) | ~ok_rows[1:] | ~ok_rows[:-1])) if n else np.empty(0, bool)
         self.interval = np.flatnonzero(new)

@@ -340,6 +340,44 @@ def test_long_repeats_empty(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 15])
+def test_anchors_hang_on_the_window_alone(monkeypatch, block):
+    """Each window has one anchor, equal windows have it at one place, also across the blocks that are worked on at a time."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    r = random.Random(11)
+    rows = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 160))) for _ in range(30)] + [b"ab" * 90, b"\0" * 80, b"", b"x" * 49, b"x" * 50, b"q" * 300]
+    rows += [rows[0] + rows[3] * 3, b"ab" * 60]
+    a = suffix_dedup.Anchors(rows, 50)
+    at = {}
+    for row, lo, hi, gram, offset in zip(a.row.tolist(), a.lo.tolist(), a.hi.tolist(), a.gram.tolist(), a.offset.tolist(), strict=True):
+        for j in range(lo, hi + 1):
+            place = lo + offset - j
+            assert (row, j) not in at and 0 <= place <= 50 - suffix_dedup.GRAM
+            at[row, j] = (gram, place)
+    assert sorted(at) == [(i, j) for i, t in enumerate(rows) for j in range(len(t) - 49)]
+    of = {}
+    for (i, j), anchor in at.items():
+        assert of.setdefault(rows[i][j : j + 50], anchor) == anchor
+    first = {}
+    for w, (gram, place) in of.items():  # the leftmost of equal grams
+        g = w[place : place + suffix_dedup.GRAM]
+        assert first.setdefault(g, gram) == gram and w.find(g) == place
+
+
+def test_ranks_and_rows_of_frames():
+    import pandas as pd
+
+    keys = np.array([5, 0, 5, 9, 1 << 40, 0, 7])
+    for most in (1 << 40, (1 << 63) - 1):  # sorted with the positions, and without room for them
+        assert suffix_index._ranks(keys, most).tolist() == [1, 0, 1, 3, 4, 0, 2]
+    assert suffix_index._ranks(keys[:0], 1).tolist() == []
+    big = (1 << 62) + 1  # would lose its last digit as a double
+    frames = [pd.DataFrame({"a": [big, 2], "b": [b"x", None]}), pd.DataFrame({"a": [-big]}), pd.DataFrame({"b": [b"", b"y"]})]
+    out = suffix_dedup._stack(frames, {"a": "Int64", "b": object, "c": object})
+    assert out.a.tolist()[:3] == [big, 2, -big] and out.a.isna().tolist() == [False] * 3 + [True] * 2
+    assert out.b.tolist() == [b"x", None, None, b"", b"y"] and out.c.tolist() == [None] * 5
+
+
 def test_run_length_index():
     r = random.Random(2)
     for _ in range(40):
