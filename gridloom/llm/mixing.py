@@ -75,7 +75,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     digit holds 0.4 % of a source at most and what is left after three levels
     one part in 200 million, which is sorted. Where that still is more than
     MANY rows, they share one id or none, and digits of the text's hash
-    follow.
+    follow. What goes to the next level is written and read again.
     """
     body = F.col(text)
     # the hash is one that other engines have too: 52 bits of md5
@@ -116,7 +116,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
         open_ = open_.join(cut, "name", "left")
         whole_part = F.when(F.coalesce(F.col("digit") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(0).cast("long")
         full.append(open_.filter("cut IS NULL OR digit <> cut").withColumn("part", whole_part).drop("digit", "cut", "rest", "budget"))
-        open_ = open_.filter("digit = cut").withColumn("budget", F.col("rest")).drop("digit", "cut", "rest")
+        # written, so that plans of later levels don't hold those of all levels before: the driver would plan and broadcast each of them anew
+        open_ = keep(open_.filter("digit = cut").withColumn("budget", F.col("rest")).drop("digit", "cut", "rest"), f"mix_open{level}")
     else:
         open_ = open_.unionByName(rest)
     last = Window.partitionBy("name").orderBy(F.desc("key"), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
